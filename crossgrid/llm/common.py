@@ -61,3 +61,52 @@ def partitions_for(n_bytes: int, each: int = 16 << 20, least: int = 1) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def whole_groups(batches, key: int = 0):
+    """From batches of rows sorted by an integer key column: batches with all rows of their keys, and the positions at which keys begin."""
+    import numpy as np
+    import pyarrow as pa
+
+    rest = []
+
+    def joined(parts):
+        t = pa.Table.from_batches(parts).combine_chunks()
+        b = t.to_batches()[0]
+        k = b.column(key).to_numpy(zero_copy_only=False)
+        return b, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key)
+        last = k[b.num_rows - 1].as_py()
+        if rest and rest[0].column(key)[0].as_py() == last:
+            rest.append(b)
+            continue
+        cut = int(np.searchsorted(k.to_numpy(zero_copy_only=False), last)) if k[0].as_py() != last else 0
+        if rest or cut:
+            yield joined([*rest, *([b.slice(0, cut)] if cut else [])])
+        rest = [b.slice(cut)]
+    if rest:
+        yield joined(rest)
+
+
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Rows (node, component): for each end of an edge the smallest node that it reaches. Alternates star contractions towards smaller neighbours until nothing changes; every round is a table in the shared folder, no group is collected."""
+    a, b = F.greatest(u, v).cast("long").alias("u"), F.least(u, v).cast("long").alias("v")
+    now = stash(edges.select(a, b).where("u <> v").distinct())
+    mark = None
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = stash(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = stash(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            break
+        mark = seen
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -65,7 +65,7 @@ def pretoken() -> regex.Pattern:
 _CONTROL = regex.compile("[\x1c-\x1f]")
 _WHITE = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Chunks that one worker remembers, and the longest of them.
-REMEMBER, LONGEST = 400_000, 48
+REMEMBER, LONGEST = 250_000, 48
 
 
 def byte_alphabet() -> list[str]:
@@ -75,30 +75,50 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in printable else next(spare)) for b in range(256)]
 
 
-def merge(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
-    """Applies merges by rank, leftmost first among equals, until none is possible."""
+def merge(symbols: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
+    """Applies merges by rank, leftmost first among equals, until none is possible. pairs: the rank of symbols (a, b) under a << 20 | b; made: by rank the new symbol."""
     n = len(symbols)
-    if n < 2:
+    queue = [r << 32 | i for i in range(n - 1) if (r := pairs.get(symbols[i] << 20 | symbols[i + 1], -1)) >= 0]
+    if not queue:
         return symbols
+    heapq.heapify(queue)
     symbols = list(symbols)
     left, right = list(range(-1, n - 1)), [*range(1, n), -1]
-    queue = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
-    heapq.heapify(queue)
     while queue:
-        _, i, a, b = heapq.heappop(queue)
-        j = right[i] if symbols[i] == a else -1
-        if j < 0 or symbols[j] != b:
-            continue  # stale: one of the two symbols is gone or has grown
-        symbols[i], symbols[j] = a + b, ""
+        entry = heapq.heappop(queue)
+        i, rank = entry & 0xFFFFFFFF, entry >> 32
+        j = right[i]
+        if j < 0 or pairs.get(symbols[i] << 20 | symbols[j]) != rank:
+            continue  # stale: a symbol is gone or has grown since
+        symbols[i] = new = made[rank]
         right[i] = k = right[j]
-        right[j] = -1
+        symbols[j] = right[j] = -1
         if k >= 0:
             left[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                heapq.heappush(queue, (r, i, symbols[i], symbols[k]))
-        if (h := left[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-            heapq.heappush(queue, (r, h, symbols[h], symbols[i]))
-    return [s for s in symbols if s]
+            if (r := pairs.get(new << 20 | symbols[k], -1)) >= 0:
+                heapq.heappush(queue, r << 32 | i)
+        if (h := left[i]) >= 0 and (r := pairs.get(symbols[h] << 20 | new, -1)) >= 0:
+            heapq.heappush(queue, r << 32 | h)
+    return [s for s in symbols if s >= 0]
+
+
+class Recent(dict):
+    """Results of ``make`` by key: twice ``most`` at most, of which the older half goes when the newer is full."""
+
+    def __init__(self, make, most: int = REMEMBER, longest: int = LONGEST):
+        super().__init__()
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        out = self.old.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = out
+        return out
 
 
 class WordBpe:
@@ -109,32 +129,56 @@ class WordBpe:
             spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
-        self.ranks = {tuple(m): i for i, m in enumerate(model["merges"])}
+        self.pairs = {self.vocab[a] << 20 | self.vocab[b]: i for i, (a, b) in enumerate(model["merges"])}
+        self.made = [self.vocab[a + b] for a, b in model["merges"]]
         self.suffix = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.strings = {i: s for s, i in [*self.vocab.items(), *self.special.items()]}
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        self.inner = [self.vocab.get(c, -1) for c in alphabet]
+        self.final = [self.vocab.get(c + self.suffix, -1) for c in alphabet]
         self.pretoken = pretoken()
-
-    def word(self, word: str) -> list[int]:
-        symbols = [self.alphabet[b] for b in word.encode()]
-        symbols[-1] += self.suffix
-        return [i for s in merge([s for s in symbols if s in self.vocab], self.ranks) if (i := self.vocab.get(s)) is not None]
-
-    def chunk(self, chunk: str) -> list[int]:
-        """Ids of a text without white space."""
-        out: list[int] = []
-        for part in self.special_at.split(chunk) if self.special_at and "<" in chunk else [chunk]:
+        self.known = Recent(self.word)
+
+    def word(self, word: str) -> tuple[list[int], str, str]:
+        """Of a pretoken: its ids, these in decimal, and their strings."""
+        data = word.encode()
+        symbols = [self.inner[b] for b in data]
+        symbols[-1] = self.final[data[-1]]
+        ids = merge([i for i in symbols if i >= 0] if -1 in symbols else symbols, self.pairs, self.made)
+        return ids, " ".join(map(str, ids)), self.decode(ids)
+
+    def pretokens(self, part: str) -> list[str]:
+        part = unicodedata.normalize("NFC", part)
+        part = (part if part.isascii() else part.translate(LOWERED)).lower()
+        if part.isalpha():
+            return [part]
+        if part[-1:] in ".,;:!?" and part[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.pretoken.findall(part)
+
+    def chunk_parts(self, chunk: str) -> list[tuple[list[int], str, str]]:
+        """Of a text without white space: word() of its pretokens and special tokens."""
+        if "<" not in chunk or not self.special_at:
+            return [self.known[w] for w in self.pretokens(chunk)]
+        out = []
+        for part in self.special_at.split(chunk):
             if part in self.special:
-                out.append(self.special[part])
-                continue
-            part = unicodedata.normalize("NFC", part)
-            part = (part if part.isascii() else part.translate(LOWERED)).lower()
-            for w in self.pretoken.findall(part):
-                out += self.word(w)
+                i = self.special[part]
+                out.append(([i], str(i), self.strings[i]))
+            elif part:
+                out += [self.known[w] for w in self.pretokens(part)]
         return out
 
+    def chunk(self, chunk: str) -> list[int]:
+        return [i for ids, _, _ in self.chunk_parts(chunk) for i in ids]
+
+    def chunk_digest(self, chunk: str) -> tuple[int, str, str]:
+        """Of a text without white space: count of its ids, these in decimal, and their strings."""
+        parts = [p for p in self.chunk_parts(chunk) if p[0]]
+        return sum(len(p[0]) for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+
     def chunks(self, text: str) -> list[str]:
         return [c for c in _WHITE.split(text) if c] if _CONTROL.search(text) else text.split()
 
@@ -156,23 +200,6 @@ def opened(path: str) -> WordBpe:
     return _OPEN[path]
 
 
-class _Digests(dict):
-    """By chunk: count of its ids, these in decimal, and their strings; a missing chunk is encoded."""
-
-    def __init__(self, bpe: WordBpe):
-        super().__init__()
-        self.bpe = bpe
-
-    def __missing__(self, chunk: str) -> tuple[int, str, str]:
-        ids = self.bpe.chunk(chunk)
-        out = (len(ids), " ".join(map(str, ids)), self.bpe.decode(ids))
-        if len(chunk) <= LONGEST:
-            if len(self) >= REMEMBER:
-                self.clear()
-            self[chunk] = out
-        return out
-
-
 def text_digests(text: str, bpe: WordBpe, known: dict) -> tuple[int, str, str]:
     """Count of ids, SHA-256 of the ids in decimal, SHA-256 of the decoded text; hashed by pieces."""
     ids, decoded, n, chunks, lead = hashlib.sha256(), hashlib.sha256(), 0, bpe.chunks(text), False
@@ -192,7 +219,7 @@ def bpe_digests(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = opened(tokenizer)
-        known = bpe.__dict__.setdefault("digests", _Digests(bpe))
+        known = bpe.__dict__.setdefault("digests", Recent(bpe.chunk_digest))
         for b in batches:
             rows = [text_digests(t.as_py() or "", bpe, known) for t in b.column(1)]
             yield pa.record_batch([b.column(0), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -110,3 +110,24 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         mark = seen
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
+
+
+def append(rows: DataFrame, keep: list[str], args: list[Column], fields: list[tuple[str, str, object]], fn, size: int = 4 << 20) -> DataFrame:
+    """The columns ``keep`` and new ones that fn gives from the args (Arrow arrays; the first is a text, by whose bytes batches are cut). fields: name, Spark type, Arrow type."""
+    import pyarrow as pa
+
+    from .words import slices
+
+    prepare(rows.sparkSession)
+    n, many = len(keep), len(args)
+    given = rows.select(*keep, *(a.alias(f"_arg{k}") for k, a in enumerate(args)))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:n]), *(f"`{name}` {kind}" for name, kind, _ in fields)])
+
+    def run(batches):
+        for b in batches:
+            for i, j in slices(b.column(n), size):
+                part = b.slice(i, j - i)
+                new = fn(*(part.column(n + k) for k in range(many)))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(new, fields))], [*part.schema.names[:n], *(f[0] for f in fields)])
+
+    return given.mapInArrow(run, schema)

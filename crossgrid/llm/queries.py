@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, near_dup, quality_rules, substring_dedup
+from . import bpe, importance, near_dup, packing, quality_rules, substring_dedup
 from .common import table
 
 TOKENIZERS = os.environ.get("CROSSGRID_TOKENIZERS", "/opt/tokenizers")
@@ -36,5 +36,9 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op5_near_dup, op6_quality_classifier)}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op5_near_dup, op6_quality_classifier, op8_packing)}
 ORACLES: dict[str, str] = {}

@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, near_dup, packing, quality_rules, substring_dedup
+from . import bpe, importance, lattice_lm, near_dup, packing, quality_rules, substring_dedup
 from .common import table
 
 TOKENIZERS = os.environ.get("CROSSGRID_TOKENIZERS", "/opt/tokenizers")
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +29,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_n_runs").alias("n_runs"), F.col("_first_ids").alias("first_ids"), "text")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.lm_scores(table(spark, sf_dir, "documents"), PIECES, scanned=True)
+
+
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -40,5 +45,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op5_near_dup, op6_quality_classifier, op8_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op8_packing)}
 ORACLES: dict[str, str] = {}

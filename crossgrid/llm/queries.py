@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, importance, lattice_lm, near_dup, packing, quality_rules, substring_dedup
+from . import bpe, chat, importance, lattice_lm, near_dup, packing, progressive_jpeg, quality_rules, substring_dedup, warc
 from .common import table
 
 TOKENIZERS = os.environ.get("CROSSGRID_TOKENIZERS", "/opt/tokenizers")
@@ -41,9 +41,23 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.importance_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chat_report(rows.unionByName(chat.sample_conversation(spark)))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op8_packing)}
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.index_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "archive", "offset", "length")
+
+
+def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.media_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op7_chat_formatting, op8_packing, op9_warc, op10_progressive_jpeg)}
 ORACLES: dict[str, str] = {}

@@ -12,7 +12,7 @@ that is in a third of all documents reaches its task once per slice, not once pe
 64-bit: a run is removed wrongly with chance n / 2^64 for n digests.
 
 Defined results: null stays null, texts without words stay as they are; rows with one id are one document and are not
-compared with each other; texts of fewer than LEAST words are never shortened; a row whose words all go has
+compared with each other; a null id counts as -1 and such rows stay as they are; texts of fewer than LEAST words are never shortened; a row whose words all go has
 an empty text; empty tables give empty results; all other columns are kept as they are, but for
 ``n_chars`` where the input has it, which follows the text.
 """
@@ -102,7 +102,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             u = Units(b.column(1).slice(i, j - i))
             if not len(u.digest):
                 continue
-            doc = b.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)[u.doc]
+            doc = b.column(0).slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False)[u.doc]
             order = np.lexsort((u.start, doc, u.digest))
             doc, digest = doc[order], u.digest[order]
             head = np.concatenate([[True], digest[1:] != digest[:-1]])

@@ -1,4 +1,47 @@
-STAGES = []
+"""The corpus pipeline: quality rules, quality classifier, near-duplicates, substring deduplication, packing.
+
+Each stage is (name, function); a function takes the session, the rows that its predecessor kept and the
+folder of tables, and returns a DataFrame. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from crossgrid.llm import importance, near_dup, packing, quality_rules, substring_dedup
+from crossgrid.llm.common import stash, table
+from crossgrid.llm.queries import WORD_BPE
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return importance.importance_filter(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_one(docs, shingle=5, percent=80)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(docs).select(*docs.columns)
+
+
+def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, WORD_BPE)
+
+
+STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("packing", packs)]
+
+#: SQL expresses neither certified cutoffs, Gumbel noise, chosen paths nor gear hashes; tests compare each stage with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's rows are written as Parquet and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stash(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

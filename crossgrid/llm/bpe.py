@@ -4,8 +4,9 @@ Encoding keeps the symbols of a word in a doubly linked list and the possible me
 priority queue by (rank, position); an entry whose symbols have changed since it was queued is
 stale and skipped. Decoding concatenates vocabulary strings.
 
-A text's pretokens never span white space, so all work is per white-space chunk and chunks are
-remembered, up to a fixed number.
+A text's pretokens never span white space, so all work is per white-space chunk. Chunks are
+remembered, up to a fixed number, and so are pretokens, as most new chunks differ from known ones in case or
+punctuation alone.
 
 Defined results: null and empty texts have no ids; white space and characters outside the
 vocabulary yield none; the strings of special tokens inside a text are those tokens; texts and

@@ -83,7 +83,7 @@ def expression(name: str, a: list[str], days: list[float]) -> str:
     if name in ("correlation", "covariance"):
         return _pearson(x, y, d, name)
     return {
-        "rank": lambda: f"({average_rank(x)}) / count({x}) OVER {_D}",
+        "rank": lambda: f"({average_rank(f'round({x}, 12)')}) / count({x}) OVER {_D}",
         "scale": lambda: f"{x} / nullif(sum(abs({x})) OVER {_D}, 0) * {days[0] if days else 1}",
         "demean_cs": lambda: f"{x} - avg({x}) OVER {_D}",
         "zscore_cs": lambda: f"({x} - avg({x}) OVER {_D}) / nullif(stddev_pop({x}) OVER {_D}, 0)",

@@ -125,7 +125,7 @@ OPERATOR_FORMULAS = {
 #: Values are far from one: what they are multiplied by before rounding.
 FACTOR = {"zoo_classical_illiquidity_amihud": 1e6}
 #: Values are large: rounded to fewer digits.
-DIGITS = {"op_ts_sum": 4, "op_covariance": 3, "zoo_classical_turnover": 2}
+DIGITS = {"op_ts_sum": 4, "op_covariance": 3, "zoo_classical_turnover": 2, "zoo_alpha101_012": 9}
 
 
 def _formula_query(name: str, formula: str) -> None:

@@ -1,0 +1,5 @@
+"""The closed set of formula operators: names, functions, kinds of arguments."""
+
+from ..functions.ops import FIELDS, OPERATORS
+
+__all__ = ["FIELDS", "OPERATORS"]

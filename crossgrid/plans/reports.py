@@ -237,7 +237,8 @@ def panel_feature_ic(spark, sf_dir):
 def panel_ic_shift(spark, sf_dir):
     rows = labelled(spark, sf_dir)
     w = source.over_symbol()
-    long = rows.select("date", "fwd_ret_1", F.explode(F.array(*(F.struct(F.lit(k).alias("shift"), F.lead("sig", k).over(w).alias("s")) for k in (-1, 0, 1)))).alias("x")).select("date", "fwd_ret_1", "x.shift", "x.s")
+    rows = rows.withColumns({f"s{k}": F.lead("sig", k).over(w) for k in (-1, 0, 1)})
+    long = rows.select("date", "fwd_ret_1", F.explode(F.array(*(F.struct(F.lit(k).alias("shift"), F.col(f"s{k}").alias("s")) for k in (-1, 0, 1)))).alias("x")).select("date", "fwd_ret_1", "x.shift", "x.s")
     return stats.daily_ic(long, "s", "fwd_ret_1", keys=("shift", "date")).groupBy("shift").agg(r(F.avg("ic")).alias("mean_ic"), F.count("*").alias("n"))
 
 

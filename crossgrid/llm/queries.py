@@ -52,7 +52,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.write_archives(table(spark, sf_dir, "pages"))
-    return warc.index_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "archive", "offset", "length")
+    return warc.index_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,4 +60,26 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op7_chat_formatting, op8_packing, op9_warc, op10_progressive_jpeg)}
-ORACLES: dict[str, str] = {}
+_ESCAPED = r"'[<\[]\\*(/?s>|/?INST\]|\|(image|audio|document)\|>)'"
+_BYTE5 = "CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT)"
+
+#: What SQL can express. The others' rows are compared with brute-force versions in tests/llm.
+ORACLES: dict[str, str] = {
+    "op7_chat_formatting": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(chat.BOT + chat.EOR + chat.EOT)} + length(role) + len(regexp_extract_all(role, {_ESCAPED})) + length(text) + len(regexp_extract_all(text, {_ESCAPED}))) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id""",
+    "op9_warc": f"""
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS hex, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (({_BYTE5} >> CAST(35 - 5 * (i % 8) AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f""",
+}

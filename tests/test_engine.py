@@ -167,3 +167,27 @@ def test_entry(spark):
     assert entry.entry(spark).columns
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 130
+
+
+def test_prefilter():
+    from crossgrid.plans import research
+
+    deep = "close"
+    for _ in range(15):
+        deep = f"abs({deep})"
+    assert [research.prefilter(f, {"rank(open)"}) for f in ("close.x", deep, "mul(-1, ts_rank(rank(low), 9))", "rank(open)", "rank(volume)")] == ["parse_error", "too_complex", "known_formula", "repeated", None]
+    assert research.prefilter("ts_mean(close)", set()) == "eval_error"
+    assert research.preregister({"a": 1, "b": 2}) == research.preregister({"b": 2, "a": 1})
+    assert [research.stage(g) for g in (0, 2, 3, 12)] == [0, 0, 1, 0] and research.tightened(0.4, 3.0, 0.01) == (3.5, 0.015)
+    assert research.exhausted([0.1, 0.1, 0.1, 0.1]) and not research.exhausted([0.1, 0.1, 0.1, 0.2])
+
+
+def test_ablation(spark, sf):
+    import __spark_entry__ as entry
+
+    got = {r.signal_id: r for r in entry.queries()["ablation_scores"](spark, sf.replace("sf0.001", "sf0.01")).collect()}
+    assert got["leaky"].ic > 0.7 and not got["leaky"].redteam and abs(got["noise"].t) < 4 and got["genuine"].ic > 0.1
+    events = spark.createDataFrame([("a", 1, "novelty"), ("a", 2, "statistics"), ("b", 1, "statistics")], "thesis_id string, seq int, event string")
+    from crossgrid.plans import research
+
+    assert [r.thesis_id for r in research.ordered_events(events, "novelty", "statistics").collect()] == ["b"]

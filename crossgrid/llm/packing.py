@@ -15,7 +15,9 @@ what the others leave; a source that runs dry leaves its share to the others; an
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -30,47 +32,103 @@ from .common import append, stash, string_id, whole_groups
 WINDOW, END_ID, PACK_TOKENS = 2048, 1, 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_OPEN: dict[str, tuple] = {}
+_OPEN: dict = {}
 
 
-def _encoder(path: str):
-    """Ids of white-space chunks as little-endian 16- or 32-bit words; chunks not met lately go to the library together."""
-    if path not in _OPEN:
-        import os
+#: White-space chunks, and words, that a worker remembers (twice as many at most), and the last code point of plain words.
+CHUNKS, WORDS, PLAIN = 500_000, 250_000, "\u024f"
+
+
+class _Encoder:
+    """Ids of white-space chunks as little-endian 16- or 32-bit words. What isn't remembered goes to the library together: plain words in lower case without the mark that ends them, which most new chunks share with known ones, and other chunks as they are."""
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        kind = np.dtype("<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4")
-        known = Recent(lambda c: np.array(tok.encode(c, add_special_tokens=False).ids, kind).tobytes())
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.chunks, self.words = Recent(self._one, CHUNKS, LONGEST), Recent(self._one, WORDS, LONGEST)
+        self.plain = _lowers(path)
+        self.final = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size())])
+
+    def _one(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _learn(self, memory: Recent, new: list[str]) -> None:
+        """Puts texts into a memory, those that its older half has from there."""
+        if len(memory) + len(new) > memory.most:
+            memory.old = dict(memory)
+            memory.clear()
+        old = memory.old
+        memory.update((t, old[t]) for t in new if t in old)
+        more = [t for t in new if t not in old]
+        memory.update((t, np.array(e.ids, self.kind).tobytes()) for t, e in zip(more, self.library.encode_batch_fast(more, add_special_tokens=False)))
+
+    def _learn_words(self, new: list[str]) -> None:
+        """Plain words as one text: each is one pretoken, and so ends at the next id that ends a word."""
+        memory = self.words
+        if len(memory) + len(new) > memory.most:
+            memory.old = dict(memory)
+            memory.clear()
+        old = memory.old
+        memory.update((t, old[t]) for t in new if t in old)
+        more = [t for t in new if t not in old]
+        if not more:
+            return
+        ids = np.array(self.library.encode_batch_fast([" ".join(more)], add_special_tokens=False)[0].ids, self.kind)
+        ends = ((np.flatnonzero(self.final[ids]) + 1) * self.kind.itemsize).tolist()
+        if len(ends) != len(more):
+            self._learn(memory, more)
+            return
+        data = ids.tobytes()
+        memory.update(zip(more, [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]))
+
+    def _parts(self, chunk: str) -> tuple[str, str] | None:
+        """The word and the mark of a plain chunk."""
+        end = chunk[-1] if chunk[-1] in ".,;:!?" else ""
+        word = chunk[:-1].lower() if end else chunk.lower()
+        return (word, end) if word.isalpha() and max(word) <= PLAIN else None
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        split = [[] if not t else [c for c in _WHITE.split(t) if c] if _CONTROL.search(t) else t.split() for t in texts]
+        chunks, old = self.chunks, self.chunks.old
+        new = [c for c in set().union(*split) if c not in chunks and len(c) <= LONGEST]
+        if new and self.plain:
+            parts = {c: p for c in new if c not in old and (p := self._parts(c))}
+            self._learn_words([w for w in {p[0] for p in parts.values()} if w not in self.words])
+            words = self.words
+            self._learn(chunks, [c for c in new if c not in parts])
+            chunks.update((c, words[w] + words[e] if e else words[w]) for c, (w, e) in parts.items())  # a mark is soon a known word
+        elif new:
+            self._learn(chunks, new)
+        return [b"".join([chunks[c] for c in s]) for s in split]
+
+
+def _lowers(path: str) -> bool:
+    """Whether the file splits texts as plain words need it: lower case, words and marks apart."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+    patterns = [p.get("pattern", {}).get("Regex", "") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    return kinds == ["NFC", "Replace", "Lowercase"] and any(r"[\p{L}]+" in p for p in patterns)
+
+
+def _encoder(path: str) -> _Encoder:
+    if path not in _OPEN:
         _OPEN.clear()
-        _OPEN[path] = tok, kind, known
+        _OPEN[path] = _Encoder(path)
     return _OPEN[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> tuple[list[bytes], np.dtype]:
-    tok, kind, known = _encoder(path)
-    split = [[] if not t else [c for c in _WHITE.split(t) if c] if _CONTROL.search(t) else t.split() for t in texts]
-    new = [c for c in set().union(*split) if c not in known and len(c) <= LONGEST]
-    if new:
-        if len(known) + len(new) > known.most:
-            known.old = dict(known)
-            known.clear()
-        found = known.old
-        more = [c for c in new if c not in found]
-        known.update((c, found[c]) for c in new if c in found)
-        known.update((c, np.array(e.ids, kind).tobytes()) for c, e in zip(more, tok.encode_batch_fast(more, add_special_tokens=False)))
-    return [b"".join([known[c] for c in s]) for s in split], kind
-
-
 def tokens(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source_col: str, end_id: int = END_ID) -> DataFrame:
     """Rows (doc_id, source, ids, n): the ids of each text and the end id, as bytes."""
 
     def encoded(text: pa.Array) -> list:
-        out, kind = encode_texts(text.to_pylist(), tokenizer)
+        encoder = _encoder(tokenizer)
+        out, kind = encoder(text.to_pylist()), encoder.kind
         end = np.array([end_id], kind).tobytes()
         return [pa.array([x + end for x in out], pa.binary()), np.array([len(x) // kind.itemsize + 1 for x in out], np.int64), np.full(len(out), kind.itemsize, np.int32)]
 

@@ -2,7 +2,7 @@
 
 Writing: each page is a record whose last bytes are the payload and two line ends; as Spark's text sink
 ends each row with a separator of ours, partitions become plain WARC files on any file system that Spark
-reaches. Of equal payloads the page of smallest id is a response, the others revisit it.
+reaches; they are gzipped, and offsets are those of the plain file. Of equal payloads the page of smallest id is a response, the others revisit it.
 
 Indexing: archives are read back and parsed by their content lengths. Each file gives a run of captures,
 sorted by URL key, time and page. Runs are dealt by ranges of that whole order, so the captures of one URL, however many, spread over
@@ -17,6 +17,7 @@ page_id; an empty table gives no files and an empty index; other columns are not
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import prepare, shared_dir, stash
 
-#: Aimed size of an archive file.
-FILE_BYTES = 8 << 20
+#: Aimed size of an archive before compression, by the mean of all payloads and of a record's own lines.
+FILE_BYTES, HEAD_BYTES = 8 << 20, 500
 SEPARATOR = "\r\n\r\n"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 INDEX = "url_key string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, run long"
@@ -99,13 +100,17 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     firsts = names.where(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.min("page").alias("first"))
     links = names.join(firsts, ["digest", "size"]).where("page <> first").groupBy("page", "digest").agg(F.min("first").alias("first"))
     linked = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).join(links, ["page", "digest"], "left")
-    files = max(1, -(-total // FILE_BYTES), min(n, spark.sparkContext.defaultParallelism))
     path = path or f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
-    out = linked.select("page", "url", "html", "ts", F.coalesce("first", "page").alias("first"), F.col("first").isNotNull().alias("revisit")).repartition(int(files), F.xxhash64("page", "url"))
-    out.mapInArrow(_records, "value string").write.option("lineSep", SEPARATOR).text(path)
+    out = linked.select("page", "url", "html", "ts", F.coalesce("first", "page").alias("first"), F.col("first").isNotNull().alias("revisit"))
+    each = max(1, int(FILE_BYTES / (total / n + HEAD_BYTES)))
+    out.mapInArrow(_records, "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
     return path
 
 
+def unpacked(data: bytes) -> bytes:
+    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+
+
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """Offset, length, headers and block of each record of an archive."""
     at = 0
@@ -128,7 +133,7 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for path, run, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             rows = []
-            for offset, length, head, block in parse(content.as_py()):
+            for offset, length, head, block in parse(unpacked(content.as_py())):
                 revisit = head["WARC-Type"] == "revisit"
                 digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                 if not revisit and (digest32(block) != digest or len(block) != size):

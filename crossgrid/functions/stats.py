@@ -17,7 +17,8 @@ def safe_corr(x: Column, y: Column) -> Column:
 
 
 def rank_scale(x: Column, *keys: str) -> Column:
-    """Average-tie ranks mapped to [-1, 1]; 0 where a group has one value."""
+    """Average-tie ranks mapped to [-1, 1]; 0 where a group has one value. Values that agree to twelve decimals tie."""
+    x = F.round(x, 12)
     n = F.count(x).over(Window.partitionBy(*keys))
     return F.when(n <= 1, F.lit(0.0)).otherwise(F.try_divide(2.0 * (average_rank(x, *keys) - 1), (n - 1).cast("double")) - 1.0)
 

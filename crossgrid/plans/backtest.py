@@ -106,8 +106,8 @@ def ls_daily(weights: DataFrame, cost_bps: float = 0.0, keys: tuple[str, ...] =
 def ls_metrics(daily: DataFrame, *keys: str) -> DataFrame:
     """sharpe, ann_return, turnover (one way), mdd, n_days."""
     by = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0) if keys else Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    curve = daily.withColumn("_c", F.exp(F.sum(F.log1p("net")).over(by)))
-    curve = curve.withColumn("_d", F.col("_c") / F.max("_c").over(by) - 1)
+    curve = daily.withColumn("_c", F.product(1 + F.col("net")).over(by))
+    curve = curve.withColumn("_d", F.try_divide(F.col("_c"), F.max("_c").over(by)) - 1)
     n, sd = F.count("net"), F.stddev_samp("net")
     ok = (n >= 2) & (sd > 0)
     return curve.groupBy(*keys).agg(

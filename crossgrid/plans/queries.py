@@ -146,7 +146,7 @@ for _name, _formula in ZOO.items():
 # information coefficients and books
 
 TRAIN = sql.split("val_a")
-PREPARED = [*LAB, f"kept AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM sig WHERE sig IS NOT NULL AND {TRAIN})", f"ready AS (SELECT * REPLACE (sig AS sig), CASE WHEN n <= 1 THEN 0 ELSE 2.0 * (({sql.average_rank('sig')}) - 1) / (n - 1) - 1 END AS scaled FROM kept WHERE n >= {MIN_NAMES})"]
+PREPARED = [*LAB, f"kept AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM sig WHERE sig IS NOT NULL AND {TRAIN})", f"ready AS (SELECT * REPLACE (sig AS sig), CASE WHEN n <= 1 THEN 0 ELSE 2.0 * (({sql.average_rank('round(sig, 12)')}) - 1) / (n - 1) - 1 END AS scaled FROM kept WHERE n >= {MIN_NAMES})"]
 
 
 def ic_cte(x: str = "scaled", y: str = "fwd_ret_5_demeaned", source_: str = "ready", spearman: bool = True, keys: str = "date", out: str = "ics", least: int = 0) -> str:
@@ -194,7 +194,7 @@ BOOK = [
     "moved AS (SELECT i, sum(abs(w - before)) AS dw FROM (SELECT i, w, coalesce(lag(w) OVER (PARTITION BY symbol ORDER BY i), 0) AS before FROM wide) GROUP BY i)",
 ]
 DAILY = BOOK + ["daily AS (SELECT date, gross, dw, gross - {cost} * 1e-4 * dw AS net FROM days JOIN moved USING (i))"]
-METRICS = "SELECT round(avg(net) / stddev_samp(net) * sqrt(252), 4) AS sharpe, round(avg(net) * 252, 6) AS ann_return, round(avg(dw) / 2, 6) AS turnover, round(min(curve / top - 1), 6) AS mdd, count(*) AS n_days FROM (SELECT *, max(curve) OVER (ORDER BY date) AS top FROM (SELECT *, exp(sum(ln(1 + net)) OVER (ORDER BY date)) AS curve FROM daily))"
+METRICS = "SELECT round(avg(net) / stddev_samp(net) * sqrt(252), 4) AS sharpe, round(avg(net) * 252, 6) AS ann_return, round(avg(dw) / 2, 6) AS turnover, round(min(curve / top - 1), 6) AS mdd, count(*) AS n_days FROM (SELECT *, max(curve) OVER (ORDER BY date) AS top FROM (SELECT *, product(1 + net) OVER (ORDER BY date) AS curve FROM daily))"
 
 
 def daily_ctes(cost: float) -> list[str]:
@@ -228,7 +228,7 @@ def _variant(name: str, spec: backtest.Spec, changed: list[str]) -> None:
 
 def _ready(sig: str = "sig", where: str = "true", least: int = MIN_NAMES, more: tuple[str, ...] = (), lag: int = 0) -> list[str]:
     shifted = f"shifted AS (SELECT * REPLACE (lag(sig, {lag}) OVER (PARTITION BY symbol ORDER BY pos) AS sig) FROM sig)" if lag else "shifted AS (SELECT * FROM sig)"
-    return [*LAB, *more, shifted, f"inside AS (SELECT * FROM shifted WHERE sig IS NOT NULL AND {TRAIN})", f"kept AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM inside WHERE {where})", f"flat AS (SELECT * REPLACE ({sig} AS sig) FROM kept WHERE n >= {least})", f"ready AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE 2.0 * (({sql.average_rank('sig')}) - 1) / (n - 1) - 1 END AS scaled FROM flat)"]
+    return [*LAB, *more, shifted, f"inside AS (SELECT * FROM shifted WHERE sig IS NOT NULL AND {TRAIN})", f"kept AS (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM inside WHERE {where})", f"flat AS (SELECT * REPLACE ({sig} AS sig) FROM kept WHERE n >= {least})", f"ready AS (SELECT *, CASE WHEN n <= 1 THEN 0 ELSE 2.0 * (({sql.average_rank('round(sig, 12)')}) - 1) / (n - 1) - 1 END AS scaled FROM flat)"]
 
 
 REGIMES = [

@@ -11,7 +11,8 @@ the full sets, in blocks. Only spanning links leave a node; star contractions jo
 Recall: a pair at the threshold t shares a tree's first node with chance t^2, so 16 trees miss it with
 (1 - t^2)^16: 1e-9 at 0.85, 8e-8 at 0.8. In groups so dense that their nodes stay large, the branching
 keeps one common leaf per tree in expectation. Large nodes that no longer shrink hold members that agree
-nearly everywhere; these are compared within blocks and with the node's pivot block.
+nearly everywhere; these are compared within blocks and with the node's pivot block, and then all their members
+outside the node's largest component with all others of the node, so no pair of a node stays uncompared.
 
 Defined results: texts of fewer words than a shingle are one shingle of all their words; null, empty
 and wordless texts have an empty set and are linked with nothing; rows with one id are one document, and one without an id is always kept;
@@ -133,23 +134,29 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
 
 
 def _clusters(percent: int):
-    """Rows (key, class, size, sketch) sorted by key and class, to clusters (cluster, class) of candidates."""
+    """Rows (key, class, size, sketch) sorted by key and class, to clusters (cluster, class) of candidates. With a fifth column, pairs that are equal there are no candidates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in whole_groups(batches):
             rep, size = b.column(1).to_numpy(), b.column(2).to_numpy()
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, POOL)
+            part = b.column(4).to_numpy() if b.num_columns > 4 else None
             out: list[tuple[np.ndarray, np.ndarray]] = []
             lengths = np.diff(at)
             two = at[:-1][lengths == 2]
             if len(two):
                 near = ((sketch[two] == sketch[two + 1]).sum(1) >= AGREE) & (100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1]))
+                if part is not None:
+                    near &= part[two] != part[two + 1]
                 pair = np.stack([rep[two[near]], rep[two[near] + 1]], 1)
                 name = mix(mix(pair[:, 0].astype(np.uint64)) + pair[:, 1].astype(np.uint64))
                 out.append((np.repeat(name, 2), pair.ravel()))
             for i, j in zip(at[:-1][lengths > 2].tolist(), at[1:][lengths > 2].tolist()):
                 s, z = sketch[i:j], size[i:j]
                 pairs = [np.stack([np.full(len(y), x), y + x + 1], 1) for x in range(j - i - 1) if len(y := np.flatnonzero(((s[x + 1 :] == s[x]).sum(1) >= AGREE) & (100 * np.minimum(z[x + 1 :], z[x]) >= percent * np.maximum(z[x + 1 :], z[x]))))]
+                if part is not None:
+                    g = part[i:j]
+                    pairs = [p for pair in pairs if len(p := pair[g[pair[:, 0]] != g[pair[:, 1]]])]
                 if not pairs:
                     continue
                 low = forest(j - i, np.concatenate(pairs))
@@ -211,6 +218,22 @@ def _confirmed(percent: int):
     return run
 
 
+def _apart(held: DataFrame, found: DataFrame, small: int) -> DataFrame:
+    """Nodes (key, class) that were compared in blocks, to leaves (key, class, component) in which each class outside its node's largest component meets all of the node."""
+    named = held.join(found, held.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    counts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    nodes = counts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("size")).where("size > main.n")
+    blocks = lambda n: F.ceil(n * 2 / small).cast("int")
+    rows = named.join(nodes.select("key", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("inner"), blocks(F.col("size") - F.col("main.n")).alias("outer")), "key")
+    block = F.pmod(F.xxhash64("rep", "key"), F.when(F.col("component") == F.col("main"), F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # a leaf is an outer block with an inner one (from -1 down), with itself or with another outer one
+    own = F.expr("transform(sequence(0, outer - 1), o -> struct(o AS a, -1 - block AS b))")
+    met = F.expr("concat(transform(sequence(0, inner - 1), i -> struct(block AS a, -1 - i AS b)), transform(sequence(0, outer - 1), o -> struct(least(block, o) AS a, greatest(block, o) AS b)))")
+    rows = rows.select("key", "rep", "component", F.explode(F.when(F.col("component") == F.col("main"), own).otherwise(met)).alias("leaf"))
+    return rows.select(F.xxhash64("key", "leaf.a", "leaf.b").alias("key"), "rep", "component")
+
+
 def _slot(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) + np.uint64(11)) >> np.uint64(64 - FILTER_BITS)
 
@@ -249,7 +272,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     base = stash(_signatures(docs, shingle, id_col, text_col))
     classes = stash(base.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     vectors = stash(base.join(classes, [base.n_shingles == classes.n_shingles, base.d1 == classes.d1, base.d2 == classes.d2, base.doc_id == classes.rep]).select("rep", base.n_shingles, base.d1, base.d2, "vec").dropDuplicates(["rep", "d1", "d2"]))
-    level, leaves = 0, None
+    level, leaves, held = 0, None, None
     nodes = stash(_shared(vectors.select("rep", "vec").mapInArrow(_roots, "key long, tree int, rep long")).withColumn("same", F.lit(0)))
     while True:
         large = F.col("size") > small
@@ -261,6 +284,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
             dealt = nodes.where(stuck).select("key", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "key"), blocks).cast("int").alias("block"))
             dealt = dealt.select("key", "rep", F.explode(F.when(F.col("block") > 0, F.array("block")).otherwise(F.expr("sequence(1, blocks - 1)"))).alias("block"))
             final = final.unionByName(dealt.select(F.xxhash64("key", "block").alias("key"), "rep"))
+            whole = nodes.where(stuck).select("key", "rep")
+            held = whole if held is None else held.unionByName(whole)
         leaves = final if leaves is None else leaves.unionByName(final)
         wide = nodes.where(large & ~stuck)
         if empty(wide):
@@ -271,12 +296,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         level += 1
     n = _parallel(spark)
     sketch = F.expr(f"unhex(array_join(transform(sequence(1, {4 * POOL}, 4), i -> hex(substring(vec, i, 1))), ''))")
-    rows = leaves.join(vectors.select("rep", "n_shingles", sketch.alias("sketch")), "rep").select("key", "rep", "n_shingles", "sketch")
-    clusters = stash(rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_clusters(percent), "cluster long, rep long").distinct())
-    alive = clusters.select("rep").distinct()
-    sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
-    links = clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(_confirmed(percent), "u long, v long")
-    found = components(links)
+
+    def links(leaves: DataFrame, *part: str) -> DataFrame:
+        rows = leaves.join(vectors.select("rep", "n_shingles", sketch.alias("sketch")), "rep").select("key", "rep", "n_shingles", "sketch", *part)
+        clusters = stash(rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_clusters(percent), "cluster long, rep long").distinct())
+        alive = clusters.select("rep").distinct()
+        sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
+        return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(_confirmed(percent), "u long, v long")
+
+    first = links(leaves)
+    if held is None:
+        found = components(first)
+    else:
+        first = stash(first)
+        found = components(first)
+        rest = stash(_apart(held, found, small))
+        if not empty(rest):
+            found = components(first.unionByName(links(rest, "component")))
     names = classes.join(found, classes.rep == found.node, "left").select(*(F.col(c).alias(f"c_{c}") for c in ("n_shingles", "d1", "d2")), F.coalesce("component", "rep").alias("component"))
     same = [F.col(c) == F.col(f"c_{c}") for c in ("n_shingles", "d1", "d2")]
     return base.join(names, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))

@@ -68,6 +68,22 @@ def test_dense_groups_end(spark):
     assert {r.component_id for r in got} == {0}
 
 
+def test_pairs_apart_from_a_dense_group_meet(spark):
+    """Pairs that are linked to nobody else, in nodes that hold nearly all documents and are compared in blocks."""
+    r, rows = random.Random(5), []
+    for k in range(80):
+        w = words(78, 400)
+        for _ in range(3):
+            w[r.randrange(len(w))] = f"pair{k}x{r.randrange(10**6)}"
+        v = list(w)
+        v[r.randrange(len(v))] = f"one{k}"
+        rows += [(i, " ".join(t), "en", "s", 1, 1, "", "", "") for i, t in ((k, w), (1000 + k, v))]
+    want = brute(rows, 3, 95)
+    assert len({c for _, c in want.values()}) == 80
+    got = near_dup.near_duplicates(table(spark, rows), 3, 95, small=8, depth=0).collect()
+    assert {x.doc_id: x.component_id for x in got} == {k: c for k, (_, c) in want.items()}
+
+
 def test_near_edges(spark):
     assert near_dup.near_duplicates(table(spark, []), 3, 85).count() == 0
     kept = near_dup.keep_one(table(spark))

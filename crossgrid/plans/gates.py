@@ -53,10 +53,10 @@ def walk_forward(ics: DataFrame, folds: DataFrame, drop: int) -> DataFrame:
 
 
 def cscv_pbo(returns: DataFrame, n_blocks: int = 8) -> DataFrame:
-    """Of returns (t, strategy, r): how often the best half-sample strategy falls below the median in the other half. Sharpe ratios of halves come from sums per block."""
+    """Of returns (t, strategy, r): how often the best half-sample strategy falls below the median in the other half. Blocks are of equal length, the remainder at the end is dropped. Sharpe ratios of halves come from sums per block."""
     spark = returns.sparkSession
-    length = returns.agg((F.max("t") + 1).alias("_len"))
-    stats = returns.crossJoin(length).withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy("block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
+    length = returns.agg((F.max("t") + 1 - (F.max("t") + 1) % n_blocks).alias("_len"))
+    stats = returns.crossJoin(length).where("t < _len").withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy("block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
     splits = spark.createDataFrame([(i, b, b in c) for i, c in enumerate(combinations(range(n_blocks), n_blocks // 2)) for b in range(n_blocks)], "split int, block int, inside boolean")
     half = stats.join(splits, "block").groupBy("split", "inside", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")

@@ -322,7 +322,7 @@ _CSCV = [
 
 @query("cscv_pbo", sql.query(_CSCV, "SELECT round(avg(CASE WHEN ln(p / (1 - p)) < 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS n_splits FROM best JOIN oos USING (m, strategy)"))
 def cscv_pbo(spark, sf_dir):
-    rows = source.panel(spark, sf_dir).where("pos BETWEEN 1 AND 320").select(F.col("symbol").alias("strategy"), (F.col("pos") - 1).cast("long").alias("t"), F.coalesce("returns", F.lit(0.0)).alias("r"))
+    rows = source.panel(spark, sf_dir).where("pos >= 1").select(F.col("symbol").alias("strategy"), (F.col("pos") - 1).cast("long").alias("t"), F.coalesce("returns", F.lit(0.0)).alias("r"))
     return summary(gates.pbo(rows))
 
 

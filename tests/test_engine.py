@@ -1,13 +1,15 @@
 import datetime as dt
+import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crossgrid import contracts
 from crossgrid.config import SPLITS
 from crossgrid.functions import stats
-from crossgrid.plans import backtest, gates, prices, stores, universe
-from crossgrid.sources import files, synthetic
+from crossgrid.plans import backtest, gates, prices, queries, stores, universe
+from crossgrid.sources import files, panel as source, synthetic
 
 D = dt.date
 
@@ -191,3 +193,33 @@ def test_ablation(spark, sf):
     from crossgrid.plans import research
 
     assert [r.thesis_id for r in research.ordered_events(events, "novelty", "statistics").collect()] == ["b"]
+
+
+def _plain_pbo(r, n_blocks=8):
+    """Of a matrix of returns (time by strategy), as the reference does it: whole blocks, the remainder dropped."""
+    q = len(r) // n_blocks
+    sr = lambda a: np.nan_to_num(a.mean(0) / np.where((s := a.std(0, ddof=1)) > 1e-12, s, np.nan))
+    below = []
+    for c in itertools.combinations(range(n_blocks), n_blocks // 2):
+        inside = np.isin(np.arange(q * n_blocks) // q, c)
+        a, b = sr(r[: q * n_blocks][inside]), sr(r[: q * n_blocks][~inside])
+        best = np.flatnonzero(a == a.max())[-1]
+        w = ((b < b[best]).sum() + ((b == b[best]).sum() + 1) / 2) / (r.shape[1] + 1)
+        below.append(w < 0.5)
+    return sum(below) / len(below)
+
+
+def test_overfitting_probability_drops_the_remainder_only(spark):
+    for t in (403, 356, 39):
+        r = np.random.default_rng(t).normal(size=(t, 12))
+        rows = spark.createDataFrame([(i, f"{k:02d}", float(r[i, k])) for i in range(t) for k in range(12)], "t long, strategy string, r double")
+        assert gates.pbo(rows).first().pbo == pytest.approx(_plain_pbo(r))
+
+
+def test_overfitting_query_takes_all_weeks(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(gates, "pbo", lambda rows: seen.append(rows) or rows.agg(F.lit(0.5).alias("pbo"), F.lit(70).alias("n_splits")))
+    queries.cscv_pbo(spark, sf)
+    want = source.panel(spark, sf).agg(F.max("pos")).first()[0]
+    got = seen[0].agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count_distinct("t").alias("n")).first()
+    assert (got.low, got.high, got.n) == (0, want - 1, want) and want > 320

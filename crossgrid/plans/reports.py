@@ -107,8 +107,8 @@ _SUBJECT_SQL = "CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, ex_date, subject, type, ratio: one action per sixteenth part, on a date by its key."""
-    part = source.read(spark, sf_dir, "part").where("p_partkey % 16 = 3")
+    """symbol, ex_date, subject, type, ratio: one action per part, on a date by its key."""
+    part = source.read(spark, sf_dir, "part")
     subject = F.element_at(F.array(*map(F.lit, SUBJECTS)), (F.col("p_partkey") % 9 + 1).cast("int"))
     rows = part.select("p_partkey", F.col("p_brand").alias("symbol"), F.date_add(F.lit("1995-06-01").cast("date"), (F.col("p_partkey") * 37 % 2300).cast("int")).alias("ex_date"), subject.alias("subject"))
     return rows.withColumn("_a", prices.action(F.col("subject"))).select("p_partkey", "symbol", "ex_date", "subject", "_a.type", "_a.ratio")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from crossgrid import contracts
 from crossgrid.config import SPLITS
 from crossgrid.functions import stats
-from crossgrid.plans import backtest, gates, prices, queries, stores, universe
+from crossgrid.plans import backtest, gates, prices, queries, reports, stores, universe
 from crossgrid.sources import files, panel as source, synthetic
 
 D = dt.date
@@ -223,3 +223,10 @@ def test_overfitting_query_takes_all_weeks(spark, sf, monkeypatch):
     want = source.panel(spark, sf).agg(F.max("pos")).first()[0]
     got = seen[0].agg(F.min("t").alias("low"), F.max("t").alias("high"), F.count_distinct("t").alias("n")).first()
     assert (got.low, got.high, got.n) == (0, want - 1, want) and want > 320
+
+
+def test_actions_come_from_all_parts(spark, sf):
+    keys = lambda d: sorted(r[0] for r in d.select("p_partkey").collect())
+    parts = keys(source.read(spark, sf, "part"))
+    assert keys(reports.actions(spark, sf)) == parts == keys(reports.ca_parse(spark, sf))
+    assert reports.ca_counts(spark, sf).agg(F.sum("n")).first()[0] == len(parts)

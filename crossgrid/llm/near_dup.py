@@ -9,7 +9,8 @@ compared exhaustively: sketches give candidate clusters, each cluster once, and
 the full sets, in blocks. Only spanning links leave a node; star contractions join them to components.
 
 Recall: a pair at the threshold t shares a tree's first node with chance t^2, so 16 trees miss it with
-(1 - t^2)^16: 1e-9 at 0.85, 8e-8 at 0.8. In groups so dense that their nodes stay large, the branching
+(1 - t^2)^16: 1e-9 at 0.85, 8e-8 at 0.8. Its sketches, the same in all trees, fall short with chance 1e-6
+at most. In groups so dense that their nodes stay large, the branching
 keeps one common leaf per tree in expectation. Large nodes that no longer shrink hold members that agree
 nearly everywhere; these are compared within blocks and with the node's pivot block, and then all their members
 outside the node's largest component with all others of the node, so no pair of a node stays uncompared.
@@ -21,6 +22,7 @@ ties go to the smallest id; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,8 @@ from .common import components, empty, prepare, stash, whole_groups
 from .words import Words, grams, mix, slices
 
 TREES, POOL, DEPTH, SMALL = 16, 64, 28, 1024
-#: Of POOL sketch bytes so many agree in a candidate pair; a linked pair falls short with chance 1e-6.
-AGREE = 40
+#: Chance at most with which a pair at the threshold agrees in too few sketch bytes to be a candidate.
+MISS = 1e-6
 FILTER_BITS = 26
 #: A large node that has STUCK times in a row kept SHRINKS of its parent's members isn't branched further.
 STUCK, SHRINKS = 3, 0.95
@@ -133,9 +135,22 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
         low = new
 
 
+def least_agreement(percent: int) -> int:
+    """Of POOL sketch bytes so many agree in a candidate pair: the most with which a pair at the threshold falls short with chance MISS at most, by the binomial tail."""
+    p, k, tail = percent / 100, 0, 0.0
+    while k < POOL:
+        tail += math.comb(POOL, k) * p**k * (1 - p) ** (POOL - k)
+        if tail > MISS:
+            break
+        k += 1
+    return k
+
+
 def _clusters(percent: int):
     """Rows (key, class, size, sketch) sorted by key and class, to clusters (cluster, class) of candidates. With a fifth column, pairs that are equal there are no candidates."""
 
+    agree = least_agreement(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in whole_groups(batches):
             rep, size = b.column(1).to_numpy(), b.column(2).to_numpy()
@@ -145,7 +160,7 @@ def _clusters(percent: int):
             lengths = np.diff(at)
             two = at[:-1][lengths == 2]
             if len(two):
-                near = ((sketch[two] == sketch[two + 1]).sum(1) >= AGREE) & (100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1]))
+                near = ((sketch[two] == sketch[two + 1]).sum(1) >= agree) & (100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1]))
                 if part is not None:
                     near &= part[two] != part[two + 1]
                 pair = np.stack([rep[two[near]], rep[two[near] + 1]], 1)
@@ -153,7 +168,7 @@ def _clusters(percent: int):
                 out.append((np.repeat(name, 2), pair.ravel()))
             for i, j in zip(at[:-1][lengths > 2].tolist(), at[1:][lengths > 2].tolist()):
                 s, z = sketch[i:j], size[i:j]
-                pairs = [np.stack([np.full(len(y), x), y + x + 1], 1) for x in range(j - i - 1) if len(y := np.flatnonzero(((s[x + 1 :] == s[x]).sum(1) >= AGREE) & (100 * np.minimum(z[x + 1 :], z[x]) >= percent * np.maximum(z[x + 1 :], z[x]))))]
+                pairs = [np.stack([np.full(len(y), x), y + x + 1], 1) for x in range(j - i - 1) if len(y := np.flatnonzero(((s[x + 1 :] == s[x]).sum(1) >= agree) & (100 * np.minimum(z[x + 1 :], z[x]) >= percent * np.maximum(z[x + 1 :], z[x]))))]
                 if part is not None:
                     g = part[i:j]
                     pairs = [p for pair in pairs if len(p := pair[g[pair[:, 0]] != g[pair[:, 1]]])]

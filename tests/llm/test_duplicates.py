@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 
 import numpy as np
@@ -84,6 +85,17 @@ def test_pairs_apart_from_a_dense_group_meet(spark):
     assert {x.doc_id: x.component_id for x in got} == {k: c for k, (_, c) in want.items()}
 
 
+def test_linked_pairs_agree_enough():
+    """By the binomial tail, pairs at the threshold fall short of the agreement with chance 1e-6 at most, and one more would be too much."""
+    for percent in (50, 80, 85, 95):
+        p, k = percent / 100, near_dup.least_agreement(percent)
+        pmf = [math.comb(64, i) * p**i * (1 - p) ** (64 - i) for i in range(65)]
+        assert sum(pmf[:k]) <= 1e-6 < sum(pmf[: k + 1])
+    sketch = bytes([1] * 36 + [2] * 28), bytes([1] * 36 + [3] * 28)
+    rows = pa.record_batch([pa.array([7, 7]), pa.array([1, 2]), pa.array([100, 100]), pa.array(sketch)], ["key", "rep", "size", "sketch"])
+    assert [sum(b.num_rows for b in near_dup._clusters(x)([rows])) for x in (80, 85)] == [2, 0]
+
+
 def test_near_edges(spark):
     assert near_dup.near_duplicates(table(spark, []), 3, 85).count() == 0
     kept = near_dup.keep_one(table(spark))

@@ -35,7 +35,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("packing", packs)]
 
-#: SQL expresses neither certified cutoffs, Gumbel noise, chosen paths nor gear hashes; tests compare each stage with a brute-force version.
+#: SQL expresses neither certified cutoffs, Gumbel noise, chosen paths nor gear hashes. Tests hold operators against plain versions, near duplicates against all pairs; none yet compares the rows of each stage.
 ORACLE_SQL = None
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 
 #: Fixed values of the template. A turn: BOT role EOR text EOT.
 BOT, EOR, EOT = "<s>[INST] ", " [/INST]\n", "</s>\n"
@@ -127,7 +127,7 @@ def format_turns(rows: DataFrame, parts: Column, id_col: str = "conv_id", turn_c
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array([turn(r, "".join(f.text)) for r, f in zip(roles, flat)], pa.string()), pa.array([r == "assistant" for r in roles]), pa.array(attached, kind), pa.array([sum(a.tokens for a in f.attachments) for f in flat], pa.int64())], ["conv_id", "turn", "role", "formatted", "loss", "attachments", "attached_tokens"])
 
     given = rows.select(F.col(id_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), parts.cast(PARTS).alias("parts"))
-    return given.mapInArrow(run, "conv_id long, turn long, role string, formatted string, loss boolean, attachments array<struct<kind:string,ref:string,position:long,tokens:long>>, attached_tokens long")
+    return given.mapInArrow(tidy(run), "conv_id long, turn long, role string, formatted string, loss boolean, attachments array<struct<kind:string,ref:string,position:long,tokens:long>>, attached_tokens long")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -187,7 +187,7 @@ def chat_report(rows: DataFrame, parts: Column | None = None) -> DataFrame:
     turns = format_turns(rows, text_parts() if parts is None else parts)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = turns.select("conv_id", "turn", "role", "formatted").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return dealt.select("conv_id", "formatted").mapInArrow(_digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return dealt.select("conv_id", "formatted").mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def sample_conversation(spark: SparkSession) -> DataFrame:

@@ -46,6 +46,39 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: What a worker holds between tasks: one large object by name.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, make):
+    """The object of this name that the worker made first; one of another name, an operator's before, goes."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def tidy(fn, holds: str = ""):
+    """For mapInArrow: fn, after whose task the worker gives back what memory it no longer uses; what other operators held goes before it begins."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        if holds not in _HELD:
+            _HELD.clear()
+        try:
+            yield from fn(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 
@@ -112,7 +145,7 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     return stars.unionByName(stars.select(F.col("component").alias("node"), "component").distinct())
 
 
-def append(rows: DataFrame, keep: list[str], args: list[Column], fields: list[tuple[str, str, object]], fn, size: int = 4 << 20) -> DataFrame:
+def append(rows: DataFrame, keep: list[str], args: list[Column], fields: list[tuple[str, str, object]], fn, size: int = 1 << 20) -> DataFrame:
     """The columns ``keep`` and new ones that fn gives from the args (Arrow arrays; the first is a text, by whose bytes batches are cut). fields: name, Spark type, Arrow type."""
     import pyarrow as pa
 
@@ -130,4 +163,4 @@ def append(rows: DataFrame, keep: list[str], args: list[Column], fields: list[tu
                 new = fn(*(part.column(n + k) for k in range(many)))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), *(c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, _, t) in zip(new, fields))], [*part.schema.names[:n], *(f[0] for f in fields)])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(tidy(run), schema)

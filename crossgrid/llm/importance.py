@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, prepare, stash
+from .common import append, prepare, stash, tidy
 from .words import Words, grams, mix, slices
 
 BUCKETS, SMOOTH, MAX_LABELS = 10_000, 1.0, 20_000
@@ -65,7 +65,7 @@ def fit(docs: DataFrame, target: np.ndarray, id_col: str = "doc_id", text_col: s
         some = np.flatnonzero(raw)
         yield pa.record_batch([pa.array(some.astype(np.int32)), pa.array(good[some]), pa.array(raw[some])], ["bucket", "good", "all"])
 
-    counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "bucket int, good long, all long")
+    counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "bucket int, good long, all long")
     good, raw = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counted.groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("all").alias("raw")).collect():
         good[r.bucket], raw[r.bucket] = r.good, r.raw

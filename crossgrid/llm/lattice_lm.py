@@ -26,11 +26,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash, whole_groups
+from .common import prepare, stash, tidy, whole_groups
 from .words import Words, slices
 
 HOLD_OUT, FOLDS = 2, 7
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 16 << 20
 #: Added to the count of each piece.
 PRIOR = 0.1
 SPACE = "▁"
@@ -142,7 +142,7 @@ def _marginals(path: str, log: np.ndarray):
     return run
 
 
-_ANSWER = np.dtype([("hash", "<u8"), ("c", "<i8"), ("log_p", "<f4")])
+_ANSWER = np.dtype([("hash", "<u8"), ("c", "<i8"), ("log_p", "<f8")])
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,20 +206,20 @@ def lm_scores(docs: DataFrame, piece_model: str, scanned: bool = False, id_col:
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = (rows if scanned else stash(rows)).withColumn("block", F.xxhash64(F.input_file_name(), F.input_file_block_start()))
-    asked = stash(rows.select("block", (~held_out("doc_id")).alias("train"), "text").mapInArrow(_vocabulary, "block long, hash long, word string, c long"))
+    asked = stash(rows.select("block", (~held_out("doc_id")).alias("train"), "text").mapInArrow(tidy(_vocabulary), "block long, hash long, word string, c long"))
     words = stash(asked.groupBy("hash", "word").agg(F.sum("c").alias("c")))
     seen = words.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     ends = rows.where(~held_out("doc_id")).count()
     pieces = Pieces(piece_model)
     counts = np.full(len(pieces.names), PRIOR)
-    for r in words.where("c > 0").select("word", "c").mapInArrow(_piece_counts(piece_model), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row per piece at most
+    for r in words.where("c > 0").select("word", "c").mapInArrow(tidy(_piece_counts(piece_model)), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():  # a row per piece at most
         counts[r.piece] += r.n
     counts[pieces.end] += ends
     log = np.log(counts / counts.sum())
-    scored = words.select("hash", "word", "c").mapInArrow(_marginals(piece_model, log), "hash long, c long, log_p double")
-    answers = asked.select("block", "hash").join(scored, "hash").select("block", "hash", "c", "log_p").mapInArrow(_answers, "block long, part int, data binary")
-    parcels = rows.select("block", "doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(_parcels, "block long, part int, data binary")
+    scored = words.select("hash", "word", "c").mapInArrow(tidy(_marginals(piece_model, log)), "hash long, c long, log_p double")
+    answers = asked.select("block", "hash").join(scored, "hash").select("block", "hash", "c", "log_p").mapInArrow(tidy(_answers), "block long, part int, data binary")
+    parcels = rows.select("block", "doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(tidy(_parcels), "block long, part int, data binary")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     together = answers.unionByName(parcels).repartition(n, "block").sortWithinPartitions("block", "part")
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together.mapInArrow(_score(seen[1] + ends, seen[0] + (ends > 0), ends, float(log[pieces.end])), fields)
+    return together.mapInArrow(tidy(_score(seen[1] + ends, seen[0] + (ends > 0), ends, float(log[pieces.end]))), fields)

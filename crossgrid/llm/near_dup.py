@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, empty, prepare, stash, whole_groups
+from .common import components, empty, prepare, stash, tidy, whole_groups
 from .words import Words, grams, mix, slices
 
 TREES, POOL, DEPTH, SMALL = 16, 64, 28, 1024
@@ -82,7 +82,7 @@ def _signatures(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFram
                         vec[k] = v.tobytes()
                 yield pa.record_batch([part.column(0), pa.array([len(s) for s in sets], pa.int64()), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array(vec, pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "vec"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, vec binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, vec binary")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -262,7 +262,7 @@ def _filter(alive: DataFrame) -> np.ndarray:
             yield pa.record_batch([pa.array((slot >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (slot & np.uint64(63))).astype(np.int64))], ["word", "bits"])
 
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    for r in alive.mapInArrow(run, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
+    for r in alive.mapInArrow(tidy(run), "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect():
         out[r.word] = r.bits & (1 << 64) - 1
     return out
 
@@ -278,7 +278,7 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: np.ndarra
                 digests = [set_digest(s) for s in sets]
                 yield pa.record_batch([part.column(0), *(pa.array([d[k] for d in digests], pa.int64()) for k in (0, 1)), pa.array([s.tobytes() for s in sets], pa.binary())], ["rep", "d1", "d2", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "rep long, d1 long, d2 long, tokens binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "rep long, d1 long, d2 long, tokens binary")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH) -> DataFrame:
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     classes = stash(base.where("n_shingles > 0").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")))
     vectors = stash(base.join(classes, [base.n_shingles == classes.n_shingles, base.d1 == classes.d1, base.d2 == classes.d2, base.doc_id == classes.rep]).select("rep", base.n_shingles, base.d1, base.d2, "vec").dropDuplicates(["rep", "d1", "d2"]))
     level, leaves, held = 0, None, None
-    nodes = stash(_shared(vectors.select("rep", "vec").mapInArrow(_roots, "key long, tree int, rep long")).withColumn("same", F.lit(0)))
+    nodes = stash(_shared(vectors.select("rep", "vec").mapInArrow(tidy(_roots), "key long, tree int, rep long")).withColumn("same", F.lit(0)))
     while True:
         large = F.col("size") > small
         stuck = large & ((F.col("same") >= STUCK) | F.lit(level == depth))
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         wide = nodes.where(large & ~stuck)
         if empty(wide):
             break
-        children = wide.join(vectors.select("rep", "vec"), "rep").select("key", "tree", "rep", "vec", "size", "same").mapInArrow(_branches(level, 100 / percent - 1), "key long, tree int, rep long, parent long, same int")
+        children = wide.join(vectors.select("rep", "vec"), "rep").select("key", "tree", "rep", "vec", "size", "same").mapInArrow(tidy(_branches(level, 100 / percent - 1)), "key long, tree int, rep long, parent long, same int")
         same = F.when(F.col("size") >= SHRINKS * F.col("parent"), F.col("same") + 1).otherwise(0)
         nodes = stash(_shared(stash(children)).withColumn("same", same))
         level += 1
@@ -314,10 +314,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def links(leaves: DataFrame, *part: str) -> DataFrame:
         rows = leaves.join(vectors.select("rep", "n_shingles", sketch.alias("sketch")), "rep").select("key", "rep", "n_shingles", "sketch", *part)
-        clusters = stash(rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(_clusters(percent), "cluster long, rep long").distinct())
+        clusters = stash(rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long").distinct())
         alive = clusters.select("rep").distinct()
         sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
-        return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(_confirmed(percent), "u long, v long")
+        return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(tidy(_confirmed(percent)), "u long, v long")
 
     first = links(leaves)
     if held is None:

@@ -1,157 +1,148 @@
 """Mixture-controlled packing of documents into token sequences.
 
-Documents are dealt to packs by a hash of their id, so every pack has all sources and no source, however
-large, is one task's. In a pack each source is a queue. Deficit round-robin fills every window: a source
-earns its target share of the window, spends what it can, and carries the rest to the next one. What earlier packs
-owe a source follows from counts of tokens by pack and source, so deficits carry across partitions without
-one waiting for another. Documents are cut where a share ends.
+Sources are queues with target shares. The whole corpus is one sequence of windows: a source that is still full
+earns its share of every window, and shares of sources that have run dry go to the others in proportion. How many tokens
+of each source the first x tokens hold follows from the totals by source alone, so the sequence is cut into
+packs of equal size and every document knows its packs from its place in its source; packs are filled apart, yet each goes on
+with the deficits at which the one before it ends. Deficit round-robin fills the windows of a pack:
+a source earns its share, spends whole tokens, and carries the rest. Documents are cut where a share or a pack ends.
+
+Places come without a shuffle: each encoding task counts the tokens of a source before a document, and totals by
+task and source are summed over tasks. So no source, id or text, however frequent or long, is one task's, and all packs but the last are full.
 
 A pack's last, short window becomes sequences of powers of two, so nothing is padded at all.
 
 Defined results: null and empty texts are the end id alone; a null source is a source of its own, named by an
-empty string; rows with one id follow each other by length and text; sources without a given target share
-what the others leave; a source that runs dry leaves its share to the others; an empty table gives no pieces; other columns are not read.
+empty string; rows with one id are packed each; sources without a given target share
+what the others leave by a power of their tokens; a target of 0 comes when the others are dry; a source that runs dry leaves its share to the others;
+beyond QUEUES sources the smallest share a queue; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
 
-import json
 import math
-import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import _CONTROL, _WHITE, LONGEST, Recent
-from .common import append, stash, string_id, whole_groups
+from .common import held, prepare, stash, string_id, tidy, whole_groups
+from .encoder import Encoder
+from .words import SLICE, slices
 
 WINDOW, END_ID, PACK_TOKENS = 2048, 1, 4 << 20
+#: Sources with queues of their own, and partitions of the last shuffle at most.
+QUEUES, PARTITIONS = 1024, 50_000
+#: Without given targets, shares go by this power of a source's tokens: below 1, small sources count more.
+POWER = 0.7
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
-_OPEN: dict = {}
-
-
-#: White-space chunks, and words, that a worker remembers (twice as many at most), and the last code point of plain words.
-CHUNKS, WORDS, PLAIN = 500_000, 250_000, "\u024f"
-
-
-class _Encoder:
-    """Ids of white-space chunks as little-endian 16- or 32-bit words. What isn't remembered goes to the library together: plain words in lower case without the mark that ends them, which most new chunks share with known ones, and other chunks as they are."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.chunks, self.words = Recent(self._one, CHUNKS, LONGEST), Recent(self._one, WORDS, LONGEST)
-        self.plain = _lowers(path)
-        self.final = np.array([(self.library.id_to_token(i) or "").endswith("</w>") for i in range(self.library.get_vocab_size())])
-
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _learn(self, memory: Recent, new: list[str]) -> None:
-        """Puts texts into a memory, those that its older half has from there."""
-        if len(memory) + len(new) > memory.most:
-            memory.old = dict(memory)
-            memory.clear()
-        old = memory.old
-        memory.update((t, old[t]) for t in new if t in old)
-        more = [t for t in new if t not in old]
-        memory.update((t, np.array(e.ids, self.kind).tobytes()) for t, e in zip(more, self.library.encode_batch_fast(more, add_special_tokens=False)))
-
-    def _learn_words(self, new: list[str]) -> None:
-        """Plain words as one text: each is one pretoken, and so ends at the next id that ends a word."""
-        memory = self.words
-        if len(memory) + len(new) > memory.most:
-            memory.old = dict(memory)
-            memory.clear()
-        old = memory.old
-        memory.update((t, old[t]) for t in new if t in old)
-        more = [t for t in new if t not in old]
-        if not more:
-            return
-        ids = np.array(self.library.encode_batch_fast([" ".join(more)], add_special_tokens=False)[0].ids, self.kind)
-        ends = ((np.flatnonzero(self.final[ids]) + 1) * self.kind.itemsize).tolist()
-        if len(ends) != len(more):
-            self._learn(memory, more)
-            return
-        data = ids.tobytes()
-        memory.update(zip(more, [data[i:j] for i, j in zip([0, *ends[:-1]], ends)]))
-
-    def _parts(self, chunk: str) -> tuple[str, str] | None:
-        """The word and the mark of a plain chunk."""
-        end = chunk[-1] if chunk[-1] in ".,;:!?" else ""
-        word = chunk[:-1].lower() if end else chunk.lower()
-        return (word, end) if word.isalpha() and max(word) <= PLAIN else None
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split = [[] if not t else [c for c in _WHITE.split(t) if c] if _CONTROL.search(t) else t.split() for t in texts]
-        chunks, old = self.chunks, self.chunks.old
-        new = [c for c in set().union(*split) if c not in chunks and len(c) <= LONGEST]
-        if new and self.plain:
-            parts = {c: p for c in new if c not in old and (p := self._parts(c))}
-            self._learn_words([w for w in {p[0] for p in parts.values()} if w not in self.words])
-            words = self.words
-            self._learn(chunks, [c for c in new if c not in parts])
-            chunks.update((c, words[w] + words[e] if e else words[w]) for c, (w, e) in parts.items())  # a mark is soon a known word
-        elif new:
-            self._learn(chunks, new)
-        return [b"".join([chunks[c] for c in s]) for s in split]
-
-
-def _lowers(path: str) -> bool:
-    """Whether the file splits texts as plain words need it: lower case, words and marks apart."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    kinds = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
-    patterns = [p.get("pattern", {}).get("Regex", "") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-    return kinds == ["NFC", "Replace", "Lowercase"] and any(r"[\p{L}]+" in p for p in patterns)
-
-
-def _encoder(path: str) -> _Encoder:
-    if path not in _OPEN:
-        _OPEN.clear()
-        _OPEN[path] = _Encoder(path)
-    return _OPEN[path]
-
-
-def tokens(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, source_col: str, end_id: int = END_ID) -> DataFrame:
-    """Rows (doc_id, source, ids, n): the ids of each text and the end id, as bytes."""
-
-    def encoded(text: pa.Array) -> list:
-        encoder = _encoder(tokenizer)
-        out, kind = encoder(text.to_pylist()), encoder.kind
-        end = np.array([end_id], kind).tobytes()
-        return [pa.array([x + end for x in out], pa.binary()), np.array([len(x) // kind.itemsize + 1 for x in out], np.int64), np.full(len(out), kind.itemsize, np.int32)]
+
+def tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", end_id: int = END_ID) -> DataFrame:
+    """Rows (part, source, place, doc_id, n, width, ids): the ids of each text and the end id, n of width bytes each; place: tokens of the source before it in its task's part."""
+    prepare(docs.sparkSession)
+    name = f"encoder {tokenizer}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, part, before = held(name, lambda: Encoder(tokenizer)), TaskContext.get().partitionId(), {}
+        width = encoder.kind.itemsize
+        end = np.array([end_id], encoder.kind).tobytes()
+        for b in batches:
+            for i, j in slices(b.column(2), 2 * SLICE):
+                ids, at = encoder(b.column(2).slice(i, j - i))
+                data, cut = ids.tobytes(), (at * width).tolist()
+                n = np.diff(at) + 1
+                place = []
+                for s, k in zip(b.column(1).slice(i, j - i).to_pylist(), n.tolist()):
+                    place.append(before.get(s, 0))
+                    before[s] = place[-1] + k
+                cols = [pa.array(np.full(j - i, part, np.int64)), b.column(1).slice(i, j - i), pa.array(place, pa.int64()), b.column(0).slice(i, j - i), pa.array(n), pa.array(np.full(j - i, width, np.int32)), pa.array([data[x:y] + end for x, y in zip(cut[:-1], cut[1:])], pa.binary())]
+                yield pa.record_batch(cols, ["part", "source", "place", "doc_id", "n", "width", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), string_id(source_col).alias("source"), F.col(text_col).cast("string").alias("text"))
-    return append(rows, ["doc_id", "source"], [F.col("text")], [("ids", "binary", pa.binary()), ("n", "bigint", pa.int64()), ("width", "int", pa.int32())], encoded, 2 << 20)
+    return rows.mapInArrow(tidy(run, name), "part long, source string, place long, doc_id long, n long, width int, ids binary")
+
+
+class Mixture:
+    """How many tokens of each source the first x tokens of all hold: min(total, weight * t), where t is such that they sum to x."""
+
+    def __init__(self, totals: np.ndarray, weights: np.ndarray, pack: int):
+        self.totals, self.pack = totals.astype(np.int64), pack
+        self.weights = np.maximum(weights, weights.max(initial=0) * 1e-9)
+        self.packs = max(1, math.ceil(int(self.totals.sum()) / pack))
+        dry = self.totals / self.weights
+        order = np.argsort(dry, kind="stable")
+        full = np.concatenate([np.cumsum(self.weights[order][::-1])[::-1][1:], [0]])
+        self.t = np.concatenate([[0], dry[order]])
+        self.x = np.maximum.accumulate(np.concatenate([[0], np.cumsum(self.totals[order]) + dry[order] * full]))
+
+    def quota(self, x: float) -> np.ndarray:
+        return np.minimum(self.totals, self.weights * np.interp(x, self.x, self.t))
+
+    def low(self, q: int, pack: np.ndarray) -> np.ndarray:
+        """By pack the tokens of a source before it."""
+        some = np.floor(np.minimum(self.totals[q], self.weights[q] * np.interp(pack * float(self.pack), self.x, self.t))).astype(np.int64)
+        return np.where(pack >= self.packs, self.totals[q], some)
+
+    def packs_of(self, q: int, at: np.ndarray) -> np.ndarray:
+        """The packs that hold these tokens of a source: a guess, put right by the packs' bounds."""
+        k = np.clip(np.interp(at / self.weights[q], self.t, self.x) // self.pack, 0, self.packs - 1).astype(np.int64)
+        while True:
+            step = (at >= self.low(q, k + 1)).astype(np.int64) - (at < self.low(q, k))
+            if not step.any():
+                return k
+            k = k + step
+
+
+def _deal(mix: Mixture, parts: int):
+    """(queue, place, doc_id, n, width, ids) to a row for each pack that a document touches: (to, pack, queue, place, doc_id, start, n, width, ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            queue, place, n, width = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3, 4))
+            first, last = np.empty(len(queue), np.int64), np.empty(len(queue), np.int64)
+            for q in np.unique(queue).tolist():
+                own = queue == q
+                first[own], last[own] = mix.packs_of(q, place[own]), mix.packs_of(q, place[own] + n[own] - 1)
+            row = np.repeat(np.arange(len(queue)), last - first + 1)
+            pack = first[row] + np.arange(len(row)) - np.searchsorted(row, row)
+            start, stop = np.zeros(len(row), np.int64), n[row].astype(np.int64)
+            ids = b.column(5).take(pa.array(row)) if len(row) > len(queue) else b.column(5)
+            cut = np.flatnonzero((last > first)[row])
+            if len(cut):
+                for i in cut.tolist():
+                    q, at = int(queue[row[i]]), place[row[i]]
+                    low, high = mix.low(q, np.array([pack[i], pack[i] + 1])) - at
+                    start[i], stop[i] = max(start[i], low), min(stop[i], high)
+                keep = np.flatnonzero(stop > start)
+                row, pack, start, stop = row[keep], pack[keep], start[keep], stop[keep]
+                ids = pa.array([b.column(5)[int(r)].as_py()[x * w : y * w] for r, x, y, w in zip(row.tolist(), start.tolist(), stop.tolist(), width[row].tolist())], pa.binary())
+            cols = [(pack * parts // mix.packs).astype(np.int32), pack, queue[row].astype(np.int32), place[row] + start]
+            yield pa.record_batch([*map(pa.array, cols), b.column(2).take(pa.array(row)), pa.array(start), pa.array(n[row].astype(np.int64)), pa.array(width[row].astype(np.int32)), ids], ["to", "pack", "queue", "place", "doc_id", "start", "n", "width", "ids"])
+
+    return run
 
 
 class Queue:
     """A source's documents of a pack: hands out pieces."""
 
-    def __init__(self, share: float, deficit: float):
-        self.share, self.deficit, self.left, self.docs, self.at, self.pos = share, deficit, 0, [], 0, 0
+    def __init__(self, deficit: float = 0.0):
+        self.deficit, self.left, self.docs, self.at, self.pos = deficit, 0, [], 0, 0
 
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        self.docs.append((doc, ids))
+    def add(self, doc: int | None, start: int, total: int, ids: np.ndarray) -> None:
+        self.docs.append((doc, start, total, ids))
         self.left += len(ids)
 
-    def take(self, n: int) -> Iterator[tuple[int, int, np.ndarray, int]]:
+    def take(self, n: int) -> Iterator[tuple[int | None, int, np.ndarray, int]]:
         self.left -= n
         while n:
-            doc, ids = self.docs[self.at]
+            doc, start, total, ids = self.docs[self.at]
             piece = ids[self.pos : self.pos + n]
-            yield doc, self.pos, piece, len(ids)
+            yield doc, start + self.pos, piece, total
             n -= len(piece)
             self.pos += len(piece)
             if self.pos == len(ids):
@@ -159,84 +150,93 @@ class Queue:
                 self.at, self.pos = self.at + 1, 0
 
 
-def schedule(queues: list[Queue], window: int) -> list[tuple[Queue, int]]:
-    """How much of a window each queue fills; deficits move on."""
-    full = sum(q.share for q in queues if q.left) or 1.0
-    for q in queues:
-        if q.left:
-            q.deficit += window * q.share / full
+def schedule(queues: list[Queue], earned: list[float], window: int) -> list[tuple[Queue, int]]:
+    """How much of a window each queue fills: the whole tokens of what it has earned, then one of each in turn by deficit. Deficits move on."""
+    for q, e in zip(queues, earned):
+        q.deficit += e
     order = sorted((q for q in queues if q.left), key=lambda q: -q.deficit)
     room, out = window, []
     for q in order:
         n = min(q.left, room, max(0, int(q.deficit)))
         out.append([q, n])
         room -= n
-    for x in out:  # what whole tokens and dry queues leave goes by deficit
-        if not room:
-            break
-        n = min(x[0].left - x[1], room)
-        x[1] += n
-        room -= n
+    while room:
+        live = [x for x in out if x[0].left > x[1]]
+        for x in live:
+            n = min(room, x[0].left - x[1], max(1, room // len(live)))
+            x[1] += n
+            room -= n
     for q, n in out:
         q.deficit -= n
     return [(q, n) for q, n in out if n]
 
 
-def fill(queues: list[Queue], window: int) -> Iterator[tuple[int, int, tuple]]:
-    """(sequence, offset, piece) until all queues are dry."""
-    seq, left = 0, sum(q.left for q in queues)
+def fill(mix: Mixture, pack: int, queues: dict[int, Queue], window: int) -> Iterator[tuple[int, int, tuple]]:
+    """(sequence, offset, piece) until all queues of a pack are dry."""
+    at = float(pack) * mix.pack
+    quota = mix.quota(at)
+    names = list(queues)
+    for k in names:
+        queues[k].deficit = float(quota[k] - mix.low(k, np.array([pack]))[0])
+    left = sum(q.left for q in queues.values())
     sizes = [window] * (left // window) + [1 << k for k in range(window.bit_length() - 1, -1, -1) if left % window >> k & 1]
-    for size in sizes:
+    for seq, size in enumerate(sizes):
+        at += size
+        now = mix.quota(at)
         offset = 0
-        for q, n in schedule(queues, size):
+        for q, n in schedule(list(queues.values()), (now - quota)[names].tolist(), size):
             for piece in q.take(n):
                 yield seq, offset, piece
                 offset += len(piece[2])
-        seq += 1
+        quota = now
 
 
-def _pack(window: int):
+def _pack(mix: Mixture, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, at in whole_groups(batches):
             for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                pack, head, source, share, deficit, doc, ids, width = (b.column(k).slice(i, j - i) for k in range(8))
-                queues: dict[str, Queue] = {}
-                data = ids.to_pylist()
-                for h, s, f, d, x, raw, w in zip(head.to_pylist(), source.to_pylist(), share.to_pylist(), deficit.to_pylist(), doc.to_pylist(), data, width.to_pylist()):
-                    if h == 0:
-                        queues[s] = Queue(f, d)
-                    else:
-                        queues[s].add(x, np.frombuffer(raw, f"<u{w}"))
-                rows = [(p[0], p[1], len(p[2]), zlib.crc32(p[2].astype("<u4").tobytes()), p[3], seq, offset) for seq, offset, p in fill(list(queues.values()), window)]
-                if rows:
-                    cols = [np.array(c, object) if k == 0 else np.array(c, np.int64) for k, c in enumerate(zip(*rows))]
-                    cols[5] += pack[0].as_py() << 32
-                    yield pa.record_batch([pa.array(c.tolist() if k == 0 else c, pa.int64()) for k, c in enumerate(cols)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                queues: dict[int, Queue] = {}
+                part = b.slice(i, j - i)
+                pack = part.column(0)[0].as_py()
+                for q, doc, start, n, w, raw in zip(*(part.column(k).to_pylist() for k in range(1, 7))):
+                    queues.setdefault(q, Queue()).add(doc, start, n, np.frombuffer(raw, f"<u{w}"))
+                rows = [(p[0], p[1], len(p[2]), zlib.crc32(p[2].astype("<u4").tobytes()), p[3], seq, offset) for seq, offset, p in fill(mix, pack, queues, window)]
+                cols = list(zip(*rows))
+                cols[5] = (np.array(cols[5], np.int64) + (pack << 32)).tolist()
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, window: int = WINDOW, pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per piece. targets: shares by source, normed over the sources that occur; null: each source's share of all tokens."""
-    if window & (window - 1):
-        raise ValueError("the window must be a power of two")
+def shares(totals: dict[str | None, int], targets: dict[str, float] | None, power: float) -> dict[str | None, float]:
+    """By source its share of every window: as given, or of what is left by a power of its tokens."""
+    targets = targets or {}
+    rest = {s: n**power for s, n in totals.items() if s not in targets}
+    left = max(0.0, 1 - sum(targets.get(s, 0.0) for s in totals))
+    return {s: float(targets[s]) if s in targets else left * rest[s] / sum(rest.values()) for s in totals}
+
+
+def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, power: float = POWER, window: int = WINDOW, pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per piece. targets: shares by source of each window; sources without one share the rest by this power of their tokens (1: as they are)."""
+    if window & (window - 1) or pack_tokens % window:
+        raise ValueError("the window must be a power of two, and a pack some windows")
+    spark = docs.sparkSession
     rows = stash(tokens(docs, tokenizer, id_col, text_col, source_col))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    packs = max(1, math.ceil(total / pack_tokens))
-    rows = rows.withColumn("pack", F.pmod(F.xxhash64("doc_id"), F.lit(packs)).cast("long"))
-    by = rows.groupBy("pack", "source").agg(F.sum("n").alias("n"))
-    # every source has a row in every pack's prefix sums, by the packs in which it occurs
-    own = by.groupBy("source").agg(F.sum("n").alias("all"))
-    if targets:
-        rest = max(0.0, 1 - sum(targets.values()))
-        given = F.coalesce(*(F.when(F.col("source") == s, F.lit(float(t))) for s, t in targets.items()), F.lit(None).cast("double"))
-        share = F.coalesce(given, rest * F.col("all") / total)
-    else:
-        share = F.col("all") / F.lit(max(total, 1))
-    until = by.groupBy("pack").agg(F.sum("n").alias("here")).withColumn("before", F.sum("here").over(Window.orderBy("pack")) - F.col("here"))  # a row per pack
-    heads = by.join(own.select("source", share.alias("share")), "source").join(until, "pack").withColumn("had", F.sum("n").over(Window.partitionBy("source").orderBy("pack")) - F.col("n"))
-    none = F.lit(None)
-    heads = heads.select("pack", F.lit(0).alias("head"), "source", "share", (F.col("share") * F.col("before") - F.col("had")).alias("deficit"), none.cast("long").alias("doc_id"), none.cast("binary").alias("ids"), none.cast("int").alias("width"))
-    body = rows.select("pack", F.lit(1).alias("head"), "source", none.cast("double").alias("share"), none.cast("double").alias("deficit"), "doc_id", "ids", "width")
-    dealt = heads.unionByName(body).repartition(packs, "pack").sortWithinPartitions("pack", "head", "source", F.xxhash64("doc_id", F.lit(1)), "doc_id", F.length("ids"), "ids")
-    return dealt.mapInArrow(_pack(window), SCHEMA)
+    by = rows.groupBy("part", "source").agg(F.max(F.col("place") + F.col("n")).alias("n"))
+    total, count = by.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_distinct("source")).first()
+    if not total:
+        return spark.createDataFrame([], SCHEMA)
+    totals = {r.source: r.n for r in by.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES - 1).collect()}  # the largest; all others are one queue
+    names = list(totals)
+    if count > len(names):
+        totals[None] = total - sum(totals.values())
+    weights = shares(totals, targets, power)
+    mix = Mixture(np.array([*totals.values()]), np.array([*weights.values()]), pack_tokens)
+    queues = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source string, queue int")
+    bases = by.join(queues, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
+    bases = bases.select("part", "source", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base"))  # a row per task and source
+    parts = min(mix.packs, PARTITIONS)
+    placed = rows.join(bases, ["part", "source"]).select("queue", (F.col("base") + F.col("place")).alias("place"), "doc_id", "n", "width", "ids")
+    dealt = placed.mapInArrow(tidy(_deal(mix, parts)), "to int, pack long, queue int, place long, doc_id long, start long, n long, width int, ids binary")
+    dealt = dealt.repartitionById(parts, F.col("to")).sortWithinPartitions("pack", "queue", "place").select("pack", "queue", "doc_id", "start", "n", "width", "ids")
+    return dealt.mapInArrow(tidy(_pack(mix, window)), SCHEMA)

@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, stash
-from .words import SLICE, Words, _SPACE, grams, mix, slices
+from .common import prepare, stash, tidy
+from .words import Words, _SPACE, grams, mix, slices
 
 #: The symbols that count, and the base rule's limits.
 SYMBOLS = b"#*$%&|<>"
@@ -88,11 +88,11 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j in slices(b.column(n), SLICE * 2):
+            for i, j in slices(b.column(n)):
                 part = b.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), *(pa.array(c, pa.int64()) for c in text_counts(part.column(n)))], [*(part.schema.names[:n]), *(f"_q_{c}" for c in COUNTS)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def base_failed() -> Column:

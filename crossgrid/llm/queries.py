@@ -11,9 +11,20 @@ from pyspark.sql import functions as F
 from . import bpe, chat, importance, lattice_lm, near_dup, packing, progressive_jpeg, quality_rules, substring_dedup, warc
 from .common import table
 
-TOKENIZERS = os.environ.get("CROSSGRID_TOKENIZERS", "/opt/tokenizers")
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
-PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
+
+
+def tokenizer(name: str) -> str:
+    """The place of a vocabulary file: in the folder CROSSGRID_TOKENIZERS where that is set, else where the package of public tokenizers says."""
+    folder = os.environ.get("CROSSGRID_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+WORD_BPE = tokenizer("word_bpe_49k.json")
+PIECES = tokenizer("piece_bpe_32k.model")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, tidy
 from .words import Words, mix, slices
 
 #: A cut follows a word with chance 1 / 2^CUT_BITS; words of a unit; words of a removed run.
 CUT_BITS, LEAST, SPAN = 2, 12, 16
 LOOK_BACK = 16
 NEAR = 12
+#: Units that a task settles together.
+GATHER = 1 << 20
 
 _GEAR = np.random.Generator(np.random.PCG64(5150)).integers(0, 1 << 16, 256).astype(np.uint16)
 _STEP = 0x2545F4914F6CDD1D
@@ -95,22 +97,32 @@ class Units:
         self.digest = mix((sums[self.end] - sums[self.start]) * q[self.start] + (self.end - self.start).astype(np.uint64)).astype(np.int64)
 
 
+def _settled(doc: np.ndarray, known: np.ndarray, row: np.ndarray, digest: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    """Marks of units: the first of each digest is open; others of rows with an id are known to repeat it, unless it is in another row of their own document."""
+    order = np.lexsort((start, doc, digest))
+    doc, known, row, digest = doc[order], known[order], row[order], digest[order]
+    head = np.concatenate([[True], digest[1:] != digest[:-1]])
+    first = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
+    show = head | known & ((doc != first) | np.concatenate([[False], row[1:] == row[:-1]]))
+    spread = mix(doc.astype(np.uint64)).astype(np.int64)
+    return pa.record_batch([pa.array(np.where(head, digest, spread)[show]), pa.array(head[show]), pa.array(doc[show]), pa.array(digest[show]), pa.array(first[show])], ["key", "open", "doc", "digest", "first"])
+
+
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, text) to rows (key, open, doc, digest, first): open ones, one for each digest of a slice, have still to be compared with other slices by key; the others are known to repeat ``first``."""
+    """(doc, text) to rows (key, open, doc, digest, first): open ones, one for each digest of a slice, have still to be compared with other slices by key; the others are known to repeat ``first``. Units are made of small pieces and gathered, as a few numbers each, to slices of GATHER of them."""
+    kept, rows, n = [], 0, 0
     for b in batches:
-        for i, j in slices(b.column(1), 16 << 20):
-            u = Units(b.column(1).slice(i, j - i))
-            if not len(u.digest):
-                continue
-            doc = b.column(0).slice(i, j - i).fill_null(-1).to_numpy(zero_copy_only=False)[u.doc]
-            order = np.lexsort((u.start, doc, u.digest))
-            doc, digest = doc[order], u.digest[order]
-            head = np.concatenate([[True], digest[1:] != digest[:-1]])
-            first = doc[np.flatnonzero(head)][np.cumsum(head) - 1]
-            again = ~head & ((doc != first) | (u.doc[order] == np.concatenate([[-1], u.doc[order][:-1]])))
-            show = head | again
-            spread = mix(doc.astype(np.uint64)).astype(np.int64)
-            yield pa.record_batch([pa.array(np.where(head, digest, spread)[show]), pa.array(head[show]), pa.array(doc[show]), pa.array(digest[show]), pa.array(first[show])], ["key", "open", "doc", "digest", "first"])
+        for i, j in slices(b.column(1)):
+            u, ids = Units(b.column(1).slice(i, j - i)), b.column(0).slice(i, j - i)
+            if len(u.digest):
+                kept.append((ids.fill_null(-1).to_numpy(zero_copy_only=False)[u.doc], ids.is_valid().to_numpy(zero_copy_only=False)[u.doc], rows + u.doc, u.digest, n + u.start))
+                n += len(u.words.start)
+            rows += j - i
+            if sum(len(x[0]) for x in kept) >= GATHER:
+                yield _settled(*(np.concatenate(x) for x in zip(*kept)))
+                kept = []
+    if kept:
+        yield _settled(*(np.concatenate(x) for x in zip(*kept)))
 
 
 def spans(start: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -144,7 +156,7 @@ def shorten(text: str, gone: set[int], span: int = SPAN) -> tuple[str, int, int,
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs with repeated passages taken out of the text, and _n_words, _n_removed, _n_runs, _first_ids (documents in which removed passages occur before)."""
     prepare(docs.sparkSession)
-    marks = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(_marks, "key long, open boolean, doc long, digest long, first long")
+    marks = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_marks), "key long, open boolean, doc long, digest long, first long")
     marks = marks.withColumn("first", F.when(F.col("open"), F.min("doc").over(Window.partitionBy("key", "open"))).otherwise(F.col("first"))).where("NOT open OR doc > first")
     lists = marks.groupBy(F.col("doc").alias("_mark_id")).agg(F.collect_list("digest").alias("_gone"), F.collect_list("first").alias("_gone_first"))
     rows = docs.join(lists, docs[id_col].cast("long") == lists["_mark_id"], "left").select(*docs.columns, F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), "_gone", "_gone_first")
@@ -168,5 +180,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                         firsts[k] = sorted(set(ids))
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*part.schema.names[:n], "_new", "_n_words", "_n_removed", "_n_runs", "_first_ids"])
 
-    out = rows.mapInArrow(run, schema).withColumn(text_col, F.col("_new")).drop("_new")
+    out = rows.mapInArrow(tidy(run), schema).withColumn(text_col, F.col("_new")).drop("_new")
     return out.withColumn("n_chars", F.when(F.col("_n_runs") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, shared_dir, stash
+from .common import prepare, shared_dir, stash, tidy
 
 #: Aimed size of an archive before compression, by the mean of all payloads and of a record's own lines.
 FILE_BYTES, HEAD_BYTES = 8 << 20, 500
@@ -103,7 +103,7 @@ def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int =
     path = path or f"{shared_dir(spark)}/stash-{spark.sparkContext.applicationId}/warc-{uuid.uuid4().hex}"
     out = linked.select("page", "url", "html", "ts", F.coalesce("first", "page").alias("first"), F.col("first").isNotNull().alias("revisit"))
     each = max(1, int(FILE_BYTES / (total / n + HEAD_BYTES)))
-    out.mapInArrow(_records, "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    out.mapInArrow(tidy(_records), "value string").write.option("lineSep", SEPARATOR).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
     return path
 
 
@@ -201,7 +201,7 @@ def index_archives(spark: SparkSession, path: str | None) -> DataFrame:
     if path is None:
         return spark.createDataFrame([], INDEX)
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("run"), "content")
-    captures = stash(files.mapInArrow(_captures, INDEX))
+    captures = stash(files.mapInArrow(tidy(_captures), INDEX))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     dealt = captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", "page_id")
-    return dealt.mapInArrow(_merge, INDEX)
+    return dealt.mapInArrow(tidy(_merge), INDEX)

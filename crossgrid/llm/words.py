@@ -120,7 +120,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def slices(column: pa.Array, size: int = 4 * SLICE) -> list[tuple[int, int]]:
+def slices(column: pa.Array, size: int = SLICE) -> list[tuple[int, int]]:
     """Row ranges of about ``size`` bytes each, one row at least."""
     _, at = raw(column)
     out, i = [], 0

@@ -2,6 +2,8 @@
 
 import random
 
+from crossgrid.llm.queries import PIECES as PIECE_MODEL, WORD_BPE
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words long, kept string, component_id string, ids string"
 
 
@@ -48,5 +50,4 @@ def lowered(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in (text or "")).encode().split()
 
 
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
-PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+TOKENIZER, PIECES = WORD_BPE, PIECE_MODEL

@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from crossgrid.llm import bpe, importance, lattice_lm, packing, quality_rules
+from crossgrid.llm import bpe, encoder, importance, lattice_lm, packing, quality_rules
 from crossgrid.llm.words import Words
 
 from .fixtures import PIECES, TOKENIZER, documents, lowered, table
@@ -220,3 +220,58 @@ def test_windows_follow_targets(spark, library):
         if r.sequence_id & 0xFFFFFFFF < 10:
             first[r.doc_id % 2] += r.length
     assert first[0] / sum(first.values()) == pytest.approx(0.25, abs=0.01)
+
+
+@pytest.mark.parametrize("targets, power", [({"s0": 0.2, "s1": 0.5, "s2": 0.3}, 1.0), ({"s0": 0.6}, 1.0), (None, 0.5)])
+def test_every_pack_keeps_its_targets(spark, library, targets, power):
+    """Targets away from the supply, over many packs: each window has its target mix until a source is dry everywhere; then the others share in proportion."""
+    r = np.random.default_rng(4)
+    rows = [(k, " ".join(["word"] * int(n)), "en", f"s{s}", 1, 1, "", "", "") for k, (n, s) in enumerate(zip(r.integers(1, 1500, 400), r.choice(3, 400, p=[0.5, 0.3, 0.2])))]
+    source = {k: s for k, _, _, s, *_ in rows}
+    got = packing.pack(table(spark, rows).repartition(5), TOKENIZER, targets=targets, power=power, pack_tokens=16384).collect()
+    supply = collections.Counter()
+    for k, text, *_ in rows:
+        supply[source[k]] += len(text.split()) + 1
+    share = packing.shares(dict(supply), targets, power)
+    windows = collections.defaultdict(collections.Counter)
+    for x in got:
+        windows[x.sequence_id][source[x.doc_id]] += x.length
+    assert len({s >> 32 for s in windows}) > 5
+    seen = collections.Counter()
+    for seq in sorted(windows):
+        live = {s for s in supply if seen[s] + 2048 < supply[s]}
+        mine = windows[seq]
+        if len(live) == len(supply) and sum(mine.values()) == 2048:
+            for s in supply:
+                assert abs(mine[s] / 2048 - share[s]) < 0.02
+        seen.update(mine)
+    assert collections.Counter({s: sum(w[s] for w in windows.values()) for s in supply}) == supply
+
+
+def test_deficits_stay_below_a_window():
+    mix = packing.Mixture(np.array([50_000, 30_000, 7, 20_000]), np.array([0.1, 0.4, 0.2, 0.3]), 16384)
+    for q in range(4):
+        low = [int(mix.low(q, np.array([k]))[0]) for k in range(mix.packs + 1)]
+        assert low[0] == 0 and low[-1] == mix.totals[q] and low == sorted(low)
+        at = np.arange(mix.totals[q])
+        assert (mix.packs_of(q, at) == np.searchsorted(low, at, "right") - 1).all()
+    for k in range(mix.packs):
+        queues = {}
+        for q in range(4):
+            n = np.diff(mix.low(q, np.array([k, k + 1])))[0]
+            if n:
+                queues[q] = packing.Queue()
+                queues[q].add(q, 0, n, np.zeros(n, np.uint16))
+        for _ in packing.fill(mix, k, queues, 2048):
+            assert all(abs(q.deficit) < 2048 for q in queues.values())
+        assert all(abs(q.deficit) < 8 for q in queues.values())
+
+
+def test_encoder_is_the_library(library):
+    r = np.random.default_rng(3)
+    parts = [*"abcXYZ019 .,'<|>!?-_", "\n", "\t", "é", "É", "ß", "×", "÷", "İ", "\u0301", "日", "\x1c", "\xa0", "ŉ", "<|endoftext|>", "<|EndOfText|>", "n't", "²", "ǅ", "Σ", "\u2003", "\u024f", "\u0250"]
+    texts = ["".join(parts[i] for i in r.integers(0, len(parts), r.integers(0, 60))) for _ in range(3000)] + [None, "", " ", "x" * 5000]
+    ids, at = encoder.Encoder(TOKENIZER)(pa.array(texts, pa.string()))
+    for k, x in enumerate(texts):
+        assert library.encode(x or "", add_special_tokens=False).ids == ids[at[k] : at[k + 1]].tolist()
+    assert len(encoder.Encoder(TOKENIZER)(pa.array([], pa.string()))[0]) == 0

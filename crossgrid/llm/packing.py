@@ -234,7 +234,8 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     mix = Mixture(np.array([*totals.values()]), np.array([*weights.values()]), pack_tokens)
     queues = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source string, queue int")
     bases = by.join(queues, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    bases = bases.select("part", "source", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base"))  # a row per task and source
+    # a row per task and source; as a table, its size is known before the join is planned: small, it is broadcast and ids stay in place
+    bases = stash(bases.select("part", "source", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base")))
     parts = min(mix.packs, PARTITIONS)
     placed = rows.join(bases, ["part", "source"]).select("queue", (F.col("base") + F.col("place")).alias("place"), "doc_id", "n", "width", "ids")
     dealt = placed.mapInArrow(tidy(_deal(mix, parts)), "to int, pack long, queue int, place long, doc_id long, start long, n long, width int, ids binary")

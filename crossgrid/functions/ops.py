@@ -37,8 +37,9 @@ def _number(x: Column) -> Column:
 
 def average_rank(x: Column, *keys: str) -> Column:
     """Rank from 1 among non-null values of the keys, ties at their mean."""
-    w = Window.partitionBy(*keys)
-    return F.when(x.isNotNull(), F.rank().over(w.orderBy(x.asc_nulls_last())) + (F.count(x).over(Window.partitionBy(*keys, x)) - 1) / 2)
+    w = Window.partitionBy(*keys).orderBy(x.asc_nulls_last())
+    peers = F.count(x).over(w.rangeBetween(Window.currentRow, Window.currentRow))  # in the same sort as the rank
+    return F.when(x.isNotNull(), F.rank().over(w) + (peers - 1) / 2)
 
 
 def rank(x: Column) -> Column:
@@ -188,6 +189,10 @@ OPERATORS: dict[str, tuple[Callable[..., Column], str]] = {
     "eq": (_compare(lambda a, b: a == b), "xx"),
     "if_else": (if_else, "xxx"),
 }
+#: Windowed operators by what their rows share: the date or the symbol.
+SHARED = dict.fromkeys(("rank", "scale", "demean_cs", "zscore_cs", "sector_neutral"), "date") | dict.fromkeys(("delay", "delta", "ts_mean", "ts_std", "ts_min", "ts_max", "ts_sum", "ts_rank", "ts_argmax", "ts_product", "decay_linear", "correlation", "covariance"), "symbol")
+#: Operators whose number isn't one of days.
+NOT_DAYS = frozenset(("scale",))
 FIELDS = ("open", "high", "low", "close", "volume", "vwap", "returns", "n_trades", "delivery_pct", "size_proxy", "sector", "close_raw", "volume_raw")
 COMMUTATIVE = frozenset(("add", "mul", "min", "max", "eq"))
 SYMMETRIC_HEAD = frozenset(("correlation", "covariance"))

@@ -15,7 +15,7 @@ from ..functions import stats
 from ..oracles import sql
 from ..sources import panel as source
 from . import backtest, gates, prices, universe
-from .formula import compile_formula, evaluate
+from .formula import evaluate, with_formulas
 from .zoo import ZOO
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,10 +41,9 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def labelled(spark: SparkSession, sf_dir: str, formula: str = SIGNAL, extra: dict[str, str] | None = None) -> DataFrame:
-    """The panel with labels, ``sig``, and further formulas, in one select."""
+    """The panel with labels, ``sig``, and further formulas."""
     rows = source.fwd_labels(source.panel(spark, sf_dir))
-    memo: dict[str, Column] = {}
-    return rows.select("*", *(compile_formula(f, memo).cast("double").alias(k) for k, f in ({"sig": formula} | (extra or {})).items()))
+    return with_formulas(rows, {"sig": formula} | (extra or {}))
 
 
 LAB = [sql.panel(), sql.labels(), sql.formula(SIGNAL, "lab")]

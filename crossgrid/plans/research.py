@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from . import backtest
-from .formula import EvalError, ParseError, canonical, compile_formula, complexity, evaluate, fields, parse
+from .formula import EvalError, ParseError, canonical, checked, complexity, evaluate, fields, parse
 from .zoo import zoo_duplicate
 
 #: Caps of nodes, depth and literals; stages of the curriculum; what raises the gates.
@@ -35,7 +35,7 @@ def prefilter(formula: str, seen: set[str]) -> str | None:
     if canonical(formula) in seen:
         return "repeated"
     try:
-        compile_formula(tree)
+        checked(tree)
     except EvalError:
         return "eval_error"
     return None

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossgrid.functions.ops import OPERATORS
-from crossgrid.plans.formula import EvalError, compile_formula, evaluate
+from crossgrid.plans.formula import EvalError, checked, evaluate
 from crossgrid.plans.queries import OPERATOR_FORMULAS
 
 DAY0 = dt.date(2020, 1, 1)
@@ -48,9 +48,9 @@ def test_by_hand(spark):
     assert values(spark, h, "min(close, returns)")[0, "A"] is None
     assert values(spark, h, "if_else(returns, 1, 2)")[0, "A"] is None and values(spark, h, "if_else(0, 1, 2)")[0, "A"] == 2
     with pytest.raises(EvalError):
-        compile_formula("ts_mean(close, 0)")
+        checked("ts_mean(close, 0)")
     with pytest.raises(EvalError):
-        compile_formula("ts_mean(close)")
+        checked("ts_mean(close)")
 
 
 def test_no_operator_looks_ahead(spark):
@@ -84,4 +84,4 @@ def test_no_operator_looks_ahead(spark):
 def test_equal_subtrees_share_a_window(spark):
     plan = evaluate(hand(spark), {"a": "rank(delta(close, 2))", "b": "mul(-1, rank(delta(close, 2)))"})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(symbol") == 1
-    assert hand(spark).select(compile_formula("rank(close)").alias("r")).where(F.isnan("r")).count() == 0
+    assert evaluate(hand(spark), {"r": "rank(close)"}).where(F.isnan("r")).count() == 0

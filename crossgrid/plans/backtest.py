@@ -37,7 +37,7 @@ class Spec:
     extra_lag: int = 0
     cost_bps: float = 0.0
     neutralize: bool = False
-    purge: int = 0
+    purge: int | None = None  # positions; null: the horizon
     embargo: int = 0
     subsample: dict = field(default_factory=dict)
     min_names: int = MIN_NAMES
@@ -65,14 +65,21 @@ def subsampled(rows: DataFrame, how: dict, regimes: DataFrame | None) -> DataFra
     return rows
 
 
+def before_holdout(purge: int, splits: Splits = SPLITS) -> Column:
+    """Rows of the dense panel whose labels, ``purge`` positions after the next, end before the holdout's first day."""
+    w = Window.partitionBy("symbol")
+    end = F.coalesce(F.lead("date", 1 + purge).over(w.orderBy("pos")), F.max("date").over(w))
+    return end < F.lit(splits.holdout_start)
+
+
 def prepare(rows: DataFrame, spec: Spec, splits: Splits = SPLITS, regimes: DataFrame | None = None, token: bool = False) -> DataFrame:
     """Labelled panel rows with ``sig`` to those that count, with ``scaled`` in [-1, 1]."""
     guard(spec.split, splits, token)
-    rows = shift_signal(rows, spec.extra_lag).where(in_split(spec.split, splits))
+    rows = shift_signal(rows, spec.extra_lag)
+    if not token:
+        rows = rows.withColumn("_open", before_holdout(spec.horizon if spec.purge is None else spec.purge, splits)).where("_open").drop("_open")
+    rows = rows.where(in_split(spec.split, splits))
     rows = subsampled(rows.where("sig IS NOT NULL"), spec.subsample, regimes)
-    if spec.purge:
-        last = rows.groupBy().agg(F.max("pos").alias("_last"))
-        rows = rows.crossJoin(last).where(F.col("pos") + 1 + spec.purge <= F.col("_last")).drop("_last")
     day = Window.partitionBy("date")
     least = 1 if "size_tercile" in spec.subsample else spec.min_names
     rows = rows.withColumn("_n", F.count("sig").over(day)).where(F.col("_n") >= least).drop("_n")

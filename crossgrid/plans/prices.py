@@ -29,28 +29,34 @@ def action(subject: Column) -> Column:
 
 
 def anchors(rows: DataFrame, events: DataFrame, reach: int = 3, tolerance: float = 0.2) -> DataFrame:
-    """Of each event (symbol, ex_date, ratio): the first of the own rows within ``reach`` of it whose price break is near the ratio, else its ex date. Events of a day are one, of their product."""
+    """Of each event (symbol, ex_date, ratio): the first of the own rows within ``reach`` of it whose price break is near the ratio, else its ex date. Events of a day are one, of their product.
+    Each event finds its row by an as-of window over rows and events together, and meets the rows around it by their numbers."""
     own = Window.partitionBy("symbol").orderBy("date")
     d = rows.where("close IS NOT NULL").select("symbol", "date", F.row_number().over(own).alias("rn"), F.try_divide(F.col("close"), F.lag("close").over(own)).alias("jump"))
     e = events.where("ratio > 0 AND ratio < 1").groupBy("symbol", "ex_date").agg(F.product("ratio").alias("ratio"))
-    at = d.select("symbol", "rn", "date").join(e, "symbol").where("date >= ex_date").groupBy("symbol", "ex_date", "ratio").agg(F.min("rn").alias("at"))
-    near = at.join(d, "symbol").where((F.abs(F.col("rn") - F.col("at")) <= reach) & (F.abs(F.col("jump") / F.col("ratio") - 1) <= tolerance)).groupBy("symbol", "ex_date").agg(F.min("date").alias("anchor"))
+    both = d.select("symbol", "date", "rn", F.lit(None).cast("double").alias("ratio")).unionByName(e.select("symbol", F.col("ex_date").alias("date"), F.lit(None).cast("int").alias("rn"), "ratio"))
+    later = Window.partitionBy("symbol").orderBy(F.col("date").desc(), F.col("rn").asc_nulls_last())  # rows of a day come before its events
+    at = both.withColumn("at", F.min("rn").over(later.rowsBetween(Window.unboundedPreceding, 0))).where("rn IS NULL AND at IS NOT NULL")
+    around = at.select("symbol", F.col("date").alias("ex_date"), "ratio", F.explode(F.sequence(F.col("at") - reach, F.col("at") + reach)).alias("rn"))
+    near = around.join(d, ["symbol", "rn"]).where(F.abs(F.col("jump") / F.col("ratio") - 1) <= tolerance).groupBy("symbol", "ex_date").agg(F.min("date").alias("anchor"))
     return e.join(near, ["symbol", "ex_date"], "left").select("symbol", "ex_date", "ratio", F.coalesce("anchor", "ex_date").alias("anchor"))
 
 
 def adjust(rows: DataFrame, anchored: DataFrame) -> DataFrame:
-    """factor per row: the product of the ratios of events anchored after it; close_adj and volume_adj."""
-    later = rows.select("symbol", "date").join(anchored.select("symbol", "anchor", "ratio"), "symbol").where("anchor > date").groupBy("symbol", "date").agg(F.product("ratio").alias("factor"))
-    out = rows.join(later, ["symbol", "date"], "left").withColumn("factor", F.coalesce("factor", F.lit(1.0)))
+    """factor per row: the product of the ratios of events anchored after it, a running one from the end; close_adj and volume_adj."""
+    daily = anchored.groupBy("symbol", F.col("anchor").alias("date")).agg(F.product("ratio").alias("_ratio"))
+    both = rows.withColumn("_row", F.lit(True)).join(daily, ["symbol", "date"], "full")
+    after = Window.partitionBy("symbol").orderBy(F.col("date").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    out = both.withColumn("factor", F.coalesce(F.product("_ratio").over(after), F.lit(1.0))).where("_row").drop("_row", "_ratio")
     return out.withColumns({"close_adj": F.col("close") * F.col("factor"), "volume_adj": F.col("volume") / F.col("factor")})
 
 
 def extreme_returns(rows: DataFrame, events: DataFrame, limit: float, days: int = 3) -> DataFrame:
-    """Own-row returns beyond the limit, and whether an event is within ``days`` calendar days."""
+    """Own-row returns beyond the limit, and whether an event is within ``days`` calendar days; each event is joined by the few dates around it."""
     own = Window.partitionBy("symbol").orderBy("date")
     big = rows.where("close IS NOT NULL").select("symbol", "date", (F.try_divide(F.col("close"), F.lag("close").over(own)) - 1).alias("ret")).where(F.abs("ret") > limit)
-    e = events.select(F.col("symbol").alias("_s"), "ex_date").distinct()
-    return big.join(e, (F.col("symbol") == F.col("_s")) & (F.abs(F.datediff("date", "ex_date")) <= days), "left").groupBy("symbol", "date", "ret").agg((F.count("ex_date") > 0).alias("explained"))
+    near = events.select("symbol", F.explode(F.sequence(F.date_sub("ex_date", days), F.date_add("ex_date", days))).alias("date")).distinct().withColumn("_near", F.lit(True))
+    return big.join(near, ["symbol", "date"], "left").select("symbol", "date", "ret", F.coalesce("_near", F.lit(False)).alias("explained"))
 
 
 def quality(rows: DataFrame) -> DataFrame:
@@ -60,8 +66,10 @@ def quality(rows: DataFrame) -> DataFrame:
     return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("check"), F.col(k).alias("violations")) for k in checks))).alias("x")).select("x.check", "x.violations")
 
 
-def clean(rows: DataFrame) -> DataFrame:
-    """Drops impossible bars; volume at least 0, vwap from close where unknown and inside [low, high]; the first of equal keys."""
-    ok = rows.where("close > 0 AND high >= low AND low > 0")
-    ok = ok.withColumns({"volume": F.greatest("volume", F.lit(0.0)), "vwap": F.least(F.greatest(F.coalesce("vwap", "close"), "low"), "high")})
-    return ok.withColumn("_i", F.row_number().over(Window.partitionBy("date", "symbol").orderBy("close", "volume"))).where("_i = 1").drop("_i")
+def clean(rows: DataFrame, *order: str) -> DataFrame:
+    """Drops impossible bars; volume and n_trades at least 0, vwap from close where unknown or not positive and inside [low, high]; of equal keys the first in the order given."""
+    ok = rows.where("date IS NOT NULL AND symbol IS NOT NULL AND NOT coalesce(close <= 0 OR high < low OR low <= 0, false)")
+    vwap = F.coalesce(F.when(F.col("vwap") > 0, F.col("vwap")), F.col("close"))
+    new = {c: F.greatest(F.coalesce(c, F.lit(0.0)), F.lit(0.0)) for c in ("volume", "n_trades") if c in rows.columns}
+    ok = ok.withColumns(new | {"vwap": F.least(F.greatest(vwap, "low"), "high")})
+    return ok.withColumn("_i", F.row_number().over(Window.partitionBy("date", "symbol").orderBy(*(order or ("close", "volume"))))).where("_i = 1").drop("_i")

@@ -211,18 +211,21 @@ def ls_metrics(spark, sf_dir):
     return out.select(r("sharpe", 4).alias("sharpe"), *(r(c).alias(c) for c in ("ann_return", "turnover", "mdd")), "n_days")
 
 
-def _variant(name: str, spec: backtest.Spec, changed: list[str]) -> None:
+def _variant(name: str, spec: backtest.Spec, changed: list[str], extra: dict[str, str] | None = None) -> None:
     """A backtest whose SQL differs in the CTEs before the ICs."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = labelled(spark, sf_dir)
+        rows = labelled(spark, sf_dir, extra=extra)
         regimes = backtest.regime_labels(source.fwd_labels(source.panel(spark, sf_dir))) if "regime" in spec.subsample else None
         out = backtest.backtest(rows, spec, regimes=regimes)
         return out.select("n_days", "sign", r("sharpe", 4).alias("sharpe"), *(r(c).alias(c) for c in ("rank_ic", "ic", "icir", "t_stat", "ann_return", "turnover", "mdd")))
 
     y = f"fwd_ret_{spec.horizon}_demeaned"
     select = f"SELECT n_days, sign, sharpe, rank_ic, ic, icir, t_stat, ann_return, turnover, mdd FROM (SELECT round(avg(ic), 6) AS rank_ic, count(*) AS n_days, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(ic) * sqrt(count(*)) / stddev_samp(ic), 6) AS t_stat, CASE WHEN avg(ic) > 0 THEN 1 ELSE -1 END AS sign FROM ics) CROSS JOIN (SELECT round(avg(ic), 6) AS ic FROM plain) CROSS JOIN (SELECT * EXCLUDE (n_days) FROM ({METRICS}))"
-    query(name, sql.query([*changed, ic_cte(y=y), ic_cte(y=y, spearman=False, out="plain"), *daily_ctes(spec.cost_bps)], select))(run)
+    money = daily_ctes(spec.cost_bps)
+    if "size_tercile" in spec.subsample:
+        money = [c.replace(f"m >= {MIN_NAMES}", "m >= 5") for c in money]  # fewer have no quintile of one name
+    query(name, sql.query([*changed, ic_cte(y=y), ic_cte(y=y, spearman=False, out="plain"), *money], select))(run)
 
 
 def _ready(sig: str = "sig", where: str = "true", least: int = MIN_NAMES, more: tuple[str, ...] = (), lag: int = 0) -> list[str]:
@@ -254,6 +257,22 @@ for _regime in ("bull", "bear", "calm", "volatile", "highvol"):
     _variant(f"bt_regime_{_regime}", backtest.Spec(subsample={"regime": _regime}), _ready(where=f"date IN (SELECT date FROM regimes WHERE {_regime})", more=tuple(REGIMES)))
 
 
+_TERCILE = "CASE WHEN size_proxy IS NULL OR count(size_proxy) OVER (PARTITION BY date) < 3 THEN NULL WHEN 3 * (rank() OVER (PARTITION BY date ORDER BY size_proxy NULLS LAST) - 1) <= count(size_proxy) OVER (PARTITION BY date) - 1 THEN 'small' WHEN 3 * (rank() OVER (PARTITION BY date ORDER BY size_proxy NULLS LAST) - 1) <= 2 * (count(size_proxy) OVER (PARTITION BY date) - 1) THEN 'mid' ELSE 'large' END"
+TURNOVER = "log(ts_mean(mul(close_raw, volume_raw), 21))"
+LEAST_TURNOVER = 60_000.0
+for _size in ("small", "mid", "large"):
+    _variant(f"bt_size_{_size}", backtest.Spec(subsample={"size_tercile": _size}), _ready(where=f"(date, symbol) IN (SELECT (date, symbol) FROM (SELECT date, symbol, {_TERCILE} AS bucket FROM inside) WHERE bucket = '{_size}')", least=1))
+_variant("bt_min_turnover", backtest.Spec(subsample={"min_turnover": LEAST_TURNOVER}), _ready(where=f"(date, symbol) IN (SELECT (date, symbol) FROM turnover_21 WHERE exp(turnover_21) >= {LEAST_TURNOVER})", more=(sql.formula(TURNOVER, "sig", "turnover_21", "t"),)), {"turnover_21": TURNOVER})
+
+
+@query("holdout_purge", sql.query([*LAB, f"edge AS (SELECT min(pos) AS first FROM panel WHERE date >= DATE '{SPLITS.holdout_start}')"], f"SELECT purge, date, count(sig) AS n FROM sig CROSS JOIN (SELECT unnest([0, 5, 21]) AS purge) CROSS JOIN edge WHERE {sql.split('val_b')} AND pos + 1 + purge < coalesce(first, 1000000000) GROUP BY 1, 2 HAVING count(sig) >= {MIN_NAMES}"))
+def holdout_purge(spark, sf_dir):
+    """The days of the last split before the holdout that a purge of so many positions leaves."""
+    rows = labelled(spark, sf_dir)
+    kept = [backtest.prepare(rows, backtest.Spec("val_b", purge=k)).groupBy("date").agg(F.count("sig").alias("n")).select(F.lit(k).alias("purge"), "date", "n") for k in (0, 5, 21)]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
+
+
 @query("size_terciles", sql.query([sql.panel(), "t AS (SELECT date, symbol, size_proxy, rank() OVER (PARTITION BY date ORDER BY size_proxy NULLS LAST) - 1 AS k, count(size_proxy) OVER (PARTITION BY date) AS n FROM panel)"], "SELECT date, symbol, CASE WHEN size_proxy IS NULL OR n < 3 THEN NULL WHEN 3 * k <= n - 1 THEN 'small' WHEN 3 * k <= 2 * (n - 1) THEN 'mid' ELSE 'large' END AS bucket FROM t"))
 def size_terciles(spark, sf_dir):
     return source.panel(spark, sf_dir).select("date", "symbol", stats.tercile(F.col("size_proxy"), "date").alias("bucket"))
@@ -307,7 +326,7 @@ def walk_forward(spark, sf_dir):
     return summary(gates.walk_forward(ics, gates.folds(spark, "1995-01-01", "2000-12-31", 2, 6), 10))
 
 
-_STRATEGIES = "strat AS (SELECT symbol AS strategy, CAST(pos - 1 AS BIGINT) AS t, coalesce(returns, 0) AS r FROM panel WHERE pos BETWEEN 1 AND 320)"
+_STRATEGIES = "strat AS (SELECT symbol AS strategy, CAST(pos - 1 AS BIGINT) AS t, coalesce(returns, 0) AS r FROM panel WHERE pos BETWEEN 1 AND (SELECT max(pos) // 8 * 8 FROM panel))"
 _CSCV = [
     sql.panel(), _STRATEGIES,
     "st AS (SELECT CAST(floor(t * 8 / (SELECT max(t) + 1 FROM strat)) AS INTEGER) AS block, strategy, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2 FROM strat GROUP BY 1, 2)",
@@ -393,12 +412,22 @@ def ic_moments(spark, sf_dir):
     return m.select("name", "n", r("mean").alias("mean"), r("sd").alias("sd"), r("skew", 4).alias("skew"), r("kurt", 4).alias("kurt"))
 
 
-@query("zoo_leaderboard")
+def _board_sql() -> str:
+    parts, last = LAB[:2], "lab"
+    for i, k in enumerate(ZOO):
+        parts.append(sql.formula(ZOO[k], last, k, f"z{i}"))
+        last = k
+    parts.append("board AS (" + " UNION ALL ".join(f"SELECT '{k}' AS name, date, round({last}.{k}, 12) AS sig, fwd_ret_5_demeaned FROM {last} WHERE {TRAIN}" for k in ZOO) + ")")
+    parts.append(ic_cte("sig", "fwd_ret_5_demeaned", "board", keys="name, date", least=MIN_NAMES))
+    return sql.query(parts, "SELECT n.name, round(avg(ic), 6) AS mean_ic, round(avg(ic) / nullif(stddev_samp(ic), 0), 6) AS icir, round(avg(ic) * sqrt(count(ic)) / nullif(stddev_samp(ic), 0), 6) AS t_stat, count(ic) AS n_days FROM (SELECT DISTINCT name FROM board) n LEFT JOIN ics USING (name) GROUP BY n.name")
+
+
+@query("zoo_leaderboard", _board_sql())
 def zoo_leaderboard(spark, sf_dir):
-    """Every known formula scored in one plan: name, mean_ic, icir, t_stat, n_days; best first."""
+    """Every known formula scored in one plan: name, mean_ic, icir, t_stat, n_days; best first. Values that agree to twelve decimals tie, as in rank."""
     rows = source.fwd_labels(source.panel(spark, sf_dir))
     wide = evaluate(rows, ZOO, ("date", "symbol", "fwd_ret_5_demeaned")).where(backtest.in_split("val_a"))
-    long = wide.select("date", "fwd_ret_5_demeaned", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(k).alias("sig")) for k in ZOO))).alias("x")).select("date", "fwd_ret_5_demeaned", "x.name", "x.sig")
+    long = wide.select("date", "fwd_ret_5_demeaned", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.round(F.col(k), 12).alias("sig")) for k in ZOO))).alias("x")).select("date", "fwd_ret_5_demeaned", "x.name", "x.sig")
     ics = stats.daily_ic(long, "sig", "fwd_ret_5_demeaned", least=MIN_NAMES, keys=("name", "date"))
     names = spark.createDataFrame([(k,) for k in ZOO], "name string")
     out = names.join(stats.ic_summary(ics, "name"), "name", "left")

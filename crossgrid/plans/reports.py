@@ -9,7 +9,7 @@ from ..config import MIN_NAMES
 from ..functions import stats
 from ..oracles import sql
 from ..sources import panel as source
-from . import backtest, prices, redteam, research, stores, universe
+from . import backtest, catalog, prices, redteam, research, stores, universe
 from .queries import FEATURES, LAB, PREPARED, _ready, ic_cte, labelled, query, r, summary
 from .formula import evaluate
 
@@ -115,7 +115,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _FACTORS = (("bonus", 0.5), ("bonus", 2 / 3), ("split", 0.1), ("split", 0.2), ("dividend", None), ("demerger", None), ("bonus+split", 0.25), ("other", None), ("other", None))
-ACTIONS = f"actions AS (SELECT p_partkey, p_brand AS symbol, CAST(DATE '1995-06-01' + CAST(p_partkey * 37 % 2300 AS INTEGER) AS DATE) AS ex_date, {_SUBJECT_SQL} AS subject, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(_FACTORS)) + " END AS type, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN CAST({x} AS DOUBLE)" for k, (_, x) in enumerate(_FACTORS) if x) + " END AS ratio FROM part WHERE p_partkey % 16 = 3)"
+ACTIONS = f"actions AS (SELECT p_partkey, p_brand AS symbol, CAST(DATE '1995-06-01' + CAST(p_partkey * 37 % 2300 AS INTEGER) AS DATE) AS ex_date, {_SUBJECT_SQL} AS subject, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(_FACTORS)) + " END AS type, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN CAST({x} AS DOUBLE)" for k, (_, x) in enumerate(_FACTORS) if x) + " END AS ratio FROM part)"
 
 
 @query("ca_parse", sql.query([ACTIONS], "SELECT p_partkey, symbol, ex_date, subject, type, round(ratio, 6) AS ratio FROM actions"))
@@ -192,21 +192,22 @@ def heavyweights(spark, sf_dir):
 
 # panel
 
-SOME = ("mom_21", "rev_5", "vol_21", "amihud_21", "max_ret_21")
+RAW = ("delivery_pct", "size_proxy")
+ALL = (*FEATURES, *RAW)
 
 
 def _feature_ctes() -> list[str]:
     parts, last = LAB[:2], "lab"
-    for k in SOME:
+    for k in FEATURES:
         parts.append(sql.formula(FEATURES[k], last, k, f"x_{k}"))
         last = k
-    return [*parts, "feats AS (" + " UNION ALL ".join(f"SELECT date, symbol, '{k}' AS feature, {last}.{k} AS v, fwd_ret_5_demeaned AS y FROM {last}" for k in SOME) + ")"]
+    return [*parts, "feats AS (" + " UNION ALL ".join(f"SELECT date, symbol, '{k}' AS feature, {last}.{k} AS v, fwd_ret_5_demeaned AS y FROM {last}" for k in ALL) + ")"]
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = source.fwd_labels(source.panel(spark, sf_dir))
-    wide = evaluate(rows, {k: FEATURES[k] for k in SOME}, ("date", "symbol", "fwd_ret_5_demeaned"))
-    return wide.select("date", "symbol", F.col("fwd_ret_5_demeaned").alias("y"), F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("v")) for k in SOME))).alias("x")).select("date", "symbol", "x.feature", "x.v", "y")
+    wide = evaluate(rows, FEATURES, ("date", "symbol", "fwd_ret_5_demeaned", *RAW))
+    return wide.select("date", "symbol", F.col("fwd_ret_5_demeaned").alias("y"), F.explode(F.array(*(F.struct(F.lit(k).alias("feature"), F.col(k).alias("v")) for k in ALL))).alias("x")).select("date", "symbol", "x.feature", "x.v", "y")
 
 
 QS = (0.01, 0.25, 0.5, 0.75, 0.99)
@@ -218,11 +219,16 @@ def panel_feature_stats(spark, sf_dir):
     return g.select("feature", "year", *(r(F.col("q")[k]).alias(f"p{int(q * 100):02d}") for k, q in enumerate(QS)), "mean", "sd", "n", "n_null")
 
 
-@query("panel_feature_corr", sql.query(_feature_ctes(), "SELECT x.feature AS a, y.feature AS b, round(covar_samp(x.v, y.v) / (stddev_samp(CASE WHEN y.v IS NOT NULL THEN x.v END) * stddev_samp(CASE WHEN x.v IS NOT NULL THEN y.v END)), 6) AS corr FROM feats x JOIN feats y USING (date, symbol) GROUP BY 1, 2"))
+@query("panel_feature_corr", sql.query(_feature_ctes(), "SELECT x.feature AS a, y.feature AS b, round(covar_samp(x.v, y.v) / nullif(stddev_samp(CASE WHEN y.v IS NOT NULL THEN x.v END) * stddev_samp(CASE WHEN x.v IS NOT NULL THEN y.v END), 0), 6) AS corr FROM feats x JOIN feats y USING (date, symbol) WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY 1, 2"))
 def panel_feature_corr(spark, sf_dir):
-    f = _features(spark, sf_dir).where("v IS NOT NULL")
-    x, y = f.select("date", "symbol", F.col("feature").alias("a"), F.col("v").alias("x")), f.select("date", "symbol", F.col("feature").alias("b"), F.col("v").alias("y"))
-    return summary(x.join(y, ["date", "symbol"]).groupBy("a", "b").agg(stats.safe_corr(F.col("x"), F.col("y")).alias("corr")))
+    """One pass over the wide panel: a conditional correlation per pair."""
+    wide = evaluate(source.panel(spark, sf_dir), FEATURES, ("date", "symbol", *RAW))
+    pairs = [(a, b) for i, a in enumerate(ALL) for b in ALL[i:]]
+    both = {(a, b): F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs}
+    one = wide.agg(*(F.struct(stats.safe_corr(F.when(both[a, b], F.col(a)), F.when(both[a, b], F.col(b))).alias("c"), F.count_if(both[a, b]).alias("n")).alias(f"{a}|{b}") for a, b in pairs))
+    cells = [(x, y, a, b) for a, b in pairs for x, y in {(a, b), (b, a)}]
+    long = one.select(F.explode(F.array(*(F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"`{a}|{b}`.c").alias("corr"), F.col(f"`{a}|{b}`.n").alias("n")) for x, y, a, b in cells))).alias("x"))
+    return summary(long.select("x.a", "x.b", "x.corr", "x.n").where("n > 0").drop("n"))
 
 
 @query("panel_feature_ic", sql.query([*_feature_ctes(), ic_cte("v", "y", "feats", keys="feature, date", least=MIN_NAMES)], "SELECT feature, year(date) AS year, round(avg(ic), 6) AS mean_ic, count(*) AS n FROM ics GROUP BY 1, 2"))
@@ -279,5 +285,5 @@ def isin_changes(spark, sf_dir):
     return source.read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct("p_brand").alias("n_brands")).where("n_brands > 1")
 
 
-for _module in (redteam, research, stores):
+for _module in (redteam, research, stores, catalog):
     _module.register()

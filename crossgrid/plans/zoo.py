@@ -50,14 +50,10 @@ CLASSICAL = {
 ZOO = ALPHA101 | CLASSICAL
 
 
-def zoo_duplicate(formula: str, ratio: float | None = None) -> str | None:
-    """The known formula that this one equals in canonical form; with a ratio, also one whose text is as similar."""
-    own, print_ = canonical(formula), fingerprint(formula)
-    for name, known in ZOO.items():
-        if fingerprint(known) == print_ and canonical(known) == own:
-            return name
-    if ratio is not None:
-        for name, known in ZOO.items():
-            if SequenceMatcher(None, own, canonical(known)).ratio() >= ratio:
-                return name
-    return None
+def zoo_duplicate(formula: str, ratio: float = 1.0) -> str | None:
+    """The known formula that this one equals in canonical form; with a ratio below 1, else the most similar of those that share its fingerprint, if its text is as similar."""
+    own = canonical(formula)
+    same = {name: canonical(known) for name, known in ZOO.items() if fingerprint(known) == fingerprint(formula)}
+    alike = {name: 1.0 if known == own else SequenceMatcher(None, known, own).ratio() for name, known in same.items()}
+    best = max(alike, key=alike.get, default=None)
+    return best if best is not None and (same[best] == own or alike[best] >= ratio < 1.0) else None

@@ -37,7 +37,13 @@ def test_every_operator_is_queried():
 def test_duplicates_of_known_formulas():
     assert zoo.zoo_duplicate("mul(ts_rank(rank(low), 9), -1)") == "alpha101_004"
     assert zoo.zoo_duplicate("mul(-1, ts_rank(rank(high), 9))") is None
-    assert zoo.zoo_duplicate("mul(-1, ts_rank(rank(high), 9))", 0.85) is not None
+    assert zoo.zoo_duplicate("mul(-1, ts_rank(rank(high), 9))", 0.85) is None  # another fingerprint
+    assert zoo.zoo_duplicate("mul(-1, ts_rank(rank(low), 12))") is None
+    assert zoo.zoo_duplicate("mul(-1, ts_rank(rank(low), 12))", 0.85) == "alpha101_004"
+
+
+def test_structural_keys_replace_numbers_alone():
+    assert formula.structural_key("mul(-1.5, ts_mean(close_raw, 21))") == "mul(#,ts_mean(close_raw,#))"
 
 
 LEAF = st.sampled_from(["close", "open", "volume", "2", "0.5", "-3"])

@@ -2,6 +2,10 @@
 
 Each stage is (name, function); a function takes the session, the rows that its predecessor kept and the
 folder of tables, and returns a DataFrame. All but the last return the columns of documents.
+
+Defined results: null, empty and very short texts fail the quality rules' base rule and go at once; rows without an id are judged like others,
+linked with nothing and packed; repeated rows with one id are one document to the near-duplicate stage, so all stay or go together; with no labels the first two
+stages reject by the base rule alone; extra columns, whatever their names, pass unchanged up to packing, which does not read them; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(docs).select(*docs.columns)
+    return substring_dedup.substring_dedup(docs, report=False)
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("packing", packs)]
 
-#: SQL expresses neither certified cutoffs, Gumbel noise, chosen paths nor gear hashes. Tests hold operators against plain versions, near duplicates against all pairs; none yet compares the rows of each stage.
+#: SQL expresses neither certified cutoffs, Gumbel noise, chosen paths nor gear hashes; tests/llm hold the stages against plain versions.
 ORACLE_SQL = None
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import tempfile
 import uuid
@@ -83,15 +82,17 @@ def empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with columns named c0, c1, ..., and these by their names: so no name of an input can clash with one of an operator's own."""
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    return docs.toDF(*at.values()), at
+
+
 def string_id(c: Column | str) -> Column:
     """The part of a row that has no doc_id: an empty string."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
 
 
-def partitions_for(n_bytes: int, each: int = 16 << 20, least: int = 1) -> int:
-    return max(least, math.ceil(n_bytes / each))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

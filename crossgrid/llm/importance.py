@@ -6,12 +6,12 @@ a hash of the id, is added, and the k rows of largest sum are kept: a sample wit
 in proportion to the ratio. k is found exactly by counting digits of the sums, whatever the number of rows.
 
 The target is fitted on at most ``max_labels`` labelled rows, those of smallest id hash; the raw model
-counts every row. k follows from the labels too, unless a share is given: the largest k that, by the labelled
-rows, leaves all but ``spare`` of the good ones.
+counts every row. k follows from labels too, unless a share is given: the largest k that leaves all but ``spare`` of the good
+rows among those, a HELD_OUT share by another hash of the id, that the target was not fitted on.
 
 Defined results: null, empty and wordless texts have log ratio 0; equal rows have equal sums and share a verdict, so ties
 at the k-th place all stay; rows without labels count in the raw model alone; with no usable labels all
-ratios are 0 and, unless a share is given, all rows stay; an empty table gives an empty result.
+ratios are 0 and, unless a share is given, all rows stay; an empty table gives an empty result; other columns are kept as they are by the filter, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import append, prepare, stash, tidy
+from .common import append, numbered, prepare, stash, tidy
 from .words import Words, grams, mix, slices
 
 BUCKETS, SMOOTH, MAX_LABELS = 10_000, 1.0, 20_000
+#: Share of the labelled rows that set k and do not fit the target.
+HELD_OUT = 0.25
 FIELDS = [("_log_weight", "double", pa.float64()), ("_gumbel", "double", pa.float64()), ("_order", "bigint", pa.int64()), ("_n_grams", "bigint", pa.int64())]
 
 
@@ -46,6 +48,11 @@ def sample(labels: DataFrame, id_col: str, most: int) -> tuple[np.ndarray, np.nd
     return np.array(sorted(r.id for r in got if r.good and not r.toxic), np.int64), np.array(sorted(r.id for r in got if not r.good), np.int64)
 
 
+def held(ids: np.ndarray) -> np.ndarray:
+    """Which of these ids are held out, by a hash."""
+    return (mix(ids.astype(np.uint64) + np.uint64(29)) >> np.uint64(11)).astype(float) / (1 << 53) < HELD_OUT
+
+
 def _within(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
     return np.isin(ids, some, assume_unique=False)
 
@@ -132,9 +139,10 @@ def cutoff(scores: DataFrame, good: np.ndarray, bad: np.ndarray, share: float |
 def resample(docs: DataFrame, labels: DataFrame, keep: list[str], share: float | None = None, spare: float = 0.002, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, int | None]:
     """Scores of all rows (the columns ``keep`` and FIELDS), the ratios, and the least kept _order."""
     good, bad = sample(labels, id_col, max_labels)
-    ratio = fit(docs, good, id_col, text_col)
+    apart = held(good) if share is None else np.zeros(len(good), bool)
+    ratio = fit(docs, good[~apart], id_col, text_col)
     scores = stash(with_weights(docs, ratio, keep, id_col, text_col))
-    return scores, ratio, cutoff(scores, good, bad, share, spare, id_col)
+    return scores, ratio, cutoff(scores, good[apart], bad, share, spare, id_col)
 
 
 def importance_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
@@ -146,4 +154,7 @@ def importance_report(docs: DataFrame, labels: DataFrame, **options) -> DataFram
 def importance_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns; texts are read once more rather than shuffled."""
     _, ratio, least = resample(docs, labels, ["doc_id"], **options)
-    return docs if least is None else with_weights(docs, ratio, docs.columns).where(F.col("_order") >= least).select(*docs.columns)
+    if least is None:
+        return docs
+    rows, at = numbered(docs)
+    return with_weights(rows, ratio, rows.columns, at["doc_id"], at["text"]).where(F.col("_order") >= least).select(*rows.columns).toDF(*docs.columns)

@@ -219,7 +219,7 @@ def lm_scores(docs: DataFrame, piece_model: str, scanned: bool = False, id_col:
     scored = words.select("hash", "word", "c").mapInArrow(tidy(_marginals(piece_model, log)), "hash long, c long, log_p double")
     answers = asked.select("block", "hash").join(scored, "hash").select("block", "hash", "c", "log_p").mapInArrow(tidy(_answers), "block long, part int, data binary")
     parcels = rows.select("block", "doc_id", held_out("doc_id").alias("held_out"), "text").mapInArrow(tidy(_parcels), "block long, part int, data binary")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    n = max(4 * asked.select("block").distinct().count(), 4 * spark.sparkContext.defaultParallelism)  # so that few blocks share a task, whatever the input
     together = answers.unionByName(parcels).repartition(n, "block").sortWithinPartitions("block", "part")
     fields = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return together.mapInArrow(tidy(_score(seen[1] + ends, seen[0] + (ends > 0), ends, float(log[pieces.end]))), fields)

@@ -13,7 +13,7 @@ that is in a third of all documents reaches its task once per slice, not once pe
 
 Defined results: null stays null, texts without words stay as they are; rows with one id are one document and are not
 compared with each other; a null id counts as -1 and such rows stay as they are; texts of fewer than LEAST words are never shortened; a row whose words all go has
-an empty text; empty tables give empty results; all other columns are kept as they are, but for
+an empty text; empty tables give empty results; in a report, ADDED replaces columns of these names; all other columns are kept as they are, but for
 ``n_chars`` where the input has it, which follows the text.
 """
 
@@ -26,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, tidy
+from .common import numbered, prepare, tidy
 from .words import Words, mix, slices
 
 #: A cut follows a word with chance 1 / 2^CUT_BITS; words of a unit; words of a removed run.
 CUT_BITS, LEAST, SPAN = 2, 12, 16
 LOOK_BACK = 16
 NEAR = 12
+ADDED = ("_n_words", "_n_removed", "_n_runs", "_first_ids")
 #: Units that a task settles together.
 GATHER = 1 << 20
 
@@ -136,8 +137,8 @@ def spans(start: np.ndarray, end: np.ndarray, least: int) -> list[tuple[int, int
     return [(a, b) for a, b in out if b - a >= least]
 
 
-def shorten(text: str, gone: set[int], span: int = SPAN) -> tuple[str, int, int, int]:
-    """A text without its repeated runs; its words, the words removed, the runs removed. gone: digests that an earlier document has."""
+def shorten(text: str, gone: set[int], span: int = SPAN) -> tuple[str, int, int, int, set[int]]:
+    """A text without its repeated runs; its words, the words removed, the runs removed, and the digests in them. gone: digests that an earlier document has."""
     u = Units(pa.array([text], pa.string()))
     w, seen, again = u.words, set(), np.zeros(len(u.digest), bool)
     for k, d in enumerate(u.digest.tolist()):
@@ -150,18 +151,24 @@ def shorten(text: str, gone: set[int], span: int = SPAN) -> tuple[str, int, int,
         at = int(w.start[b]) if b < len(w.start) else len(data)
         removed += b - a
     out.append(data[at:])
-    return b"".join(out).decode(), len(w.start), removed, len(runs)
+    inside = again & (np.searchsorted([b for _, b in runs], u.start, "right") < len(runs)) if runs else again & False
+    k = np.minimum(np.searchsorted([b for _, b in runs], u.start, "right"), len(runs) - 1)
+    inside &= np.array([a for a, _ in runs])[k] <= u.start if runs else inside
+    return b"".join(out).decode(), len(w.start), removed, len(runs), set(u.digest[inside].tolist())
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with repeated passages taken out of the text, and _n_words, _n_removed, _n_runs, _first_ids (documents in which removed passages occur before)."""
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", report: bool = True) -> DataFrame:
+    """All columns of docs with repeated passages taken out of the text, and, for a report, ADDED: _n_words, _n_removed, _n_runs, _first_ids (for each removed passage an earlier document that has it, the first of its slice at least, or the own one where it repeats itself)."""
     prepare(docs.sparkSession)
-    marks = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_marks), "key long, open boolean, doc long, digest long, first long")
+    plain, at = numbered(docs)
+    doc, text = F.col(at[id_col]).cast("long"), F.col(at[text_col]).cast("string")
+    marks = plain.select(doc.alias("doc"), text.alias("text")).mapInArrow(tidy(_marks), "key long, open boolean, doc long, digest long, first long")
     marks = marks.withColumn("first", F.when(F.col("open"), F.min("doc").over(Window.partitionBy("key", "open"))).otherwise(F.col("first"))).where("NOT open OR doc > first")
-    lists = marks.groupBy(F.col("doc").alias("_mark_id")).agg(F.collect_list("digest").alias("_gone"), F.collect_list("first").alias("_gone_first"))
-    rows = docs.join(lists, docs[id_col].cast("long") == lists["_mark_id"], "left").select(*docs.columns, F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_id"), "_gone", "_gone_first")
-    n = len(docs.columns)
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n]), "_new string, _n_words bigint, _n_removed bigint, _n_runs bigint, _first_ids array<bigint>"])
+    lists = marks.groupBy(F.col("doc").alias("mark_id")).agg(F.collect_list("digest").alias("gone"), F.collect_list("first").alias("gone_first"))
+    rows = plain.join(lists, doc == F.col("mark_id"), "left").select(*plain.columns, text.alias("old"), doc.alias("own"), "gone", "gone_first")
+    n = len(plain.columns)
+    added = ("new", *ADDED)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n]), "new string, _n_words bigint, _n_removed bigint, _n_runs bigint, _first_ids array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -172,13 +179,17 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 for k in np.flatnonzero(part.column(n + 2).is_valid().to_numpy(zero_copy_only=False)).tolist():
                     if new[k] is None:
                         continue
-                    own = part.column(n + 1)[k].as_py()
-                    ids = part.column(n + 3)[k].as_py()
-                    gone = {d for d, f in zip(part.column(n + 2)[k].as_py(), ids) if f != own}
-                    new[k], _, removed[k], runs[k] = shorten(new[k], gone)
-                    if runs[k]:
-                        firsts[k] = sorted(set(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*part.schema.names[:n], "_new", "_n_words", "_n_removed", "_n_runs", "_first_ids"])
-
-    out = rows.mapInArrow(tidy(run), schema).withColumn(text_col, F.col("_new")).drop("_new")
-    return out.withColumn("n_chars", F.when(F.col("_n_runs") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+                    own, found = part.column(n + 1)[k].as_py(), list(zip(part.column(n + 2)[k].as_py(), part.column(n + 3)[k].as_py()))
+                    new[k], _, removed[k], runs[k], went = shorten(new[k], {d for d, f in found if f != own})
+                    before: dict[int, int] = {}
+                    for d, f in found:
+                        if d in went:
+                            before[d] = min(before.get(d, f), f)
+                    firsts[k] = sorted(set(before.values()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(n)), pa.array(new, pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], [*part.schema.names[:n], *added])
+
+    out = rows.mapInArrow(tidy(run), schema)
+    new = {c: F.col(k) for c, k in at.items()} | {text_col: F.col("new")}
+    if "n_chars" in at:
+        new["n_chars"] = F.when(F.col("_n_runs") > 0, F.length("new")).otherwise(F.col(at["n_chars"])).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(v.alias(c) for c, v in new.items() if not (report and c in ADDED)), *(ADDED if report else ()))

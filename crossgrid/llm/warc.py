@@ -181,6 +181,10 @@ class LoserTree:
             self.best = k
 
 
+#: Captures that a task merges, about 100 MB as Python values.
+MERGE_ROWS = 100_000
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a partition, by run and each run in order, to the merged order of all runs."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -202,6 +206,6 @@ def index_archives(spark: SparkSession, path: str | None) -> DataFrame:
         return spark.createDataFrame([], INDEX)
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("run"), "content")
     captures = stash(files.mapInArrow(tidy(_captures), INDEX))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(spark.sparkContext.defaultParallelism, -(-captures.count() // MERGE_ROWS))  # so that a merge holds so many rows, whatever the input
     dealt = captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", "page_id")
     return dealt.mapInArrow(tidy(_merge), INDEX)

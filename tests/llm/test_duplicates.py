@@ -169,6 +169,63 @@ def test_repeated_passages_go_once(spark):
     assert substring_dedup.substring_dedup(table(spark, [])).count() == 0
 
 
+def plain_removal(rows):
+    """The removal in plain Python over whole documents: units by document, first documents by digest, unions of repeated units of SPAN words or more."""
+    import pyarrow as pa
+
+    firsts, units = {}, {}
+    for k, text in sorted(rows.items()):
+        u = substring_dedup.Units(pa.array([text], pa.string()))
+        units[k] = list(zip(u.start.tolist(), u.end.tolist(), u.digest.tolist()))
+        for _, _, d in units[k]:
+            firsts[d] = min(firsts.get(d, k), k)
+    out = {}
+    for k, us in units.items():
+        seen, gone = set(), []
+        for a, b, d in us:
+            if firsts[d] < k or d in seen:
+                gone.append((a, b, d))
+            seen.add(d)
+        marked = set()
+        for a, b, _ in gone:
+            marked |= set(range(a, b))
+        runs, at = [], None
+        for i in sorted(marked):
+            if at is None or i != at + 1:
+                runs.append([i, i + 1])
+            runs[-1][1], at = i + 1, i
+        # units that touch make one run, as ranges that only meet do
+        runs = [r for r in runs if r[1] - r[0] >= substring_dedup.SPAN]
+        inside = {d for a, b, d in gone if any(x <= a and b <= y for x, y in runs)}
+        out[k] = (sum(b - a for a, b in runs), len(runs)), inside
+    return out, {k: {d for _, _, d in us} for k, us in units.items()}
+
+
+def test_removal_is_that_of_plain_python(spark):
+    rows = {}
+    for k in range(60):
+        passages = [words(700 + j, 40) for j in ((k * 7) % 5, (k * 3) % 4)]
+        rows[k] = " ".join(words(k, 12 + k % 9) + passages[0] + words(3 * k + 1, 8 + k % 20) + passages[1] * (1 + k % 2) + words(5 * k, 15))
+    rows[60], rows[61] = None, " "
+    data = [(k, t, "en", "s", 1, 1, "", "", "") for k, t in rows.items()]
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(table(spark, data).repartition(7)).collect()}
+    want, units = plain_removal({k: t or "" for k, t in rows.items()})
+    assert {k: (r._n_removed, r._n_runs) for k, r in got.items()} == {k: x for k, (x, _) in want.items()}
+    assert sum(x[0] for x, _ in want.values()) > 1000
+    for k, (_, inside) in want.items():
+        firsts = got[k]._first_ids
+        assert bool(firsts) == bool(inside) and all(f <= k and units[f] & inside for f in firsts)
+        assert inside <= set().union(*(units[f] for f in firsts))
+
+
+def test_columns_of_its_own_names_are_no_matter(spark):
+    docs = table(spark).withColumnsRenamed({"kept": "_n_words", "ids": "_gone", "lang": "_order"})
+    out = substring_dedup.substring_dedup(docs, report=False)
+    assert out.columns == docs.columns and {r[0] for r in out.select("_n_words").collect()} == {"x"}
+    twice = substring_dedup.substring_dedup(substring_dedup.substring_dedup(docs))
+    assert twice.columns.count("_n_words") == 1 and twice.count() == docs.count()
+
+
 def test_units_move_with_their_content():
     text = " ".join(words(6, 300))
     a = substring_dedup.Units(pa.array([text]))

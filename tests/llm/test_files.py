@@ -239,3 +239,33 @@ def test_pipeline(spark, sf):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in pieces.collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     assert [k for k, _ in groupby(n for n, _ in corpus_pipeline.STAGES)] == ["quality_rules", "quality_classifier", "near_duplicates", "substring_dedup", "packing"]
+
+
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows and columns with the operators' own names pass all stages; an empty table gives no pieces."""
+    import corpus_pipeline
+
+    from .fixtures import documents, table
+
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(20, 50)] + [(None, 1, 0), (22, None, 1)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    names = {"kept": "_q_n_words", "component_id": "_order", "ids": "_n_words"}
+    docs = table(spark).withColumnsRenamed(names)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = out
+    docs = docs.persist()
+    left = [r.doc_id for r in docs.collect()]
+    assert not {1, 2, 3, 4, 5, 6, 7, 8, 14, 16} & set(left) and len(set(left) & set(range(20, 60))) >= 30
+    assert left.count(20) in (0, 3)
+    assert {r._order for r in docs.collect()} == {"y"}
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(left)
+    run = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in run.collect()} == set(left)
+    none = f"{tmp_path}/none"
+    labels.write.parquet(f"{none}/labels.parquet")
+    table(spark, []).withColumnsRenamed(names).write.parquet(f"{none}/documents.parquet")
+    assert corpus_pipeline.run(spark, none).count() == 0

@@ -172,6 +172,83 @@ def test_importance(spark, sf):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in some.where("kept").collect()}
 
 
+def test_importance_is_that_of_counters(spark):
+    """Log weights, noise and the kept set against plain counters over hashed n-grams, with nulls, empty texts, ties and repeated rows."""
+    rows = [(k, t, *rest) for k, t, *rest in documents() if k is not None and k != 11]
+    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(20, 60)] + [(3, 1, 0), (None, 1, 0), (21, 1, 0)], "doc_id long, quality int, toxic int")
+    got = importance.importance_report(table(spark, rows), labels, share=0.4).collect()
+    buckets = {}
+    for k, text, *_ in rows:
+        one = [int(x) for x in Words(pa.array([text], pa.string()), lower=True).hash]
+        two = [int(importance.grams(np.array([a, b], np.uint64), 2)[0]) for a, b in zip(one, one[1:])]
+        buckets[k] = [(x >> 20) % importance.BUCKETS for x in one + two]
+    good_ids = {k for k in range(20, 60) if k % 2 == 0} | {3}
+    raw, good = collections.Counter(), collections.Counter()
+    for k, *_ in rows:
+        raw.update(buckets[k])
+        if k in good_ids:
+            good.update(buckets[k])
+    n, m = sum(good.values()), sum(raw.values())
+    ratio = {b: math.log((good[b] + 1) / (n + importance.BUCKETS)) - math.log((raw[b] + 1) / (m + importance.BUCKETS)) for b in raw}
+    for r in got:
+        assert r.n_grams == len(buckets[r.doc_id])
+        assert r.log_weight == pytest.approx(sum(ratio[b] for b in buckets[r.doc_id]), abs=1e-9)
+    order = sorted((r.log_weight + r.gumbel for r in got), reverse=True)
+    least = order[math.ceil(0.4 * len(got)) - 1]
+    assert all(r.kept == (r.log_weight + r.gumbel >= least) for r in got)
+    assert len({r.gumbel for r in got}) == len({r.doc_id for r in got})
+
+
+def test_gumbel_noise_samples_in_proportion():
+    """The row of largest sum is drawn in proportion to its weight."""
+    log_weight, wins = np.log(np.array([1.0, 2.0, 5.0])), np.zeros(3)
+    for seed in range(4000):
+        draw = importance.mix(importance.mix(np.arange(3).astype(np.uint64)) + np.uint64(seed))
+        noise = -np.log(-np.log(((draw >> np.uint64(11)).astype(float) + 0.5) / (1 << 53)))
+        wins[np.argmax(log_weight + noise)] += 1
+    assert np.abs(wins / 4000 - np.array([1, 2, 5]) / 8).max() < 0.03
+
+
+def test_certified_cutoffs_reject_junk(spark):
+    """With enough labels a rule is certified, rejects labelled and unlabelled junk, and spares what is clean; a label counts once."""
+    need = quality_rules.labels_needed()
+    assert (1 - 0.005) ** need <= 0.0025 < (1 - 0.005) ** (need - 1)
+    clean = "these are plain words of a clean text which says something at some length here"
+    junk = "word #$%& " * 12 + clean
+    rows = [(k, clean if k < need + 50 else junk, "en", "s", 1, 1, "", "", "") for k in range(need + 150)]
+    docs = table(spark, rows)
+
+    def labels(n):
+        return spark.createDataFrame([(k, 1, 0) for k in range(n)] + [(k, 0, 0) for k in range(need + 50, need + 100)], "doc_id long, quality int, toxic int")
+
+    got = quality_rules.quality_report(docs, labels(need)).collect()
+    assert all(r.kept == (r.doc_id < need + 50) for r in got if not r.base_failed)
+    few = quality_rules.quality_report(docs, labels(need - 1)).collect()
+    assert all(r.kept != r.base_failed for r in few)
+    repeated = quality_rules.quality_report(docs.unionByName(docs.where("doc_id < 10")), labels(need - 1)).collect()
+    assert all(r.kept != r.base_failed for r in repeated)
+
+
+def test_document_scores_are_sums_over_segmentations(spark):
+    """The score of each document against a plain recursion over its words with the same piece counts."""
+    rows = [r for r in documents() if r[0] is not None and r[0] not in (11, 12)]
+    got = {r.doc_id: r for r in lattice_lm.lm_scores(table(spark, rows), PIECES).collect()}
+    pieces = lattice_lm.Pieces(PIECES)
+    counts, ends = np.full(len(pieces.names), lattice_lm.PRIOR), 0
+    words_of = {k: [w.decode() for w in lowered(t)] for k, t, *_ in rows}
+    for k, *_ in rows:
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            ends += 1
+            for w in words_of[k]:
+                for i in pieces.model.encode(w):
+                    counts[i] += 1
+    counts[pieces.end] += ends
+    scored = pieces.scored(np.log(counts / counts.sum()))
+    for k, r in got.items():
+        want = sum(scored.word(w) for w in words_of[k]) + math.log(counts[pieces.end] / counts.sum())
+        assert r.score == pytest.approx(want / math.log(10), rel=1e-9)
+
+
 def test_kth_largest(spark):
     x = np.concatenate([np.random.default_rng(2).normal(size=500) * 1e3, [0.0, -0.0, 7.5, 7.5, -1e300]])
     longs = importance.ordered(x)

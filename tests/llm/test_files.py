@@ -259,7 +259,7 @@ def test_pipeline_on_awkward_tables(spark, tmp_path):
     docs = docs.persist()
     left = [r.doc_id for r in docs.collect()]
     assert not {1, 2, 3, 4, 5, 6, 7, 8, 14, 16} & set(left) and len(set(left) & set(range(20, 60))) >= 30
-    assert left.count(20) in (0, 3)
+    assert left.count(23) in (0, 3)  # the row that is there three times
     assert {r._order for r in docs.collect()} == {"y"}
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert collections.Counter(r.doc_id for r in packed if r.start == 0) == collections.Counter(left)

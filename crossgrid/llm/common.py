@@ -78,6 +78,11 @@ def tidy(fn, holds: str = ""):
     return run
 
 
+def tasks(spark: SparkSession, amount: float, each: float) -> int:
+    """Shuffle partitions for an amount of rows or bytes, so that a task gets about ``each`` of them whatever the input; at least as many as the session asks for."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, -(-int(amount) // int(each)))
+
+
 def empty(df: DataFrame) -> bool:
     return not df.take(1)
 

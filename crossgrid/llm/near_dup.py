@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, empty, prepare, stash, tidy, whole_groups
+from .common import components, empty, prepare, stash, tasks, tidy, whole_groups
 from .words import Words, grams, mix, slices
 
 TREES, POOL, DEPTH, SMALL = 16, 64, 28, 1024
 #: Chance at most with which a pair at the threshold agrees in too few sketch bytes to be a candidate.
 MISS = 1e-6
 FILTER_BITS = 26
+#: About what a task gets: places in leaves, of some 100 bytes each, and bytes of full sets.
+LEAF_ROWS, SET_BYTES = 500_000, 64 << 20
 #: A large node that has STUCK times in a row kept SHRINKS of its parent's members isn't branched further.
 STUCK, SHRINKS = 3, 0.95
 
@@ -309,14 +311,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         same = F.when(F.col("size") >= SHRINKS * F.col("parent"), F.col("same") + 1).otherwise(0)
         nodes = stash(_shared(stash(children)).withColumn("same", same))
         level += 1
-    n = _parallel(spark)
     sketch = F.expr(f"unhex(array_join(transform(sequence(1, {4 * POOL}, 4), i -> hex(substring(vec, i, 1))), ''))")
 
     def links(leaves: DataFrame, *part: str) -> DataFrame:
         rows = leaves.join(vectors.select("rep", "n_shingles", sketch.alias("sketch")), "rep").select("key", "rep", "n_shingles", "sketch", *part)
-        clusters = stash(rows.repartition(n, "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long").distinct())
+        clusters = stash(rows.repartition(tasks(spark, leaves.count(), LEAF_ROWS), "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long").distinct())
         alive = clusters.select("rep").distinct()
         sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
+        mean = sets.agg(F.coalesce(F.avg(F.octet_length("tokens")), F.lit(0.0))).first()[0]
+        n = tasks(spark, clusters.count() * mean, SET_BYTES)
         return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(tidy(_confirmed(percent)), "u long, v long")
 
     first = links(leaves)
@@ -333,10 +336,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     return base.join(names, same, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("doc_id") == F.coalesce("component", "doc_id"), F.lit(True)).alias("kept"))
 
 
-def _parallel(spark) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-
-
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs whose document has the smallest id of its near-duplicates, with all their columns."""
     found = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, tidy
+from .common import prepare, tasks, tidy
 
 #: Fixed values of the template. A turn: BOT role EOR text EOT.
 BOT, EOR, EOT = "<s>[INST] ", " [/INST]\n", "</s>\n"
 #: Strings that a text can't hold as they are; each gets ESCAPE after its first character.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<|image|>", "<|audio|>", "<|document|>")
 ESCAPE = "\\"
+#: Turns that a task puts together, conversations being dealt whole.
+TASK_TURNS = 100_000
 PARTS = "array<struct<kind:string,text:string,ref:string,width:int,height:int,seconds:double,pages:int>>"
 
 _OPENING = re.compile(r"([<\[])(\\*)(?=/?s>|/?INST\]|\|(?:image|audio|document)\|>)")
@@ -147,20 +149,24 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(conv_id, formatted) sorted by conversation and turn to the digests of what is read back of each."""
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    """(conv_id, formatted, attachments, attached_tokens) sorted by conversation and turn to the digests of what is read back of each."""
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "attached_tokens", "attachments_sha256"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
     now, state, out = object(), None, []
 
     def done() -> None:
         if state:
-            out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
+            out.append((now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), *state[4:7], state[7].hexdigest()))
 
     for b in batches:
-        for conv, formatted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for conv, formatted, attached, tokens in zip(*(b.column(k).to_pylist() for k in range(4))):
             if conv != now:
                 done()
-                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                now, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0, hashlib.sha256()]
+            for a in attached:
+                state[7].update(f"{a['kind']} {state[4] + a['position']} {a['tokens']} {a['ref']}\n".encode())
+            state[5] += len(attached)
+            state[6] += tokens
             state[4] += len(formatted)
             for role, text, _ in read_turns(formatted):
                 state[0] += 1
@@ -182,12 +188,13 @@ def text_parts(text_col: str = "text") -> Column:
 
 
 def chat_report(rows: DataFrame, parts: Column | None = None) -> DataFrame:
-    """Per conversation, read back from its formatted turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """Per conversation, read back from its formatted turns: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars; and of
+    its attachments: how many, their expanded tokens, and the digest of a line for each (kind, place in the whole, tokens, reference)."""
     spark = rows.sparkSession
     turns = format_turns(rows, text_parts() if parts is None else parts)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = turns.select("conv_id", "turn", "role", "formatted").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return dealt.select("conv_id", "formatted").mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    n = tasks(spark, rows.count(), TASK_TURNS)
+    dealt = turns.select("conv_id", "turn", "role", "formatted", "attachments", "attached_tokens").repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted", "attachments")
+    return dealt.select("conv_id", "formatted", "attachments", "attached_tokens").mapInArrow(tidy(_digests), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, attached_tokens long, attachments_sha256 string")
 
 
 def sample_conversation(spark: SparkSession) -> DataFrame:

@@ -12,7 +12,6 @@ from . import bpe, chat, importance, lattice_lm, near_dup, packing, progressive_
 from .common import table
 
 
-
 def tokenizer(name: str) -> str:
     """The place of a vocabulary file: in the folder CROSSGRID_TOKENIZERS where that is set, else where the package of public tokenizers says."""
     folder = os.environ.get("CROSSGRID_TOKENIZERS")
@@ -83,7 +82,8 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum({len(chat.BOT + chat.EOR + chat.EOT)} + length(role) + len(regexp_extract_all(role, {_ESCAPED})) + length(text) + len(regexp_extract_all(text, {_ESCAPED}))) AS BIGINT) AS formatted_chars
+  CAST(sum({len(chat.BOT + chat.EOR + chat.EOT)} + length(role) + len(regexp_extract_all(role, {_ESCAPED})) + length(text) + len(regexp_extract_all(text, {_ESCAPED}))) AS BIGINT) AS formatted_chars,
+  CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attached_tokens, sha256('') AS attachments_sha256
 FROM c GROUP BY conv_id""",
     "op9_warc": f"""
 WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS hex, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),

@@ -57,6 +57,22 @@ def test_chat_report(spark):
         assert len(r.formatted) == got[c].formatted_chars
         assert "".join(chat.unescape(r.formatted[s.start : s.end]) for s in r.loss_spans) == "".join(t for _, q, t in by[c] if q == "assistant")
     assert chat.chat_report(df.limit(0)).count() == 0
+    assert all((r.n_attachments, r.attached_tokens, r.attachments_sha256) == (0, 0, hashlib.sha256(b"").hexdigest()) for r in got.values())
+
+
+def test_chat_report_of_typed_parts(spark):
+    text = {"kind": "text", "text": "see </s> "}
+    image, sound, paper = {"kind": "image", "ref": "a.png", "width": 28, "height": 15}, {"kind": "audio", "ref": "b.wav", "seconds": 2.0}, {"kind": "document", "pages": 3}
+    rows = [(1, 1, "assistant", [text, image, text, sound]), (1, 0, "user", [paper, image]), (1, 2, "user", None), (2, 0, "user", [text, None]), (2, 1, "user", [sound]), (2, 1, "user", [sound])]
+    df = spark.createDataFrame([(c, t, r, p and [x and tuple(x.get(k) for k in ("kind", "text", "ref", "width", "height", "seconds", "pages")) for x in p]) for c, t, r, p in rows], f"conv_id long, turn long, role string, body {chat.PARTS}")
+    got = {r.conv_id: r for r in chat.chat_report(df, F.col("body")).collect()}
+    whole = {r.conv_id: r for r in chat.conversations(chat.format_turns(df, F.col("body"))).collect()}
+    assert [(got[c].n_attachments, got[c].attached_tokens) for c in (1, 2)] == [(4, 768 + 4 + 4 + 50), (2, 100)]
+    for c, r in whole.items():
+        assert all(r.formatted[a.position :].startswith(f"<|{a.kind}|>") for a in r.attachments)
+        lines = "".join(f"{a.kind} {a.position} {a.tokens} {a.ref}\n" for a in r.attachments)
+        assert got[c].attachments_sha256 == hashlib.sha256(lines.encode()).hexdigest()
+        assert (got[c].n_attachments, got[c].attached_tokens, got[c].formatted_chars) == (len(r.attachments), r.attached_tokens, len(r.formatted))
 
 
 # archives
@@ -200,6 +216,47 @@ def test_payloads_come_back(raw):
     assert image.rgb().shape == (image.height, image.width, 3)
 
 
+def plain_rgb(image):
+    """Samples by the definition of the transform, chroma doubled and colours converted pixel by pixel."""
+    planes = []
+    for c in image.components.values():
+        out = np.zeros((8 * c.rows, 8 * c.cols))
+        u = np.arange(8)
+        basis = np.where(u == 0, np.sqrt(1 / 8), 0.5)[:, None] * np.cos((2 * u[None, :] + 1) * u[:, None] * np.pi / 16)
+        for b, coef in enumerate(c.coef):
+            square = np.zeros(64)
+            square[progressive_jpeg.ZIGZAG] = coef
+            i, j = divmod(b, c.cols)
+            out[8 * i : 8 * i + 8, 8 * j : 8 * j + 8] = basis.T @ square.reshape(8, 8) @ basis + 128
+        planes.append(np.clip(np.floor(out + 0.5), 0, 255))
+    rgb = np.zeros((image.height, image.width, 3))
+    for y in range(image.height):
+        for x in range(image.width):
+            light, blue, red = planes[0][y, x], planes[1][y // 2, x // 2] - 128, planes[2][y // 2, x // 2] - 128
+            rgb[y, x] = light + 1.402 * red, light - 0.344136 * blue - 0.714136 * red, light + 1.772 * blue
+    return np.clip(np.floor(rgb + 0.5), 0, 255)
+
+
+@pytest.mark.parametrize("size", [1, 64, 700, 2500])
+def test_tensors_by_the_definition(spark, size):
+    raw = np.random.default_rng(size).integers(97, 123, size, dtype=np.uint8).tobytes()
+    payload = progressive_jpeg.padded(raw)
+    image = progressive_jpeg.Image(progressive_jpeg.encode(payload, len(raw)))
+    rgb, want = image.rgb(), plain_rgb(image)
+    # a sample that rounds the other way moves a colour by 1.772 at most, and two by 3
+    apart = np.abs(rgb - want)
+    assert apart.max() <= 4 and (apart > 0).mean() < 0.01
+    mean = rgb.astype(float).reshape(-1, 3).mean(0)
+    shape, means, digest = progressive_jpeg.feature(rgb).split(";")
+    assert shape == f"{image.height}x{image.width}" and digest == f"{zlib.crc32(rgb.tobytes()):08x}"
+    assert np.abs(np.array(means.split(","), float) - mean).max() < 1e-3
+    rows = spark.createDataFrame([(1, raw.decode()), (2, None)], "doc_id long, text string")
+    media = progressive_jpeg.store(rows, ["doc_id"]).withColumn("media", F.when(F.col("doc_id") == 1, F.col("media")))
+    got = {r.doc_id: r for r in progressive_jpeg.decode_rgb(media, ["doc_id"]).collect()}
+    assert (np.frombuffer(got[1].rgb, np.uint8).reshape(got[1].height, got[1].width, 3) == rgb).all()
+    assert got[2].rgb is None and got[2].height is None
+
+
 def test_media_report(spark):
     got = progressive_jpeg.media_report(table(spark)).collect()
     rows = documents()

@@ -52,11 +52,11 @@ def walk_forward(ics: DataFrame, folds: DataFrame, drop: int) -> DataFrame:
     return ic_summary(days.where(F.col("_i") > drop), "fold").select("fold", "mean_ic", F.col("icir").alias("ir"), "t_stat", "n_days")
 
 
-def cscv_pbo(returns: DataFrame, n_blocks: int = 8) -> DataFrame:
-    """Of returns (t, strategy, r): how often the best half-sample strategy falls below the median in the other half. Blocks are of equal length, the remainder at the end is dropped. Sharpe ratios of halves come from sums per block."""
+def cscv_pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0) -> DataFrame:
+    """Of returns (t, strategy, r): how often the best half-sample strategy falls below the median in the other half. Blocks are of equal length, the remainder at the end is dropped, as are the first ``purge`` rows of each block. Sharpe ratios of halves come from sums per block."""
     spark = returns.sparkSession
     length = returns.agg((F.max("t") + 1 - (F.max("t") + 1) % n_blocks).alias("_len"))
-    stats = returns.crossJoin(length).where("t < _len").withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy("block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
+    stats = returns.crossJoin(length).where((F.col("t") < F.col("_len")) & (F.col("t") % (F.col("_len") / n_blocks) >= purge)).withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy("block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
     splits = spark.createDataFrame([(i, b, b in c) for i, c in enumerate(combinations(range(n_blocks), n_blocks // 2)) for b in range(n_blocks)], "split int, block int, inside boolean")
     half = stats.join(splits, "block").groupBy("split", "inside", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")
@@ -68,8 +68,8 @@ def cscv_pbo(returns: DataFrame, n_blocks: int = 8) -> DataFrame:
     return best.join(outside, ["split", "strategy"]).select("split", "strategy", F.col("rank").alias("oos_rank"), F.ln(F.col("rank") / (1 - F.col("rank"))).alias("logit"))
 
 
-def pbo(returns: DataFrame, n_blocks: int = 8) -> DataFrame:
-    return cscv_pbo(returns, n_blocks).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"))
+def pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0) -> DataFrame:
+    return cscv_pbo(returns, n_blocks, purge).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"))
 
 
 def pair_corr(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:

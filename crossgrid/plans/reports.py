@@ -9,7 +9,7 @@ from ..config import MIN_NAMES
 from ..functions import stats
 from ..oracles import sql
 from ..sources import panel as source
-from . import backtest, catalog, prices, redteam, research, stores, universe
+from . import backtest, catalog, loopstate, prices, redteam, research, stores, universe
 from .queries import FEATURES, LAB, PREPARED, _ready, ic_cte, labelled, query, r, summary
 from .formula import evaluate
 
@@ -285,5 +285,5 @@ def isin_changes(spark, sf_dir):
     return source.read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct("p_brand").alias("n_brands")).where("n_brands > 1")
 
 
-for _module in (redteam, research, stores, catalog):
+for _module in (redteam, research, stores, catalog, loopstate):
     _module.register()

@@ -62,13 +62,16 @@ def allocation(rewards: DataFrame) -> DataFrame:
 
 def lineage(cards: DataFrame, depth: int = 64) -> DataFrame:
     """Of (card_id, parent_id): card_id, ancestor, steps. A path ends at a card without parent, or at ``depth``, so a cycle ends as well."""
-    cards.createOrReplaceTempView("_cards")
-    return cards.sparkSession.sql(f"""
+    return cards.sparkSession.sql(
+        """
         WITH RECURSIVE up(card_id, ancestor, steps) AS (
-          SELECT card_id, card_id, 0 FROM _cards
+          SELECT card_id, card_id, 0 FROM {cards}
           UNION ALL
-          SELECT u.card_id, c.parent_id, u.steps + 1 FROM up u JOIN _cards c ON c.card_id = u.ancestor WHERE c.parent_id IS NOT NULL AND u.steps < {depth}
-        ) SELECT * FROM up""")
+          SELECT u.card_id, c.parent_id, u.steps + 1 FROM up u JOIN {cards} c ON c.card_id = u.ancestor WHERE c.parent_id IS NOT NULL AND u.steps < {depth}
+        ) SELECT * FROM up""",
+        cards=cards,
+        depth=depth,
+    )
 
 
 class PeekBudget:

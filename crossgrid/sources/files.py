@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,23 @@ def numeric(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.withColumns({c: F.col(c).try_cast("double") for c in columns})
 
 
+def of_series(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of the trading series to keep (EQ unless others are named), case and blanks aside."""
+    return rows.where(F.upper(F.trim("series")).isin(*(k.upper() for k in keep or ("EQ",))))
+
+
+def read_sectors(spark: SparkSession, path: str) -> DataFrame:
+    """symbol (upper case), isin, industry of a sector list with the columns Symbol, ISIN Code and Industry; names and values trimmed."""
+    rows = read_modern_csv(spark, path)
+    return rows.select(F.upper(F.trim("Symbol")).alias("symbol"), F.trim("ISIN Code").alias("isin"), F.trim("Industry").alias("industry"))
+
+
+def read_index_members(spark: SparkSession, path: str) -> DataFrame:
+    """Distinct symbols of lists in a column ``symbols`` (separated by commas): trimmed, upper case, no blanks beside an ampersand."""
+    cells = read_modern_csv(spark, path).where("symbols IS NOT NULL").select(F.explode(F.split("symbols", ",")).alias("s"))
+    return cells.select(F.regexp_replace(F.upper(F.trim("s")), " ?& ?", "&").alias("symbol")).where("symbol <> ''").distinct()
+
+
 def read_zipped_csv(spark: SparkSession, path: str) -> DataFrame:
     """Zipped daily files: rows (file, line) of the first member of each, without its header; names of the header in ``fields``."""
 
@@ -94,6 +112,36 @@ def write_cache(rows: DataFrame, path: str, columns: dict[str, str], sources: li
         raise ValueError(f"missing columns: {missing}")
     write(rows.select(*columns), path)
     n = rows.sparkSession.read.parquet(path).count()
-    manifest = {"path": path, "rows": n, "status": "ok" if n else "partial", "sources": sources, "columns": columns}
+    manifest = {"path": path, "rows": n, "status": "ok" if n else "partial" if sources else "no_source", "sources": sources, "columns": columns}
     rows.sparkSession.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + ".manifest")
     return manifest
+
+
+def cache_state(spark: SparkSession, path: str, changed: dict[str, float]) -> str:
+    """State of a report table against its manifest: not_built, broken (missing table or other columns), no_source, stale (a source, of those whose time of change is given, is younger than the manifest), or ok."""
+    try:
+        line = spark.read.text(path.rstrip("/") + ".manifest").withColumn("at", F.col("_metadata.file_modification_time").cast("double")).where("value <> ''").first()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return "not_built"
+        raise
+    manifest = json.loads(line.value)
+    try:
+        have = spark.read.parquet(path).columns
+    except AnalysisException:
+        return "broken"
+    if have != list(manifest["columns"]):
+        return "broken"
+    if manifest["status"] == "no_source":
+        return "no_source"
+    return "stale" if any(changed.get(s, 0.0) > line["at"] for s in manifest["sources"]) else "ok"
+
+
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there and not empty; reads one row at most."""
+    try:
+        return not spark.read.parquet(path).isEmpty()
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise

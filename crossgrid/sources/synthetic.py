@@ -41,3 +41,35 @@ def forward_filled(rows: DataFrame, *columns: str) -> DataFrame:
     """The grid with gaps filled by the last value before them."""
     w = Window.partitionBy("symbol").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
+
+
+def membership(spark: SparkSession, days: int = 800, names: int = 60, size: int = 40, seed: int = 42) -> DataFrame:
+    """pos, date, symbol, place: the ``size`` names that lead each month of 21 days; order drifts, so some names move in and out."""
+    g = grid(spark, days, names).withColumn("_month", F.floor(F.col("pos") / 21))
+    g = g.withColumn("_score", normal(seed, "symbol") + 0.3 * normal(seed + 1, "symbol", "_month"))
+    return g.withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy(F.desc("_score"), "symbol"))).where(F.col("place") <= size).select("pos", "date", "symbol", "place")
+
+
+def symbols(spark: SparkSession, names: int = 40) -> DataFrame:
+    """symbol, sector, isin."""
+    return grid(spark, 1, names).select("symbol", "sector", F.concat(F.lit("INE"), F.lpad(F.substring("symbol", 2, 10), 9, "0")).alias("isin"))
+
+
+def ar1(seed: int, rho: float, *keys: str, pos: str = "pos", depth: int = 128) -> Column:
+    """A persistent standard normal per key: innovations of the last ``depth`` positions weighted by powers of rho, from hashes, so no row waits for another."""
+    at = F.sequence(F.lit(0), F.lit(depth - 1))
+    total = F.aggregate(at, F.lit(0.0), lambda acc, k: acc + F.pow(F.lit(rho), k) * normal(seed, *keys, F.col(pos) - k))
+    return (1 - rho * rho) ** 0.5 * total
+
+
+def world(spark: SparkSession, days: int = 600, names: int = 40, seed: int = 42, rho: float = 0.92, edge: float = 0.1) -> DataFrame:
+    """The grid with a persistent ``latent`` per name and next returns that lean on it: pos, date, symbol, sector, latent, fwd_ret_1, fwd_ret_1_demeaned."""
+    g = grid(spark, days, names).withColumn("latent", ar1(seed, rho, "symbol"))
+    g = g.withColumn("fwd_ret_1", 0.02 * (edge * F.col("latent") + (1 - edge * edge) ** 0.5 * normal(seed + 1, "symbol", "pos")))
+    return g.withColumn("fwd_ret_1_demeaned", F.col("fwd_ret_1") - F.avg("fwd_ret_1").over(Window.partitionBy("date")))
+
+
+def features(spark: SparkSession, days: int = 600, names: int = 60, seed: int = 42) -> DataFrame:
+    """date, symbol, pos, mom, vol, size: loadings of which mom is persistent, vol is fixed per name but for noise, and size drifts."""
+    g = grid(spark, days, names)
+    return g.select("date", "symbol", "pos", ar1(seed, 0.92, "symbol").alias("mom"), F.exp(0.3 * normal(seed + 1, "symbol") + 0.05 * normal(seed + 2, "symbol", "pos")).alias("vol"), (10 + normal(seed + 3, "symbol") + 0.1 * ar1(seed + 4, 0.99, "symbol")).alias("size"))

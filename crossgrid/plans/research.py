@@ -162,6 +162,52 @@ def ablation(rows: DataFrame, pool: DataFrame) -> DataFrame:
     return kinds.join(now, "signal_id").join(late, "signal_id", "left").select("signal_id", "kind", "ic", "t", "late_ic", (F.col("t") >= 3).alias("statistics"), (F.col("ic") < 0.5).alias("redteam"))
 
 
+KINDS = ("genuine", "noise", "overfit", "leaky")
+
+
+def world_pool(w: DataFrame, per_kind: int = 10, draws: int = 100, seed: int = 42) -> DataFrame:
+    """place, signal_id, kind, date, pos, symbol, fwd_ret_1_demeaned, sig on an AR(1) world: per_kind signals of each kind, dealt in turns. A genuine one is the latent with a little noise, a leak the scored label itself with either sign, an overfit one the best of many noise draws on the scored days."""
+    from ..sources.synthetic import normal
+
+    y, base = F.col("fwd_ret_1_demeaned"), ("date", "pos", "symbol", "fwd_ret_1_demeaned")
+    z = lambda k, i: normal(seed + k, F.lit(i), "symbol", "pos")
+    made = []
+    for i in range(per_kind):
+        part = i / max(per_kind - 1, 1)
+        made += [("genuine", i, (0.3 + 1.2 * part) * F.col("latent") + (0.05 + 0.3 * (1 - part)) * z(1, i)), ("noise", i, z(2, i)), ("leaky", i, (1 if i % 2 == 0 else -1) * y / 0.02 + (0.02 + 0.01 * i) * z(3, i))]
+    fixed = w.select(*base, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(i).alias("i"), v.alias("sig")) for k, i, v in made))).alias("x")).select(*base, "x.*")
+    draw = normal(seed + 4, "draw", "symbol", "pos")
+    tries = w.select(*base, F.explode(F.sequence(F.lit(0), F.lit(per_kind * draws - 1))).alias("draw")).withColumn("sig", draw)
+    means = stats.daily_ic(tries, "sig", "fwd_ret_1_demeaned", keys=("draw", "date")).groupBy("draw").agg(F.avg("ic").alias("ic"))
+    best = means.groupBy(F.floor(F.col("draw") / draws).cast("int").alias("i")).agg(F.max_by("draw", "ic").alias("draw"))
+    worst = w.select(*base).crossJoin(F.broadcast(best)).select(*base, F.lit("overfit").alias("kind"), "i", draw.alias("sig"))  # a row per signal
+    kinds = F.array(*map(F.lit, KINDS))
+    return fixed.unionByName(worst).select((F.col("i") * len(KINDS) + F.array_position(kinds, F.col("kind")) - 1).cast("int").alias("place"), F.concat_ws("_", "kind", F.col("i").cast("string")).alias("signal_id"), "kind", *base, "sig")
+
+
+def world_ablation(pool: DataFrame, least: int = 20) -> DataFrame:
+    """place, signal_id, kind, sign, ic, t, dsr, late_ic, novelty, statistics, redteam: all signals scored in one plan, then what each of the three gates says by itself. The deflated Sharpe ratio of a signal counts those before it as trials; the last gate is the lag of a day."""
+    from ..functions.stats import deflated_sharpe, expected_max_sharpe
+    from . import gates, redteam
+
+    d = pool.withColumn("late", F.lag("sig").over(Window.partitionBy("signal_id", "symbol").orderBy("pos")))
+    keys = ("place", "signal_id", "kind")
+    long = d.select(*keys, "date", "fwd_ret_1_demeaned", F.explode(F.array(*(F.struct(F.lit(k).alias("late"), F.col(c).alias("s")) for k, c in ((False, "sig"), (True, "late"))))).alias("x")).select(*keys, "date", "fwd_ret_1_demeaned", "x.late", "x.s")
+    found = stats.moments(stats.daily_ic(long, "s", "fwd_ret_1_demeaned", least=least, keys=(*keys, "late", "date")), "ic", *keys, "late").collect()  # two rows a signal
+    now, late = ({r.signal_id: r for r in found if r.late == k} for k in (False, True))
+    t = lambda r: r["mean"] * r.n**0.5 / r.sd if r is not None and r.sd else 0.0
+    out = []
+    for k, r in now.items():
+        sign, n = (1 if r["mean"] > 0 else -1), r.n
+        ic, after = abs(r["mean"]), sign * late[k]["mean"] if k in late else 0.0
+        ok = n >= 4 and r.sd
+        dsr = deflated_sharpe(ic / r.sd, n, sign * r["skew"], r.kurt, expected_max_sharpe(r.place + 1, n**-0.5)) if ok else 0.0
+        passed = n >= gates.MIN_DAYS and dsr >= gates.MIN_DSR and abs(t(r)) >= gates.MIN_T
+        lost = after <= 0 or after < redteam.COLLAPSE * ic or abs(t(late.get(k))) < redteam.WEAK_T
+        out.append((r.place, k, r.kind, sign, ic, t(r), dsr, after, ic >= gates.MIN_MARGINAL_IC, passed, not lost))
+    return pool.sparkSession.createDataFrame(out, "place int, signal_id string, kind string, sign int, ic double, t double, dsr double, late_ic double, novelty boolean, statistics boolean, redteam boolean")
+
+
 def register() -> None:
     from ..sources import panel as source
     from .queries import query, r
@@ -180,3 +226,11 @@ def register() -> None:
         rows = source.fwd_labels(source.panel(spark, sf_dir))
         out = ablation(rows, signal_pool(rows))
         return out.withColumns({k: r(k) for k in ("ic", "t", "late_ic")})
+
+    @query("ablation_world")
+    def ablation_world(spark, sf_dir):
+        """Forty signals of four kinds on a synthetic world, and what each gate says of each."""
+        from ..sources.synthetic import world
+
+        out = world_ablation(world_pool(world(spark, 250, 24, edge=0.3)))
+        return out.withColumns({k: r(k) for k in ("ic", "t", "dsr", "late_ic")})

@@ -9,7 +9,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from crossgrid.plans import gates, loopstate, stores
+from crossgrid.plans import gates, loopstate, research, stores
 from crossgrid.sources import files, synthetic
 
 D = dt.date
@@ -132,3 +132,18 @@ def test_states_of_a_report(spark, tmp_path):
     files.write_cache(spark.range(0), empty, {"id": "bigint"}, [])
     assert files.cache_state(spark, empty, {}) == "no_source" and not files.has_rows(spark, empty)
     assert os.path.isdir(empty)
+
+
+def test_each_gate_catches_its_kind(spark):
+    pool = research.world_pool(synthetic.world(spark, 150, 24, edge=0.4), 2, 10)
+    got = research.world_ablation(pool).orderBy("place").collect()
+    assert [r.signal_id for r in got] == [f"{k}_{i}" for i in range(2) for k in research.KINDS]
+    for r in got:
+        if r.kind == "genuine":
+            assert r.novelty and r.statistics and r.redteam
+        elif r.kind == "leaky":
+            assert r.statistics and r.ic > 0.9 and not r.redteam
+        else:
+            assert not r.redteam and (r.kind == "overfit" or not r.statistics)
+    mean = {r.signal_id: r.ic for r in got}
+    assert mean["overfit_0"] > 0.02

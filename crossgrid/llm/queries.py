@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, importance, lattice_lm, near_dup, packing, progressive_jpeg, quality_rules, substring_dedup, warc
+from . import bpe, chat, decontamination, importance, lattice_lm, near_dup, packing, prefix_trie, progressive_jpeg, quality_rules, substring_dedup, warc, whitening
 from .common import table
 
 
@@ -69,9 +69,23 @@ def op10_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive_jpeg.media_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op7_chat_formatting, op8_packing, op9_warc, op10_progressive_jpeg)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_bpe, op3_substring_dedup, op4_lm_scoring, op5_near_dup, op6_quality_classifier, op7_chat_formatting, op8_packing, op9_warc, op10_progressive_jpeg, op11_prefix_trie, op12_decontamination, op13_embedding_whitening)}
 _ESCAPED = r"'[<\[]\\*(/?s>|/?INST\]|\|(image|audio|document)\|>)'"
 _BYTE5 = "CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT)"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: What SQL can express. The others' rows are compared with brute-force versions in tests/llm.
 ORACLES: dict[str, str] = {
@@ -93,4 +107,31 @@ SELECT page_id, payload_bytes,
   CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f""",
+    "op11_prefix_trie": """
+WITH RECURSIVE crc(c, i, v) AS (
+  SELECT conv_id, 0, CAST(4294967295 AS BIGINT) FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+  UNION ALL
+  SELECT c, i + 1, CASE WHEN b & 1 = 1 THEN xor(b >> 1, 3988292384) ELSE b >> 1 END FROM (
+    SELECT c, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(CAST(c AS VARCHAR), 1 + i // 8, 1)) AS BIGINT)) ELSE v END AS b FROM crc WHERE i < 8 * length(CAST(c AS VARCHAR)))),
+h AS (SELECT c, xor(v, 4294967295) % 6 AS h FROM crc WHERE i = 8 * length(CAST(c AS VARCHAR))),
+o AS (SELECT conv_id AS c, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT o.c, list_concat(coalesce(b.turns, [])[1:h.h], o.turns[h.h + 1:]) AS turns FROM o JOIN h USING (c) LEFT JOIN o b ON b.c = o.c - o.c % 100),
+m AS (SELECT c, d, turns[1:d] AS path, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY path, d),
+k AS (SELECT path[1:d - 1] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(path[d].text) ELSE 0 END AS saved FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path[1:a] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum(saved) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM v) GROUP BY 1)
+SELECT v.conv_id, v.d AS depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM v JOIN s USING (path) LEFT JOIN v p ON v.d > 0 AND p.path = v.path[1:v.d - 1]""",
+    "op12_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, k, list_slice(w, p + 1, p + k) AS win FROM (SELECT item, w, least(10, len(w)) AS k, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS p FROM b WHERE len(w) > 0)),
+ks AS (SELECT DISTINCT k FROM bw),
+dw AS (SELECT doc_id, k, p, list_slice(w, p + 1, p + k) AS win FROM (SELECT doc_id, w, k, unnest(range(0, len(w) - k + 1)) AS p FROM d, ks WHERE len(w) >= k)),
+o AS (SELECT doc_id, p, dw.k, item FROM dw JOIN bw ON dw.k = bw.k AND dw.win = bw.win),
+hit AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + k)) AS p FROM o) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(len(w), 0) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
 }

@@ -103,15 +103,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def whole_groups(batches, key: int = 0):
-    """From batches of rows sorted by an integer key column: batches with all rows of their keys, and the positions at which keys begin."""
+    """From batches of rows sorted by an integer key column: batches with all rows of their keys, and the positions at which keys begin. Texts and binaries of a group may have over 2 GiB."""
     import numpy as np
     import pyarrow as pa
 
     rest = []
 
+    def wide(kind):
+        return pa.large_string() if pa.types.is_string(kind) else pa.large_binary() if pa.types.is_binary(kind) else kind
+
     def joined(parts):
-        t = pa.Table.from_batches(parts).combine_chunks()
-        b = t.to_batches()[0]
+        t = pa.Table.from_batches(parts)
+        if t.nbytes >= 1 << 30:  # offsets of 32 bits would end a chunk
+            t = t.cast(pa.schema([f.with_type(wide(f.type)) for f in t.schema]))
+        found = t.combine_chunks().to_batches()
+        if len(found) != 1 or found[0].num_rows != t.num_rows:
+            raise ValueError(f"a group of {t.num_rows} rows can't be one batch")
+        b = found[0]
         k = b.column(key).to_numpy(zero_copy_only=False)
         return b, np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1, [len(k)]])
 

@@ -235,6 +235,15 @@ def _confirmed(percent: int):
     return run
 
 
+def _dealt(clusters: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+    """Clusters whose sets have more bytes than ``most`` become pairs of blocks of about half as many, so each pair of members still meets in one cluster."""
+    big = sizes.where(F.col("size") > most).select("cluster", F.ceil(2 * F.col("size") / most).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("rep", "cluster"), F.col("blocks")).cast("int")
+    rows = clusters.join(big, "cluster", "left").withColumn("block", block)
+    pairs = F.expr("transform(sequence(0, blocks - 1), o -> xxhash64(cluster, least(block, o), greatest(block, o)))")
+    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("cluster")).otherwise(pairs)).alias("cluster"), "rep")
+
+
 def _apart(held: DataFrame, found: DataFrame, small: int) -> DataFrame:
     """Nodes (key, class) that were compared in blocks, to leaves (key, class, component) in which each class outside its node's largest component meets all of the node."""
     named = held.join(found, held.rep == found.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
@@ -283,7 +292,7 @@ def _sets(docs: DataFrame, n: int, id_col: str, text_col: str, wanted: np.ndarra
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), "rep long, d1 long, d2 long, tokens binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", small: int = SMALL, depth: int = DEPTH, set_bytes: int = SET_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept. Documents are linked if 100 * common >= percent * union of their shingle sets."""
     spark = prepare(docs.sparkSession)
     base = stash(_signatures(docs, shingle, id_col, text_col))
@@ -318,8 +327,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         clusters = stash(rows.repartition(tasks(spark, leaves.count(), LEAF_ROWS), "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long").distinct())
         alive = clusters.select("rep").distinct()
         sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
-        mean = sets.agg(F.coalesce(F.avg(F.octet_length("tokens")), F.lit(0.0))).first()[0]
-        n = tasks(spark, clusters.count() * mean, SET_BYTES)
+        sizes = clusters.join(sets.groupBy("rep").agg(F.max(F.octet_length("tokens")).alias("size")), "rep").groupBy("cluster").agg(F.sum("size").alias("size"))
+        total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        if most > set_bytes:
+            clusters = _dealt(clusters, sizes, set_bytes)
+        n = tasks(spark, total, SET_BYTES)
         return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(tidy(_confirmed(percent)), "u long, v long")
 
     first = links(leaves)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from crossgrid.llm import near_dup, substring_dedup
-from crossgrid.llm.common import components
+from crossgrid.llm.common import components, whole_groups
 
 from .fixtures import documents, lowered, table, words
 
@@ -45,14 +45,14 @@ def edited(seed, base, n, edits):
     return out
 
 
-@pytest.mark.parametrize("small", [1024, 6])
-def test_classes_are_those_of_all_pairs(spark, small):
+@pytest.mark.parametrize("small, set_bytes", [(1024, near_dup.SET_BYTES), (6, near_dup.SET_BYTES), (1024, 4000)])
+def test_classes_are_those_of_all_pairs(spark, small, set_bytes):
     rows = documents()
     for g in range(4):
         rows += [(1000 + 100 * g + k, t, "en", "s", 1, 1, "", "", "") for k, t in enumerate(edited(g, words(50 + g, 90), 30, 7))]
     for n, percent in ((3, 85), (5, 80)):
         want = brute(rows, n, percent)
-        got = near_dup.near_duplicates(table(spark, rows), n, percent, small=small).collect()
+        got = near_dup.near_duplicates(table(spark, rows), n, percent, small=small, set_bytes=set_bytes).collect()
         assert len(got) == len(rows)
         for r in got:
             if r.doc_id is not None:
@@ -62,6 +62,14 @@ def test_classes_are_those_of_all_pairs(spark, small):
                 assert r.kept
 
 
+def test_groups_of_over_two_gib_keep_all_rows():
+    """As gathered by tasks: binaries of one group have more bytes than offsets of 32 bits can name."""
+    big = pa.array([bytes(1_200_000_000)], pa.binary())
+    parts = [pa.record_batch([pa.array([k]), pa.array([r]), big], ["key", "rep", "data"]) for k, r in ((7, 1), (7, 2), (8, 3))]
+    got = [(b.num_rows, at.tolist(), [len(b.column(2)[k].as_buffer()) for k in range(b.num_rows)]) for b, at in whole_groups(iter(parts))]
+    assert got == [(2, [0, 2], [1_200_000_000] * 2), (1, [0, 1], [1_200_000_000])]
+
+
 def test_dense_groups_end(spark):
     """Copies that agree nearly everywhere stay together down to the last level, where blocks meet the pivot block."""
     rows = [(k, t, "en", "s", 1, 1, "", "", "") for k, t in enumerate(edited(9, words(77, 400), 40, 1))]

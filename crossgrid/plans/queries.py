@@ -32,6 +32,8 @@ def r(c: Column | str, digits: int = 6) -> Column:
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"two queries of the name {name}")
         QUERIES[name] = f
         if oracle:
             ORACLES[name] = oracle

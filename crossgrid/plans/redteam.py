@@ -9,29 +9,46 @@ from pyspark.sql import functions as F
 
 from ..config import HORIZONS, MIN_NAMES
 from ..functions import stats
-from . import backtest
+from . import backtest, universe
 
 #: The menu in its order, and the tests that decide and are always run.
 MENU = ("subsample_year", "regime_split", "size_tercile", "cost_sweep", "extra_lag", "delivery_lag", "sector_neutral", "liquidity_filter", "decay_curve", "sign_stability", "universe_edge")
 DECISIVE = ("subsample_year", "regime_split", "cost_sweep", "extra_lag", "sign_stability")
-COLLAPSE, WEAK_T, REGIME_DAYS, FOLD_DAYS, MODAL_SHARE, COST_BPS, LIQUID, FRINGE = 0.5, 1.5, 60, 40, 0.7, 15.0, 0.4, 0.75
+COLLAPSE, WEAK_T, REGIME_DAYS, FOLD_DAYS, MODAL_SHARE, COST_BPS, LIQUID = 0.5, 1.5, 60, 40, 0.7, 15.0, 0.4
 COSTS = (0.0, 5.0, 15.0, 30.0)
 REGIMES = ("bull", "bear", "calm", "volatile", "highvol")
 Y = "fwd_ret_5_demeaned"
 
 
-def fringe(rows: DataFrame, share: float = FRINGE) -> DataFrame:
-    """date, symbol: names of the bottom band by trailing turnover at the last month's end before a date; before the first end, at that one. rows: the dense panel with size_proxy."""
-    calendar = rows.select("date").distinct()
-    month = Window.partitionBy(F.trunc("date", "month"))
-    ends = calendar.withColumn("_end", F.max("date").over(month)).where("date = _end").select(F.col("date").alias("end"))
+def governed(rows: DataFrame, ends: DataFrame) -> DataFrame:
+    """date, month_end: the last month's end before each date of the rows; before the first one, that one. A row per date, in one task."""
+    both = rows.select("date", F.lit(True).alias("_own"), F.lit(None).cast("date").alias("_end")).unionByName(ends.select(F.col("month_end").alias("date"), F.lit(False).alias("_own"), F.col("month_end").alias("_end")))
+    days = both.groupBy("date").agg(F.max("_own").alias("_own"), F.max("_end").alias("_end"))
     w = Window.orderBy("date")
-    marked = calendar.join(ends, calendar.date == ends.end, "left")
-    days = marked.withColumns({"_before": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "_first": F.min("end").over(Window.partitionBy())}).select("date", F.coalesce("_before", "_first").alias("end"))
-    day = Window.partitionBy("date")
-    ranks = rows.where("size_proxy IS NOT NULL").withColumns({"_k": F.row_number().over(day.orderBy(F.desc("size_proxy"), "symbol")), "_n": F.count("*").over(day)})
-    band = ranks.where(F.col("_k") > share * F.col("_n")).select(F.col("date").alias("end"), "symbol")
-    return days.join(band, "end").select("date", "symbol")
+    end = F.coalesce(F.max("_end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.min("_end").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return days.withColumn("month_end", end).where("_own AND month_end IS NOT NULL").select("date", "month_end")
+
+
+def month_ranks(rows: DataFrame) -> DataFrame:
+    """month_end, symbol, liquidity_rank by trailing turnover at each month's last date. rows: the dense panel with size_proxy."""
+    ends = rows.groupBy(F.trunc("date", "month")).agg(F.max("date").alias("month_end")).select("month_end")
+    known = rows.where("size_proxy IS NOT NULL").join(ends, F.col("date") == F.col("month_end"))
+    return known.select("month_end", "symbol", F.row_number().over(Window.partitionBy("month_end").orderBy(F.desc("size_proxy"), "symbol")).alias("liquidity_rank"))
+
+
+def fringe(rows: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """date, symbol, source: names around the universe's cut in the month that governs each date (``universe.fringe``: ranks 150 to 200, or the last quarter of a smaller month).
+
+    ranks: month_end, symbol, liquidity_rank as supplied; they are used if they name any of the panel's symbols, else those of the panel itself (``month_ranks``), in the same plan; source says which (supplied or panel)."""
+    own = month_ranks(rows).withColumn("source", F.lit("panel"))
+    if ranks is None:
+        given = own
+    else:
+        shared = ranks.select("symbol").distinct().join(rows.select("symbol").distinct(), "symbol", "left_semi").agg((F.count("*") > 0).alias("_shared"))
+        both = ranks.select("month_end", "symbol", "liquidity_rank", F.lit("supplied").alias("source")).unionByName(own)
+        given = both.crossJoin(shared).where((F.col("source") == "supplied") == F.col("_shared")).drop("_shared")
+    band = universe.fringe(given).select("month_end", "symbol", "source")
+    return governed(rows, given.select("month_end").distinct()).join(band, "month_end").join(rows.select("symbol").distinct(), "symbol", "left_semi").select("date", "symbol", "source")
 
 
 def variant_ics(rows: DataFrame, split: str = "val_a", edge: DataFrame | None = None, least: int = MIN_NAMES) -> DataFrame:
@@ -182,8 +199,9 @@ def _facts_sql() -> list[str]:
         f"v1 AS (SELECT *, CASE WHEN sz IS NULL OR {n} < 3 THEN NULL WHEN 3 * ({k}) <= {n} - 1 THEN 'small' WHEN 3 * ({k}) <= 2 * ({n} - 1) THEN 'mid' ELSE 'large' END AS bucket FROM v0 WHERE {train})",
         f"p AS (SELECT quantile_cont(money, {LIQUID}) AS p40 FROM v1)",
         "ends AS (SELECT max(date) AS d FROM panel GROUP BY date_trunc('month', date))",
-        "dayend AS (SELECT date, coalesce((SELECT max(d) FROM ends WHERE d < date), (SELECT min(d) FROM ends)) AS d FROM (SELECT DISTINCT date FROM panel))",
-        f"band AS (SELECT date AS d, symbol FROM (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY size_proxy DESC, symbol) AS k, count(*) OVER (PARTITION BY date) AS n FROM panel WHERE size_proxy IS NOT NULL) WHERE k > {FRINGE} * n)",
+        "ranked AS (SELECT DISTINCT date AS d FROM panel JOIN ends ON date = d WHERE size_proxy IS NOT NULL)",
+        "dayend AS (SELECT date, coalesce((SELECT max(d) FROM ranked WHERE d < date), (SELECT min(d) FROM ranked)) AS d FROM (SELECT DISTINCT date FROM panel))",
+        "band AS (SELECT date AS d, symbol FROM (SELECT date, symbol, row_number() OVER (PARTITION BY date ORDER BY size_proxy DESC, symbol) AS k, count(*) OVER (PARTITION BY date) AS n FROM panel JOIN ends ON date = d WHERE size_proxy IS NOT NULL) WHERE CASE WHEN n >= 200 THEN k BETWEEN 150 AND 200 ELSE k > round_even(n * 150 / 200.0, 0) END)",
         "v2 AS (SELECT v1.*, p40, band.symbol IS NOT NULL AS edge FROM v1 CROSS JOIN p JOIN dayend USING (date) LEFT JOIN band ON band.d = dayend.d AND band.symbol = v1.symbol)",
         "vlong AS (" + " UNION ALL ".join(f"SELECT date, {Y}, '{name}' AS variant, round({x}, 12) AS s FROM v2" for name, x in variants.items()) + ")",
         f"vkept AS (SELECT * FROM (SELECT *, count(s) OVER (PARTITION BY variant, date) AS m FROM vlong) WHERE m >= CASE WHEN variant LIKE 'size%' THEN 1 ELSE {LEAST} END)",
@@ -207,6 +225,8 @@ def _facts_sql() -> list[str]:
 def register() -> None:
     from ..oracles import sql
     from ..sources import panel as source
+    from .reports import RANKS
+    from .reports import _ranks as supplied_ranks
     from .queries import IC_SUMMARY, LAB, PREPARED, TURNOVER, daily_ctes, ic_cte, labelled, query, r, regime_labels, summary
     from .queries import REGIMES as REGIME_CTES
 
@@ -246,10 +266,17 @@ def register() -> None:
     def redteam_verdict(spark, sf_dir):
         return verdict(tested(spark, sf_dir), regime_labels(spark, sf_dir), edge=fringe(source.panel(spark, sf_dir)), least=LEAST)
 
-    @query("universe_fringe", sql.query([facts[0], *(c for c in facts if c.startswith(("ends AS", "dayend AS", "band AS")))], "SELECT date, symbol FROM dayend JOIN band USING (d)"))
-    def universe_fringe(spark, sf_dir):
+    @query("redteam_fringe", sql.query([facts[0], *(c for c in facts if c.startswith(("ends AS", "ranked AS", "dayend AS", "band AS")))], "SELECT date, symbol, 'panel' AS source FROM dayend JOIN band USING (d)"))
+    def redteam_fringe(spark, sf_dir):
         return fringe(source.panel(spark, sf_dir))
 
+    bounds = "SELECT date, coalesce((SELECT max(month_end) FROM {0} WHERE month_end < date), (SELECT min(month_end) FROM {0})) AS month_end FROM (SELECT DISTINCT date FROM panel)"
+    cut = "SELECT month_end, symbol FROM (SELECT *, count(*) OVER (PARTITION BY month_end) AS n FROM ranks) WHERE CASE WHEN n >= 200 THEN liquidity_rank BETWEEN 150 AND 200 ELSE liquidity_rank > round_even(n * 0.75, 0) END"
+
+    @query("redteam_fringe_supplied", sql.query([*RANKS, f"cut AS ({cut})", f"gov AS ({bounds.format('ranks')})"], "SELECT date, symbol, 'supplied' AS source FROM gov JOIN cut USING (month_end) WHERE symbol IN (SELECT symbol FROM panel)"))
+    def redteam_fringe_supplied(spark, sf_dir):
+        return fringe(source.panel(spark, sf_dir, "month", "supplier"), supplied_ranks(spark, sf_dir))
+
     late = delivery_lag("rank(mul(delivery_pct, delta(close, 5)))")
 
     @query("redteam_delivery_lag", sql.query([*LAB[:2], sql.formula(late, "lab"), ic_cte("sig", Y, "sig", least=MIN_NAMES)], f"SELECT {IC_SUMMARY} FROM ics WHERE {sql.split('val_a')}"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import HORIZONS, MIN_NAMES
 from ..functions import stats
+from ..functions.quantiles import quantiles
 from . import backtest, universe
 
 #: The menu in its order, and the tests that decide and are always run.
@@ -55,7 +56,8 @@ def variant_ics(rows: DataFrame, split: str = "val_a", edge: DataFrame | None =
     """variant, date, ic: the signal, lagged, sector-neutral, by size tercile, liquid names only, with delivery data a day late (column sig_late, if there) and without the universe's fringe, in one plan. rows: labelled, with sig, sector, size_proxy, turnover_21."""
     rows = rows.withColumn("_lag", F.lag("sig", 1).over(Window.partitionBy("symbol").orderBy("pos"))).where(backtest.in_split(split))
     rows = rows.withColumns({"_size": stats.tercile(F.when(F.col("sig").isNotNull(), F.col("size_proxy")), "date"), "_money": F.exp("turnover_21")})
-    rows = rows.crossJoin(rows.agg(F.percentile("_money", LIQUID).alias("_floor")))
+    floor = quantiles(rows, F.col("_money"), (LIQUID,)).agg(F.max("value").alias("_floor"))
+    rows = rows.crossJoin(floor)
     sig = F.col("sig")
     variants = {"base": sig, "extra_lag": F.col("_lag"), "sector_neutral": sig - F.avg("sig").over(Window.partitionBy("date", F.coalesce("sector", F.lit("__NA__")))), "liquidity_filter": F.when(F.col("_money") >= F.col("_floor"), sig)}
     variants |= {f"size_{s}": F.when(F.col("_size") == s, sig) for s in ("small", "mid", "large")}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..config import MIN_NAMES
 from ..functions import stats
+from ..functions.quantiles import quantiles
 from ..oracles import sql
 from ..sources import panel as source
+from ..sources.staging import staged
 from . import backtest, catalog, loopstate, prices, redteam, research, stores, universe
 from .queries import FEATURES, LAB, PREPARED, _ready, ic_cte, labelled, query, r, summary
 from .formula import evaluate
@@ -215,8 +217,10 @@ QS = (0.01, 0.25, 0.5, 0.75, 0.99)
 
 @query("panel_feature_stats", sql.query(_feature_ctes(), "SELECT feature, year(date) AS year, " + ", ".join(f"round(quantile_cont(v, {q}), 6) AS p{int(q * 100):02d}" for q in QS) + ", round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, count(v) AS n, count(*) - count(v) AS n_null FROM feats GROUP BY 1, 2"))
 def panel_feature_stats(spark, sf_dir):
-    g = _features(spark, sf_dir).groupBy("feature", F.year("date").alias("year")).agg(F.percentile("v", F.array(*map(F.lit, QS))).alias("q"), r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("n_null"))
-    return g.select("feature", "year", *(r(F.col("q")[k]).alias(f"p{int(q * 100):02d}") for k, q in enumerate(QS)), "mean", "sd", "n", "n_null")
+    rows = staged(_features(spark, sf_dir).select("feature", F.year("date").alias("year"), "v"))
+    g = rows.groupBy("feature", "year").agg(r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("n_null"))
+    cuts = quantiles(rows, F.col("v"), QS, "feature", "year").groupBy("feature", "year").agg(*(r(F.max(F.when(F.col("q") == k, F.col("value")))).alias(f"p{int(q * 100):02d}") for k, q in enumerate(QS)))
+    return g.join(cuts, ["feature", "year"], "left")
 
 
 @query("panel_feature_corr", sql.query(_feature_ctes(), "SELECT x.feature AS a, y.feature AS b, round(covar_samp(x.v, y.v) / nullif(stddev_samp(CASE WHEN y.v IS NOT NULL THEN x.v END) * stddev_samp(CASE WHEN x.v IS NOT NULL THEN y.v END), 0), 6) AS corr FROM feats x JOIN feats y USING (date, symbol) WHERE x.v IS NOT NULL AND y.v IS NOT NULL GROUP BY 1, 2"))

@@ -149,7 +149,7 @@ def least_agreement(percent: int) -> int:
 
 
 def _clusters(percent: int):
-    """Rows (key, class, size, sketch) sorted by key and class, to clusters (cluster, class) of candidates. With a fifth column, pairs that are equal there are no candidates."""
+    """Rows (key, class, size, sketch) sorted by key and class, to clusters (cluster, class, size, sum of the cluster's sizes) of candidates. With a fifth column, pairs that are equal there are no candidates."""
 
     agree = least_agreement(percent)
 
@@ -158,7 +158,7 @@ def _clusters(percent: int):
             rep, size = b.column(1).to_numpy(), b.column(2).to_numpy()
             sketch = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(-1, POOL)
             part = b.column(4).to_numpy() if b.num_columns > 4 else None
-            out: list[tuple[np.ndarray, np.ndarray]] = []
+            out: list[tuple[np.ndarray, ...]] = []
             lengths = np.diff(at)
             two = at[:-1][lengths == 2]
             if len(two):
@@ -167,7 +167,7 @@ def _clusters(percent: int):
                     near &= part[two] != part[two + 1]
                 pair = np.stack([rep[two[near]], rep[two[near] + 1]], 1)
                 name = mix(mix(pair[:, 0].astype(np.uint64)) + pair[:, 1].astype(np.uint64))
-                out.append((np.repeat(name, 2), pair.ravel()))
+                out.append((np.repeat(name, 2), pair.ravel(), np.stack([size[two[near]], size[two[near] + 1]], 1).ravel(), np.repeat(size[two[near]] + size[two[near] + 1], 2)))
             for i, j in zip(at[:-1][lengths > 2].tolist(), at[1:][lengths > 2].tolist()):
                 s, z = sketch[i:j], size[i:j]
                 pairs = [np.stack([np.full(len(y), x), y + x + 1], 1) for x in range(j - i - 1) if len(y := np.flatnonzero(((s[x + 1 :] == s[x]).sum(1) >= agree) & (100 * np.minimum(z[x + 1 :], z[x]) >= percent * np.maximum(z[x + 1 :], z[x]))))]
@@ -182,9 +182,10 @@ def _clusters(percent: int):
                     name = np.uint64(0)
                     for m in member.astype(np.uint64):
                         name = mix(np.array([name]))[0] + m
-                    out.append((np.full(len(member), mix(np.array([name]))[0]), member))
+                    out.append((np.full(len(member), mix(np.array([name]))[0]), member, z[low == r], np.full(len(member), z[low == r].sum())))
             if out:
-                yield pa.record_batch([pa.array(np.concatenate([x for x, _ in out]).astype(np.int64)), pa.array(np.concatenate([y for _, y in out]))], ["cluster", "rep"])
+                name, *rest = (np.concatenate(x) for x in zip(*out))
+                yield pa.record_batch([pa.array(name.astype(np.int64)), *map(pa.array, rest)], ["cluster", "rep", "size", "total"])
 
     return run
 
@@ -235,13 +236,12 @@ def _confirmed(percent: int):
     return run
 
 
-def _dealt(clusters: DataFrame, sizes: DataFrame, most: int) -> DataFrame:
+def _dealt(clusters: DataFrame, most: int) -> DataFrame:
     """Clusters whose sets have more bytes than ``most`` become pairs of blocks of about half as many, so each pair of members still meets in one cluster."""
-    big = sizes.where(F.col("size") > most).select("cluster", F.ceil(2 * F.col("size") / most).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("rep", "cluster"), F.col("blocks")).cast("int")
-    rows = clusters.join(big, "cluster", "left").withColumn("block", block)
+    blocks = F.ceil(16 * F.col("total") / most).cast("int")  # a set has 8 bytes a shingle
+    rows = clusters.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", "cluster"), F.col("blocks")).cast("int"))
     pairs = F.expr("transform(sequence(0, blocks - 1), o -> xxhash64(cluster, least(block, o), greatest(block, o)))")
-    return rows.select(F.explode(F.when(F.col("blocks").isNull(), F.array("cluster")).otherwise(pairs)).alias("cluster"), "rep")
+    return rows.select(F.explode(F.when(F.col("total") * 8 <= most, F.array("cluster")).otherwise(pairs)).alias("cluster"), "rep")
 
 
 def _apart(held: DataFrame, found: DataFrame, small: int) -> DataFrame:
@@ -324,13 +324,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
     def links(leaves: DataFrame, *part: str) -> DataFrame:
         rows = leaves.join(vectors.select("rep", "n_shingles", sketch.alias("sketch")), "rep").select("key", "rep", "n_shingles", "sketch", *part)
-        clusters = stash(rows.repartition(tasks(spark, leaves.count(), LEAF_ROWS), "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long").distinct())
+        clusters = stash(rows.repartition(tasks(spark, leaves.count(), LEAF_ROWS), "key").sortWithinPartitions("key", "rep").mapInArrow(tidy(_clusters(percent)), "cluster long, rep long, size long, total long").distinct())
         alive = clusters.select("rep").distinct()
         sets = stash(_sets(docs, shingle, id_col, text_col, _filter(alive)).join(alive, "rep", "left_semi").join(vectors.select("rep", "d1", "d2"), ["rep", "d1", "d2"], "left_semi").select("rep", "tokens"))
-        sizes = clusters.join(sets.groupBy("rep").agg(F.max(F.octet_length("tokens")).alias("size")), "rep").groupBy("cluster").agg(F.sum("size").alias("size"))
-        total, most = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        total, most = (8 * x for x in clusters.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("total"), F.lit(0))).first())
         if most > set_bytes:
-            clusters = _dealt(clusters, sizes, set_bytes)
+            clusters = _dealt(clusters, set_bytes)
         n = tasks(spark, total, SET_BYTES)
         return clusters.join(sets, "rep").select("cluster", "rep", "tokens").repartition(n, "cluster").sortWithinPartitions("cluster", "rep").mapInArrow(tidy(_confirmed(percent)), "u long, v long")
 

@@ -2,41 +2,23 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import MIN_NAMES
+from ..config import MIN_NAMES, SPLITS, Splits
+from ..functions.linear import residuals
+from .backtest import HoldoutError
 from ..functions.stats import daily_ic, deflated_sharpe, expected_max_sharpe, ic_summary, moments, safe_corr
 
 #: Thresholds of the second gate.
 MIN_MARGINAL_IC, MIN_DSR, MIN_T, MAX_PBO, MIN_DAYS, MIN_RETENTION = 0.01, 0.95, 3.0, 0.5, 60, 0.3
 
 
-def residual(y: Column, x: Column, *keys: str) -> Column:
-    """y without its least-squares line on x within the keys, over rows where both are known; y as it is where there are fewer than three such rows or x is null."""
-    w = Window.partitionBy(*keys)
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    slope = F.coalesce(F.try_divide(F.covar_pop(a, b).over(w), F.var_pop(a).over(w)), F.lit(0.0))
-    out = y - F.avg(b).over(w) - slope * (x - F.avg(a).over(w))
-    return F.when(both & (F.count(a).over(w) >= 3), out).otherwise(y)
-
-
 def orthogonalize(rows: DataFrame, sig: str, factors: list[str], out: str = "resid") -> DataFrame:
-    """Per date the residual of ``sig`` on all factors and a constant: factor after factor, each first made orthogonal to those before, on rows that have all of them."""
-    known = F.col(sig).isNotNull()
-    for f in factors:
-        known = known & F.col(f).isNotNull()
-    rows = rows.withColumn("_n", F.count(F.when(known, 1)).over(Window.partitionBy("date")))
-    joint = known & (F.col("_n") >= len(factors) + 2)
-    rows = rows.withColumns({"_y": F.when(joint, F.col(sig)), **{f"_f{k}": F.when(joint, F.col(f)) for k, f in enumerate(factors)}})
-    for k in range(len(factors)):
-        rest = {f"_f{j}": residual(F.col(f"_f{j}"), F.col(f"_f{k}"), "date") for j in range(k + 1, len(factors))}
-        rows = rows.withColumns({"_y": residual(F.col("_y"), F.col(f"_f{k}"), "date"), **rest})
-    return rows.withColumn(out, F.when(joint, F.col("_y")).otherwise(F.col(sig))).drop("_n", "_y", *(f"_f{k}" for k in range(len(factors))))
+    """Per date the residual of ``sig`` on all factors and a constant, on rows that have all of them; factors may depend on each other."""
+    return residuals(rows, sig, factors, out, "date")
 
 
 def marginal_ic(rows: DataFrame, sig: str, factors: list[str], label: str, least: int = MIN_NAMES) -> DataFrame:
@@ -46,8 +28,11 @@ def marginal_ic(rows: DataFrame, sig: str, factors: list[str], label: str, least
     return a.crossJoin(daily_ic(rows, sig, label, least=least).agg(F.avg("ic").alias("raw_ic")))
 
 
-def walk_forward(ics: DataFrame, folds: DataFrame, drop: int) -> DataFrame:
-    """Per fold (fold, start, end) of IC days: mean, ir, t over the days after the first ``drop``."""
+def walk_forward(ics: DataFrame, folds: DataFrame, drop: int, splits: Splits = SPLITS) -> DataFrame:
+    """Per fold (fold, start, end) of IC days: mean, ir, t over the days after the first ``drop``. Folds that reach into the holdout are refused."""
+    last = folds.agg(F.max("end")).first()[0]  # a row per fold
+    if last is not None and last >= splits.holdout_start:
+        raise HoldoutError(f"folds up to {last} reach into the holdout")
     days = ics.join(folds, F.col("date").between(F.col("start"), F.col("end"))).withColumn("_i", F.row_number().over(Window.partitionBy("fold").orderBy("date")))
     return ic_summary(days.where(F.col("_i") > drop), "fold").select("fold", "mean_ic", F.col("icir").alias("ir"), "t_stat", "n_days")
 
@@ -101,33 +86,6 @@ def dsr(ics: DataFrame, n_trials: float, trial_var: float | None = None) -> dict
     return {"dsr": deflated_sharpe(sr, n, m["skew"], m.kurt, benchmark), "sr": sr, "benchmark": benchmark, "n": n}
 
 
-@dataclass
-class Verdict:
-    passed: bool
-    reason: str
-    values: dict
-
-
-def gate_b(rows: DataFrame, sig: str, factors: list[str], label: str, claimed_sign: int, n_trials: float, pbo_value: float, peek) -> Verdict:
-    """Novelty, sign, deflated Sharpe, t, overfitting and length in this order; then, counted, the holdout through ``peek(residual)``, which returns its IC."""
-    m = marginal_ic(rows, sig, factors, label).first()
-    values = {"marginal_ic": m.marginal_ic or 0.0, "t": m.t_stat or 0.0, "n_days": m.n_days, "pbo": pbo_value}
-    if abs(values["marginal_ic"]) < MIN_MARGINAL_IC:
-        return Verdict(False, "not_novel", values)
-    if claimed_sign == 0 or m.sign != claimed_sign:
-        return Verdict(False, "wrong_sign", values)
-    resid = orthogonalize(rows, sig, factors)
-    values |= dsr(daily_ic(resid, "resid", label, least=MIN_NAMES), n_trials)
-    for failed, reason in ((values["dsr"] < MIN_DSR, "dsr"), (abs(values["t"]) < MIN_T, "t_stat"), (pbo_value > MAX_PBO, "overfit"), (values["n_days"] < MIN_DAYS, "too_short")):
-        if failed:
-            return Verdict(False, reason, values)
-    held = peek(resid)
-    values["holdout_ic"] = held
-    if held * values["marginal_ic"] <= 0 or abs(held) < MIN_RETENTION * abs(values["marginal_ic"]):
-        return Verdict(False, "holdout_collapse", values)
-    return Verdict(True, "passed", values)
-
-
 def folds(spark: SparkSession, start: str, end: str, train_years: int, step_months: int) -> DataFrame:
     """fold, start, end: test windows of step_months from start + train_years on."""
     first = F.add_months(F.lit(start).cast("date"), 12 * train_years)

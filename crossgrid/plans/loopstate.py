@@ -126,7 +126,7 @@ def surrogate_pbo(rows: DataFrame, sig: str, label: str, n: int = SURROGATES, bl
 def run_meta(state: DataFrame, *keys: str) -> DataFrame:
     """key, value of a run's one-row state: each of its keys as text, and how many cards it accepted."""
     pairs = [F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys]
-    accepted = F.struct(F.lit("n_accepted").alias("key"), F.coalesce(F.size("accepted"), F.lit(0)).cast("string").alias("value"))
+    accepted = F.struct(F.lit("n_accepted").alias("key"), F.coalesce("accepted", F.lit(0)).cast("string").alias("value"))
     return state.select(F.explode(F.array(*pairs, accepted)).alias("x")).select("x.key", "x.value")
 
 
@@ -138,7 +138,7 @@ def token_budget(roles: DataFrame) -> DataFrame:
 def register() -> None:
     from ..oracles import sql
     from ..sources import panel as source
-    from .queries import _CSCV, _series_sql, LAB, REGIMES, SERIES, ic_cte, labelled, query, r, regime_labels, series_ics, summary
+    from .queries import _CSCV, _series_sql, LAB, REGIMES, SERIES, SIGNAL, ic_cte, labelled, query, r, regime_labels, series_ics, summary
 
     ran = "gen AS (SELECT user_id % 7 AS run, event_id AS seq, event_type = 'purchase' AS ok, value > 60 AS failed FROM events)"
 
@@ -230,21 +230,36 @@ def register() -> None:
 
     @query("gate_b")
     def gate_b(spark, sf_dir):
-        """The second gate on one signal against two factors, with its surrogates' PBO; a row like the ledger's."""
+        """The second gate on two cards, one after the other, with their trials and peeks: the plain reversal, and the coming return under three parts of noise, which must pass. val_b is the holdout here, so that the sealed days stay sealed."""
+        import uuid
+
+        from ..sources.staging import shared_dir, staged
+        from ..sources.synthetic import normal
+        from . import ledger, redteam, second_gate
+
         factors = {"mom": "sub(div(delay(close, 1), delay(close, 22)), 1)", "vol": "ts_std(returns, 21)"}
-        rows = labelled(spark, sf_dir, extra=factors)
-        inside = rows.where(backtest.in_split("val_a"))
-        resid = gates.orthogonalize(inside, "sig", list(factors))
-        pbo = surrogate_pbo(resid, "resid", y).first().pbo
-        held = gates.orthogonalize(rows.where(backtest.in_split("val_b")), "sig", list(factors))
-        v = gates.gate_b(inside, "sig", list(factors), y, 1, 6.0, pbo if pbo is not None else 1.0, lambda _: stats.daily_ic(held, "resid", y, least=MIN_NAMES).agg(F.avg("ic")).first()[0] or 0.0)
-        names = ("marginal_ic", "t", "dsr", "pbo", "holdout_ic")
-        return spark.createDataFrame([(v.passed, v.reason, int(v.values["n_days"] or 0), *(None if v.values.get(k) is None else float(v.values[k]) for k in names))], "passed boolean, reason string, n_days int, " + ", ".join(f"{k} double" for k in names)).withColumns({k: r(k) for k in names})
+        rows = staged(labelled(spark, sf_dir, extra=factors).select("date", "symbol", "pos", "sig", "sector", "size_proxy", *factors, y))
+        noisy = F.col(y) / F.stddev_samp(y).over(Window.partitionBy("date")) + 3 * normal(11, "symbol", "date")
+        at = f"{shared_dir(spark)}/gate-{uuid.uuid4().hex}"
+        trials, peeks = ledger.Trials(spark, f"{at}/trials"), ledger.PeekBudget(spark, f"{at}/peeks")
+        out = []
+        for card, sig in ((second_gate.Card("reversal", "prices", SIGNAL), F.col("sig")), (second_gate.Card("planted", "coming", "rank(delta(close, 1))"), noisy)):
+            own = rows.withColumn("sig", sig)
+            v = second_gate.judge(own, card, list(factors), trials, peeks, holdout="val_b")
+            variants = {"extra_lag": F.lag("sig", 1).over(Window.partitionBy("symbol").orderBy("pos")), "sector_neutral": F.col("sig") - F.avg("sig").over(Window.partitionBy("date", "sector"))}
+            long = own.withColumns(variants).where(backtest.in_split("val_a")).select("date", y, F.explode(F.array(*(F.struct(F.lit(k).alias("variant"), F.col(k).alias("s")) for k in variants))).alias("x")).select("date", y, "x.variant", "x.s")
+            second_gate.log_redteam(stats.daily_ic(long, "s", y, least=MIN_NAMES, keys=("variant", "date")), card, trials)
+            a = v.audit
+            out.append((card.card_id, v.passed, "; ".join(v.reasons), a["trial_id"], int(a["n_days"]), a.get("peek_id"), *(None if a.get(k) is None else float(a[k]) for k in ("marginal_ic", "t_stat", "deflated_sharpe", "n_trials_effective", "pbo", "holdout_ic"))))
+        kept = trials.log.read().agg(F.count_if(F.col("counts_as_trial") == 1).alias("n_trials"), F.count_if(F.col("counts_as_trial") == 0).alias("n_rejecting"))
+        schema = "card_id string, passed boolean, reasons string, trial_id long, n_days int, peek_id long, marginal_ic double, t_stat double, dsr double, effective_trials double, pbo double, holdout_ic double"
+        found = spark.createDataFrame(out, schema).crossJoin(kept).withColumn("peeks_used", F.lit(peeks.used()).cast("long"))
+        return found.withColumns({k: r(k) for k in ("marginal_ic", "t_stat", "dsr", "pbo", "holdout_ic")})
 
     @query("loop_run_meta", "SELECT unnest(['run_id', 'next_gen', 'large_used', 'n_accepted']) AS key, unnest([CAST(min(event_id) AS VARCHAR), CAST(count(*) + 1 AS VARCHAR), CAST(count(*) FILTER (event_type = 'view') AS VARCHAR), CAST(count(DISTINCT user_id) FILTER (event_type = 'purchase') AS VARCHAR)]) AS value FROM events")
     def loop_run_meta(spark, sf_dir):
         e = source.read(spark, sf_dir, "events")
-        state = e.agg(F.min("event_id").alias("run_id"), (F.count("*") + 1).alias("next_gen"), F.count_if(F.col("event_type") == "view").alias("large_used"), F.collect_set(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("accepted"))
+        state = e.agg(F.min("event_id").alias("run_id"), (F.count("*") + 1).alias("next_gen"), F.count_if(F.col("event_type") == "view").alias("large_used"), F.count_distinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("accepted"))
         return run_meta(state, "run_id", "next_gen", "large_used")
 
     @query("agents_token_budget", "SELECT event_type AS role, CASE WHEN event_type IN ('click', 'view') THEN 'large' ELSE 'small' END AS tier, count(*) / CAST(count(DISTINCT user_id) AS DOUBLE) AS calls_per_thesis, CAST(round(count(*) / CAST(count(DISTINCT user_id) AS DOUBLE) * 1000) AS BIGINT) AS tokens_per_thesis FROM events GROUP BY 1")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ledger import PEEKS, PeekBudget  # noqa: F401
+
 #: Fixed values of the lesson fold and the allocation.
-ALPHA, VETO_SEEN, VETO_FAILED, TEMPERATURE, FLOOR, PEEKS = 0.5, 3, 2, 0.5, 0.05, 12
+ALPHA, VETO_SEEN, VETO_FAILED, TEMPERATURE, FLOOR = 0.5, 3, 2, 0.5, 0.05
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -74,28 +76,6 @@ def lineage(cards: DataFrame, depth: int = 64) -> DataFrame:
     )
 
 
-class PeekBudget:
-    """Holdout peeks: each is written down before it is made, at most PEEKS of them."""
-
-    def __init__(self, spark: SparkSession, path: str, most: int = PEEKS):
-        self.spark, self.path, self.most = spark, path, most
-
-    def used(self) -> int:
-        try:
-            return self.spark.read.parquet(self.path).count()
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return 0
-            raise
-
-    def reserve(self, card_id: str) -> int | None:
-        n = self.used()
-        if n >= self.most:
-            return None
-        append(self.spark.createDataFrame([(n + 1, card_id)], "peek_id long, card_id string"), self.path)
-        return n + 1
-
-
 def keyword_score(text: Column, words: list[str]) -> Column:
     """How many of the words a text has, case aside."""
     low = F.lower(text)

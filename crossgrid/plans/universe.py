@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,3 +69,34 @@ def intervals(members: DataFrame, gap_days: int = 7) -> DataFrame:
     new = F.datediff("date", F.lag("date").over(w)) > gap_days
     runs = members.withColumn("_new", F.coalesce(new.cast("int"), F.lit(1))).withColumn("_run", F.sum("_new").over(w))
     return runs.groupBy("symbol", "_run").agg(F.min("date").alias("start"), F.max("date").alias("end"), F.count("*").alias("n")).drop("_run")
+
+
+def member_runs(selected: DataFrame) -> DataFrame:
+    """symbol, after, until: runs of selections, in force on dates later than ``after`` up to ``until`` (null: still in force). A row per run, not per day."""
+    ends = selected.select("month_end").distinct()
+    w = Window.orderBy("month_end")  # a row per month
+    ends = ends.withColumns({"_i": F.row_number().over(w), "_until": F.lead("month_end").over(w)})
+    d = selected.select("month_end", "symbol").join(ends, "month_end").withColumn("_run", F.col("_i") - F.row_number().over(Window.partitionBy("symbol").orderBy("_i")))
+    open_ = F.bool_or(F.col("_until").isNull())
+    return d.groupBy("symbol", "_run").agg(F.min("month_end").alias("after"), F.when(~open_, F.max("_until")).alias("until")).drop("_run")
+
+
+def mark_members(rows: DataFrame, runs: DataFrame, out: str = "in_universe") -> DataFrame:
+    """The rows and whether their date is in a run of their symbol: an equi-join on symbol and month, of which a run has those that it touches."""
+    last = rows.agg(F.max("date").alias("_last"))
+    months = F.sequence(F.trunc("after", "month"), F.trunc(F.greatest(F.coalesce("until", "_last"), F.col("after")), "month"), F.expr("INTERVAL 1 MONTH"))
+    buckets = runs.crossJoin(last).select(F.col("symbol").alias("_symbol"), "after", "until", F.explode(months).alias("_bucket"))
+    on = (F.col("symbol") == F.col("_symbol")) & (F.trunc("date", "month") == F.col("_bucket")) & (F.col("date") > F.col("after")) & (F.col("until").isNull() | (F.col("date") <= F.col("until")))
+    return rows.join(buckets, on, "left").withColumn(out, F.col("_symbol").isNotNull()).drop("_symbol", "after", "until", "_bucket")
+
+
+def selection_differences(rows: DataFrame, choose: Callable[[DataFrame], DataFrame], cuts: list) -> DataFrame:
+    """cut, side, and the rows that a selection (with month_end) has for months up to a cut from the whole history but not from the history that ends there (side: whole), or the other way round (side: past). A selection that looks ahead has some."""
+    whole, out = choose(rows), None
+    for cut in cuts:
+        end = F.lit(cut).cast("date")
+        a, b = whole.where(F.col("month_end") <= end), choose(rows.where(F.col("date") <= end)).where(F.col("month_end") <= end)
+        for side, d in (("whole", a.exceptAll(b)), ("past", b.exceptAll(a))):
+            d = d.select(end.alias("cut"), F.lit(side).alias("side"), "*")
+            out = d if out is None else out.unionByName(d)
+    return out

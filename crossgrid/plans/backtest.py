@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import HORIZONS, MIN_NAMES, PERIODS_PER_YEAR, QUANTILE, SPLITS, Splits
 from ..functions.ops import average_rank
-from ..functions.stats import daily_ic, ic_summary, rank_scale, tercile
+from ..functions.stats import daily_ic, rank_scale, safe_corr, tercile
+from ..sources.staging import staged
 
 
 class HoldoutError(ValueError):
@@ -77,7 +78,10 @@ def prepare(rows: DataFrame, spec: Spec, splits: Splits = SPLITS, regimes: DataF
     guard(spec.split, splits, token)
     rows = shift_signal(rows, spec.extra_lag)
     if not token:
-        rows = rows.withColumn("_open", before_holdout(spec.horizon if spec.purge is None else spec.purge, splits)).where("_open").drop("_open")
+        purge = spec.horizon if spec.purge is None else spec.purge
+        # labels know when they end, so that rows needn't go back to their symbol
+        known = F.col(f"label_end_{purge}") < F.lit(splits.holdout_start) if f"label_end_{purge}" in rows.columns else before_holdout(purge, splits)
+        rows = rows.withColumn("_open", known).where("_open").drop("_open")
     rows = rows.where(in_split(spec.split, splits))
     rows = subsampled(rows.where("sig IS NOT NULL"), spec.subsample, regimes)
     day = Window.partitionBy("date")
@@ -132,16 +136,30 @@ def decay(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, keys: tuple[str
     return daily_ic(long, "scaled", "y", keys=(*keys, "horizon", "date")).groupBy(*keys, "horizon").agg(F.avg("ic").alias("mean_ic"))
 
 
+def daily_scores(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, horizon, date, ic and plain: rank and Pearson correlations of ``scaled`` and the labels of all horizons, in one aggregate; null where there is none."""
+    long = rows.select(*keys, "date", "scaled", F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"fwd_ret_{h}_demeaned").alias("y")) for h in horizons))).alias("x"))
+    long = long.select(*keys, "date", F.col("x.horizon").alias("horizon"), "scaled", F.col("x.y").alias("y")).where("scaled IS NOT NULL AND y IS NOT NULL")
+    by = (*keys, "horizon", "date")
+    long = long.withColumns({"_a": average_rank(F.col("scaled"), *by), "_b": average_rank(F.col("y"), *by)})
+    return long.groupBy(*by).agg(safe_corr(F.col("_a"), F.col("_b")).alias("ic"), safe_corr(F.col("scaled"), F.col("y")).alias("plain"))
+
+
 def backtest(rows: DataFrame, spec: Spec = Spec(), splits: Splits = SPLITS, regimes: DataFrame | None = None, token: bool = False) -> DataFrame:
-    """One row of metrics; nulls and n_days 0 where nothing is left."""
-    ready = prepare(rows, spec, splits, regimes, token)
-    y = f"fwd_ret_{spec.horizon}_demeaned"
-    ranked = ic_summary(daily_ic(ready, "scaled", y)).select(F.col("mean_ic").alias("rank_ic"), "icir", "t_stat", F.col("sign"), F.col("n_days"))
-    plain = daily_ic(ready, "scaled", y, spearman=False).agg(F.avg("ic").alias("ic"))
+    """One row of metrics; nulls and n_days 0 where nothing is left. The rows that count are made once, and written; scores of all horizons come from one aggregate of them, the book from another."""
+    horizons = tuple(sorted({*HORIZONS, spec.horizon}))
+    ready = staged(prepare(rows, spec, splits, regimes, token).select("date", "symbol", "scaled", "fwd_ret_1", *(f"fwd_ret_{h}_demeaned" for h in horizons)))
+    of = lambda h, c: F.when(F.col("horizon") == h, F.col(c))
+    own, n = of(spec.horizon, "ic"), F.count(of(spec.horizon, "ic"))
+    curve = F.array(*(F.struct(F.lit(h).alias("key"), F.avg(of(h, "ic")).alias("value")) for h in HORIZONS))
+    scored = daily_scores(ready, horizons).agg(
+        F.avg(own).alias("rank_ic"), F.try_divide(F.avg(own), F.stddev_samp(own)).alias("icir"), F.try_divide(F.avg(own) * F.sqrt(n), F.stddev_samp(own)).alias("t_stat"), F.when(F.avg(own) > 0, 1).otherwise(-1).alias("sign"), n.alias("n_days"),
+        F.avg(of(spec.horizon, "plain")).alias("ic"), curve.alias("decay"),
+    )
     least = 1 if "size_tercile" in spec.subsample else spec.min_names
     money = ls_metrics(ls_daily(book(ready, least), spec.cost_bps)).drop("n_days")
-    curve = decay(ready).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("horizon", "mean_ic")))).alias("decay"))
-    return ranked.crossJoin(plain).crossJoin(money).crossJoin(curve)
+    curve = F.map_from_entries(F.filter("decay", lambda x: x["value"].isNotNull()))
+    return scored.crossJoin(money).select("rank_ic", "icir", "t_stat", "sign", "n_days", "ic", *money.columns, curve.alias("decay"))
 
 
 def regime_labels(labels: DataFrame) -> DataFrame:

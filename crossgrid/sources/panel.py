@@ -84,8 +84,10 @@ def panel(spark: SparkSession, sf_dir: str, bucket: str = "week", by: str = "bra
 
 
 def fwd_labels(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, member: Column | None = None) -> DataFrame:
-    """fwd_ret_h from the open after the signal's date to that h later, and the same without the mean of members on the date."""
+    """fwd_ret_h from the open after the signal's date to that h later, the same without the mean of members on the date, and label_end_h: the date at which it is known, the last one where that is past it."""
     w, day = over_symbol(), Window.partitionBy("date")
+    last = F.max("date").over(Window.partitionBy("symbol"))
+    rows = rows.withColumns({f"label_end_{h}": F.coalesce(F.lead("date", 1 + h).over(w), last) for h in horizons})
     member = F.lit(True) if member is None else member
     rows = rows.withColumns({f"fwd_ret_{h}": F.try_divide(F.lead("open", 1 + h).over(w), F.lead("open", 1).over(w)) - 1 for h in horizons})
     return rows.withColumns({f"fwd_ret_{h}_demeaned": F.col(f"fwd_ret_{h}") - F.avg(F.when(member, F.col(f"fwd_ret_{h}"))).over(day) for h in horizons})

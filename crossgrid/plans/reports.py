@@ -11,6 +11,7 @@ from ..functions.quantiles import quantiles
 from ..oracles import sql
 from ..sources import panel as source
 from ..sources.staging import staged
+from ..streaming import trailing
 from . import backtest, cards, cases, catalog, loopstate, order, prices, redteam, research, stores, universe
 from .queries import FEATURES, LAB, PREPARED, _ready, ic_cte, labelled, query, r, summary
 from .formula import evaluate
@@ -289,5 +290,5 @@ def isin_changes(spark, sf_dir):
     return source.read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct("p_brand").alias("n_brands")).where("n_brands > 1")
 
 
-for _module in (redteam, research, stores, catalog, loopstate, cards, order, cases):
+for _module in (redteam, research, stores, catalog, loopstate, cards, order, cases, trailing):
     _module.register()

@@ -10,6 +10,7 @@ from ..functions import stats
 from ..functions.quantiles import quantiles
 from ..oracles import sql
 from ..sources import panel as source
+from ..sources import reports as lines
 from ..sources.staging import staged
 from ..streaming import trailing
 from . import backtest, cards, cases, catalog, loopstate, order, prices, redteam, research, stores, universe
@@ -285,6 +286,21 @@ def panel_assertions(spark, sf_dir):
     return a.crossJoin(b).crossJoin(rows.agg((F.count("*") - F.count("fwd_ret_5")).alias("null_labels")))
 
 
+_HEAD = ["# Feature panel", "", "Rows are dense over dates and names; a missing value is null."]
+_LABELS = {"n": "Rows", "n_names": "Names", "n_days": "Dates", "first": "First", "last": "Last"}
+
+
+@query("report_features", sql.query([*_feature_ctes(), "one AS (SELECT count(*) AS n, count(DISTINCT symbol) AS n_names, count(DISTINCT date) AS n_days, min(date) AS first, max(date) AS last FROM panel)", "f AS (SELECT feature, count(v) AS n, count(*) - count(v) AS n_null, avg(v) AS mean, min(v) AS low, max(v) AS high FROM feats GROUP BY 1)"],
+    "SELECT * FROM (VALUES " + ", ".join(f"(0, {k}::BIGINT, '{line}')" for k, line in enumerate(_HEAD)) + ") t(section, place, line)"
+    + "".join(f" UNION ALL SELECT 1, {k}, '- {label}: **' || {c} || '**' FROM one" for k, (c, label) in enumerate(_LABELS.items()))
+    + " UNION ALL SELECT 2, 0, '| feature | n | n_null | mean | low | high |' UNION ALL SELECT 2, 1, '|---|---:|---:|---:|---:|---:|' UNION ALL SELECT 2, row_number() OVER (ORDER BY feature) + 1, '| ' || feature || ' | ' || n || ' | ' || n_null || ' | ' || format('{:,.4f}', mean) || ' | ' || format('{:,.4f}', low) || ' | ' || format('{:,.4f}', high) || ' |' FROM f"))
+def report_features(spark, sf_dir):
+    """The lines of the feature report, by section and place; ``sources.reports`` puts them in order and publishes the file."""
+    one = source.panel(spark, sf_dir).agg(F.count("*").alias("n"), F.count_distinct("symbol").alias("n_names"), F.count_distinct("date").alias("n_days"), F.min("date").alias("first"), F.max("date").alias("last"))
+    f = _features(spark, sf_dir).groupBy("feature").agg(F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("n_null"), F.avg("v").alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return lines.text(spark, 0, *_HEAD).unionByName(lines.facts(1, one, _LABELS)).unionByName(lines.table(2, f, ["feature"]))
+
+
 @query("isin_changes", "SELECT p_name AS name, count(DISTINCT p_brand) AS n_brands FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def isin_changes(spark, sf_dir):
     return source.read(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.count_distinct("p_brand").alias("n_brands")).where("n_brands > 1")

@@ -106,7 +106,7 @@ def universe_daily_coverage(spark, sf_dir):
 
 # prices; actions are drawn from events and orders in a fixed way
 
-SUBJECTS = ("Bonus 1:1", "Bonus- 1:2", "Face Value Split Rs.10/- To Re.1/-", "Fv Splt Frm Rs 10 To Rs 2", "Dividend - Rs 2 Per Share", "Scheme Of Arrangement", "Bonus 1:1/Face Value Split From Rs 10 To Rs 5", "Annual General Meeting", "Rights 2:1")
+SUBJECTS = ("Bonus Issue: Bonus 2:3", "Issue Of BONUS - 5 : 2 Shares", "Fv Split Of Rs. 20 To Rs. 4", "Sub-Division: Re 1 Per Share To Re 0.25", "Interim Dividend Of Rs 7", "Amalgamation With Parent", "Bonus 4:1 And Stock Split Rs 8 To Rs 2", "Extraordinary Meeting", "Rights Issue 5:4")
 _SUBJECT_SQL = "CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SUBJECTS)) + " END"
 
 
@@ -118,7 +118,7 @@ def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("_a", prices.action(F.col("subject"))).select("p_partkey", "symbol", "ex_date", "subject", "_a.type", "_a.ratio")
 
 
-_FACTORS = (("bonus", 0.5), ("bonus", 2 / 3), ("split", 0.1), ("split", 0.2), ("dividend", None), ("demerger", None), ("bonus+split", 0.25), ("other", None), ("other", None))
+_FACTORS = (("bonus", 3 / 5), ("bonus", 2 / 7), ("split", 4 / 20), ("split", 0.25), ("dividend", None), ("demerger", None), ("bonus+split", 1 / 5 * 2 / 8), ("other", None), ("other", None))
 ACTIONS = f"actions AS (SELECT p_partkey, p_brand AS symbol, CAST(DATE '1995-06-01' + CAST(p_partkey * 37 % 2300 AS INTEGER) AS DATE) AS ex_date, {_SUBJECT_SQL} AS subject, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN '{t}'" for k, (t, _) in enumerate(_FACTORS)) + " END AS type, CASE CAST(p_partkey % 9 AS INTEGER) " + " ".join(f"WHEN {k} THEN CAST({x} AS DOUBLE)" for k, (_, x) in enumerate(_FACTORS) if x) + " END AS ratio FROM part)"
 
 

@@ -122,12 +122,6 @@ def ordered_events(events: DataFrame, first: str, then: str) -> DataFrame:
     return at.where("b IS NOT NULL AND (a IS NULL OR b < a)").select("thesis_id")
 
 
-def cards(scores: DataFrame, formulas: DataFrame) -> DataFrame:
-    """Nested documents of scored formulas: thesis, metrics, complexity; NaN is null."""
-    num = lambda c: F.when(~F.isnan(c), F.col(c))
-    return formulas.join(scores, "name").select(F.sha2("formula", 256).alias("card_id"), "name", "formula", F.struct(num("mean_ic").alias("rank_ic"), num("icir").alias("icir"), num("t_stat").alias("t_stat"), "n_days", "sign").alias("metrics"), F.struct("nodes", "depth", "free_params").alias("complexity"))
-
-
 def formula_table(spark: SparkSession, formulas: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, f, *complexity(f).values(), fields(f)) for k, f in formulas.items()], "name string, formula string, nodes int, depth int, free_params int, fields array<string>")
 
@@ -221,6 +215,17 @@ def register() -> None:
         out = [(f, "promoted" if f in g.promoted else g.rejected.get(f, ""), (g.scores.get(f) or {}).get("val_a")) for f in dict.fromkeys(asked)]
         return spark.createDataFrame(out, "formula string, outcome string, val_a_ic double").withColumn("val_a_ic", r("val_a_ic"))
 
+    @query("best_delta", "SELECT user_id AS thesis_id, round(max(value) - arg_min(value, event_id), 6) AS delta FROM events GROUP BY 1 HAVING count(*) >= 2")
+    def best_delta_(spark, sf_dir):
+        tries = source.read(spark, sf_dir, "events").select(F.col("user_id").alias("thesis_id"), F.col("event_id").alias("variant"), F.col("value").alias("ic"))
+        return best_delta(tries).withColumn("delta", r("delta"))
+
+    @query("thesis_gate", "SELECT doc_id, coalesce(trim(text), '') <> '' AND coalesce(trim(lang), '') <> '' AND coalesce(trim(source), '') <> '' AND coalesce(quality, 0) > 0 AND coalesce(1 - toxic, 0) > 0 AS passed FROM documents LEFT JOIN labels USING (doc_id)")
+    def thesis_gate_(spark, sf_dir):
+        """A text with its language and source as a rubric, and its two labels as scores."""
+        rows = source.read(spark, sf_dir, "documents").join(source.read(spark, sf_dir, "labels"), "doc_id", "left")
+        return rows.select("doc_id", thesis_gate(F.array("quality", 1 - F.col("toxic")), F.array("text", "lang", "source")).alias("passed"))
+
     @query("ablation_scores")
     def ablation_scores(spark, sf_dir):
         rows = source.fwd_labels(source.panel(spark, sf_dir))

@@ -62,18 +62,20 @@ def allocation(rewards: DataFrame) -> DataFrame:
     return f.crossJoin(total).select("family", "n_pulls", "mean_reward", (FLOOR + (1 - FLOOR * F.col("_m")) * F.col("_e") / F.col("_all")).alias("share"))
 
 
-def lineage(cards: DataFrame, depth: int = 64) -> DataFrame:
-    """Of (card_id, parent_id): card_id, ancestor, steps. A path ends at a card without parent, or at ``depth``, so a cycle ends as well."""
-    return cards.sparkSession.sql(
-        """
-        WITH RECURSIVE up(card_id, ancestor, steps) AS (
-          SELECT card_id, card_id, 0 FROM {cards}
+def lineage(cards: DataFrame, depth: int | None = None) -> DataFrame:
+    """Of (card_id, parent_id): card_id, ancestor, steps. A path ends at a card without parent, and before a card that it has already passed, so a cycle ends; with a depth, at that many steps instead."""
+    more = "NOT array_contains(u.path, c.parent_id)" if depth is None else "u.steps < {depth}"
+    found = cards.sparkSession.sql(
+        f"""
+        WITH RECURSIVE up(card_id, ancestor, steps, path) MAX RECURSION LEVEL 100000 AS (
+          SELECT card_id, card_id, 0, array(card_id) FROM {{cards}}
           UNION ALL
-          SELECT u.card_id, c.parent_id, u.steps + 1 FROM up u JOIN {cards} c ON c.card_id = u.ancestor WHERE c.parent_id IS NOT NULL AND u.steps < {depth}
-        ) SELECT * FROM up""",
+          SELECT u.card_id, c.parent_id, u.steps + 1, {"array_append(u.path, c.parent_id)" if depth is None else "u.path"} FROM up u JOIN {{cards}} c ON c.card_id = u.ancestor WHERE c.parent_id IS NOT NULL AND {more}
+        ) SELECT card_id, ancestor, steps FROM up""",
         cards=cards,
-        depth=depth,
+        **({} if depth is None else {"depth": depth}),
     )
+    return found
 
 
 def keyword_score(text: Column, words: list[str]) -> Column:
@@ -171,9 +173,11 @@ def register() -> None:
     @query("oversearching_curve")
     def oversearching_curve(spark, sf_dir):
         """Expected best of n noise trials: sqrt(2 ln n), the extreme-value form, and a Monte-Carlo mean."""
+        from ..sources.synthetic import normal
+
         ns = (5, 20, 100, 200, 500)
         known = spark.createDataFrame([(n, math.sqrt(2 * math.log(n)), expected_max_sharpe(n)) for n in ns], "n int, bound double, expected double")
-        draws = spark.range(2000).select("id", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("z", F.randn(42))
+        draws = spark.range(2000).select("id", F.explode(F.array(*map(F.lit, ns))).alias("n")).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n")))).withColumn("z", normal(42, "id", "n", "k"))
         return known.join(draws.groupBy("n", "id").agg(F.max("z").alias("z")).groupBy("n").agg(F.avg("z").alias("simulated")), "n")
 
     @query("formula_index")

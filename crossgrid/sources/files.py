@@ -83,18 +83,6 @@ def by_name(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select("file", *(F.trim(cells[c]).alias(c) for c in columns))
 
 
-def read_json_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path, multiLine=True)
-
-
-def read_documents(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
-    """JSON documents; those that don't parse or lack a required field go."""
-    rows = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(path, multiLine=True, mode="PERMISSIVE")
-    for c in required:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows.drop("_bad")
-
-
 def write(rows: DataFrame, path: str, **options) -> None:
     rows.write.mode("overwrite").options(**options).parquet(path)
 

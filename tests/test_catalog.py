@@ -69,3 +69,31 @@ def test_last_values_and_batches(spark):
     rows = spark.createDataFrame([(k % 2, k) for k in range(30)], "key int, v int")
     assert {r.key: r.last for r in catalog.last_values(rows, "key", "v", ("v",), 3).collect()} == {0: [24, 26, 28], 1: [25, 27, 29]}
     assert [r.n for r in catalog.batches(rows, "v", 4).groupBy("batch").agg(F.count("*").alias("n")).orderBy("batch").collect()] == [7, 7, 7, 7]
+
+
+def test_numbers_over_ranges(spark):
+    """Places in a full order, and equal batches without a task that sees all rows."""
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS k", "id").repartition(7)
+    got = catalog.numbered(rows, "k").collect()
+    assert sorted((r.k, r._n) for r in got) == [(k, k + 1) for k in range(1000)]
+    cut = catalog.batches(rows.where("k < 100"), "k", 8).collect()
+    assert sorted((r.k, r.batch) for r in cut) == [(k, k // 12) for k in range(96)]
+    assert catalog.numbered(rows.where("false"), "k").count() == 0
+
+
+def test_paths_end_at_cycles_and_may_be_long(spark):
+    from crossgrid.plans import stores
+
+    chain = [(k, k - 1 if k else None) for k in range(150)]
+    cards = spark.createDataFrame(chain + [(900, 901), (901, 902), (902, 900), (903, 903)], "card_id long, parent_id long")
+    up = stores.lineage(cards)
+    assert up.where("card_id = 149").agg({"steps": "max"}).first()[0] == 149
+    assert {(r.ancestor, r.steps) for r in up.where("card_id = 900").collect()} == {(900, 0), (901, 1), (902, 2)}
+    assert [(r.ancestor, r.steps) for r in up.where("card_id = 903").collect()] == [(903, 0)]
+
+
+def test_gaps_are_filled_from_before(spark):
+    from crossgrid.sources import synthetic
+
+    rows = spark.createDataFrame([("a", 0, None), ("a", 1, 2.0), ("a", 2, None), ("a", 3, 5.0), ("b", 0, None)], "symbol string, pos int, close double")
+    assert {(r.symbol, r.pos): r.close for r in synthetic.forward_filled(rows, "close").collect()} == {("a", 0): None, ("a", 1): 2.0, ("a", 2): 2.0, ("a", 3): 5.0, ("b", 0): None}

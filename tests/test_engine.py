@@ -87,9 +87,9 @@ def test_effective_counts(spark):
 
 
 SUBJECTS = [
-    ("Bonus 1:1", "bonus", 0.5), ("Bonus- 1:2", "bonus", 2 / 3), ("BONUS : 3 : 1", "bonus", 0.25), ("Face Value Split Rs.10/- To Re.1/-", "split", 0.1), ("Fv Splt Frm Rs 10 To Rs 2", "split", 0.2),
-    ("F.V. Split Rs 10 Per Share To Rs 5", "split", 0.5), ("Sub-Division Rs 2 To Re 1", "split", 0.5), ("Split Rs 1 To Rs 10", "other", None), ("Dividend Rs 3", "dividend", None), ("Rights 2:1", "other", None),
-    ("Scheme Of Arrangement", "demerger", None), ("Demerger And Bonus 1:1", "demerger", None), ("Bonus 1:1/Face Value Split From Rs 10 To Rs 5", "bonus+split", 0.25), (None, "other", None), ("", "other", None),
+    ("Bonus 3:2", "bonus", 0.4), ("Issue Of Bonus- 1:4", "bonus", 0.8), ("bonus : 5 : 1", "bonus", 1 / 6), ("FACE VALUE Split Rs.20/- To Rs.4/-", "split", 0.2), ("Fv Splt Rs 8 To Re 1", "split", 0.125),
+    ("F. V. Split Of Rs 6 Per Share To Rs 3", "split", 0.5), ("Subdivision Re 1 To Re 0.25", "split", 0.25), ("Split Of Rs 4 To Rs 8", "other", None), ("Final Dividend Rs 12", "dividend", None), ("Rights 7:3", "other", None),
+    ("Amalgamation", "demerger", None), ("Bonus 2:1 On Demerger", "demerger", None), ("Bonus 3:1 And Split From Rs 4 To Rs 2", "bonus+split", 0.125), (None, "other", None), ("", "other", None),
 ]
 
 

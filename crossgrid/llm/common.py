@@ -132,9 +132,11 @@ def whole_groups(batches, key: int = 0):
             rest.append(b)
             continue
         cut = int(np.searchsorted(k.to_numpy(zero_copy_only=False), last)) if k[0].as_py() != last else 0
-        if rest or cut:
-            yield joined([*rest, *([b.slice(0, cut)] if cut else [])])
-        rest = [b.slice(cut)]
+        parts, rest = [*rest, *([b.slice(0, cut)] if cut else [])], [b.slice(cut)]
+        if parts:
+            found = joined(parts)
+            del parts, b, k  # what was copied goes before the group is worked on
+            yield found
     if rest:
         yield joined(rest)
 

@@ -6,11 +6,12 @@ a hash of the id, is added, and the k rows of largest sum are kept: a sample wit
 in proportion to the ratio. k is found exactly by counting digits of the sums, whatever the number of rows.
 
 The target is fitted on at most ``max_labels`` labelled rows, those of smallest id hash; the raw model
-counts every row. k follows from labels too, unless a share is given: the largest k that leaves all but ``spare`` of the good
-rows among those, a HELD_OUT share by another hash of the id, that the target was not fitted on.
+counts every row. With a share, k is that share of the rows: a resampling proper. Without one k follows from labels, for a filter that
+must keep good rows: the largest k that leaves all but ``spare`` of the good
+rows among those, a HELD_OUT share by another hash of the id, that the target was not fitted on. A report has both, of one drawing.
 
 Defined results: null, empty and wordless texts have log ratio 0; equal rows have equal sums and share a verdict, so ties
-at the k-th place all stay; rows without labels count in the raw model alone; with no usable labels all
+at the k-th place all stay; rows without an id share the noise of id 0; rows without labels count in the raw model alone; with no good labels all
 ratios are 0 and, unless a share is given, all rows stay; an empty table gives an empty result; other columns are kept as they are by the filter, whatever their names.
 """
 
@@ -30,6 +31,8 @@ from .words import Words, grams, mix, slices
 BUCKETS, SMOOTH, MAX_LABELS = 10_000, 1.0, 20_000
 #: Share of the labelled rows that set k and do not fit the target.
 HELD_OUT = 0.25
+#: Share of the rows that a report's resampling keeps.
+SAMPLED = 0.5
 FIELDS = [("_log_weight", "double", pa.float64()), ("_gumbel", "double", pa.float64()), ("_order", "bigint", pa.int64()), ("_n_grams", "bigint", pa.int64())]
 
 
@@ -41,11 +44,11 @@ def buckets(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return ((found >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([doc, doc[two]])
 
 
-def sample(labels: DataFrame, id_col: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of good and of bad labelled rows, ``most`` together: those of smallest hash."""
+def sample(labels: DataFrame, id_col: str, most: int) -> np.ndarray:
+    """Ids of good labelled rows, of the ``most`` labelled ones of smallest hash."""
     rows = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg((F.min("quality") >= 1).alias("good"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     got = rows.orderBy(F.xxhash64("id"), "id").limit(most).collect()
-    return np.array(sorted(r.id for r in got if r.good and not r.toxic), np.int64), np.array(sorted(r.id for r in got if not r.good), np.int64)
+    return np.array(sorted(r.id for r in got if r.good and not r.toxic), np.int64)
 
 
 def held(ids: np.ndarray) -> np.ndarray:
@@ -115,18 +118,17 @@ def kth_largest(rows: DataFrame, col: str, k: int) -> int:
     return prefix
 
 
-def cutoff(scores: DataFrame, good: np.ndarray, bad: np.ndarray, share: float | None, spare: float, id_col: str) -> int | None:
-    """The least kept value of _order; null where all rows stay."""
+def cutoff(scores: DataFrame, good: np.ndarray, share: float | None, spare: float, id_col: str) -> int | None:
+    """The least kept value of _order, by a share of the rows or by good rows that are to stay; null where all rows stay."""
     n = scores.count()
     if not n:
         return None
     if share is None:
-        if not len(good) or not len(bad):
+        if not len(good):
             return None
         # labelled rows are few: at most max_labels of them come here
-        ids = scores.sparkSession.createDataFrame([(int(i), True) for i in good] + [(int(i), False) for i in bad], "_l_id long, _l_good boolean")
-        seen = scores.join(ids, scores[id_col].cast("long") == ids["_l_id"]).select("_order", "_l_good").collect()
-        kept = sorted(r._order for r in seen if r._l_good)
+        ids = scores.sparkSession.createDataFrame([(int(i),) for i in good], "_l_id long")
+        kept = sorted(r._order for r in scores.join(ids, scores[id_col].cast("long") == ids["_l_id"]).select("_order").collect())
         if not kept:
             return None
         at = kept[math.floor(spare * len(kept))]
@@ -136,25 +138,27 @@ def cutoff(scores: DataFrame, good: np.ndarray, bad: np.ndarray, share: float |
     return kth_largest(scores, "_order", max(1, k)) if k < n else None
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep: list[str], share: float | None = None, spare: float = 0.002, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, np.ndarray, int | None]:
-    """Scores of all rows (the columns ``keep`` and FIELDS), the ratios, and the least kept _order."""
-    good, bad = sample(labels, id_col, max_labels)
-    apart = held(good) if share is None else np.zeros(len(good), bool)
-    ratio = fit(docs, good[~apart], id_col, text_col)
-    scores = stash(with_weights(docs, ratio, keep, id_col, text_col))
-    return scores, ratio, cutoff(scores, good[apart], bad, share, spare, id_col)
+def resample(docs: DataFrame, labels: DataFrame, keep: list[str], share: float | None = None, spare: float = 0.002, max_labels: int = MAX_LABELS, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Scores of all rows (the columns ``keep``, among them the id, and FIELDS), the ratios, and the good rows that were held out."""
+    good = sample(labels, label_id, max_labels)
+    apart = held(good)
+    ratio = fit(docs, good[~apart] if share is None else good, id_col, text_col)
+    return stash(with_weights(docs, ratio, keep, id_col, text_col)), ratio, good[apart]
 
 
-def importance_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, n_grams, log_weight, gumbel, kept."""
-    scores, _, least = resample(docs, labels, ["doc_id"], **options)
-    return scores.select("doc_id", F.col("_n_grams").alias("n_grams"), F.col("_log_weight").alias("log_weight"), F.col("_gumbel").alias("gumbel"), (F.lit(True) if least is None else F.col("_order") >= least).alias("kept"))
+def importance_report(docs: DataFrame, labels: DataFrame, share: float | None = None, spare: float = 0.002, sampled: float = SAMPLED, id_col: str = "doc_id", **options) -> DataFrame:
+    """Per row: the id, n_grams, log_weight, gumbel, kept (by the share, or else by what good rows ask for) and sampled (the share ``sampled`` of all rows that has the largest sums)."""
+    scores, _, good = resample(docs, labels, [id_col], share, spare, id_col=id_col, **options)
+    above = lambda least: F.lit(True) if least is None else F.col("_order") >= least
+    kept, drawn = (above(cutoff(scores, good, x, spare, id_col)) for x in (share, sampled))
+    return scores.select(id_col, F.col("_n_grams").alias("n_grams"), F.col("_log_weight").alias("log_weight"), F.col("_gumbel").alias("gumbel"), kept.alias("kept"), drawn.alias("sampled"))
 
 
-def importance_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def importance_filter(docs: DataFrame, labels: DataFrame, share: float | None = None, spare: float = 0.002, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that are kept, with all their columns; texts are read once more rather than shuffled."""
-    _, ratio, least = resample(docs, labels, ["doc_id"], **options)
+    scores, ratio, good = resample(docs, labels, [id_col], share, spare, id_col=id_col, text_col=text_col, **options)
+    least = cutoff(scores, good, share, spare, id_col)
     if least is None:
         return docs
     rows, at = numbered(docs)
-    return with_weights(rows, ratio, rows.columns, at["doc_id"], at["text"]).where(F.col("_order") >= least).select(*rows.columns).toDF(*docs.columns)
+    return with_weights(rows, ratio, rows.columns, at[id_col], at[text_col]).where(F.col("_order") >= least).select(*rows.columns).toDF(*docs.columns)

@@ -32,11 +32,15 @@ from pyspark.sql import functions as F
 
 from .common import held, prepare, stash, string_id, tidy, whole_groups
 from .encoder import Encoder
-from .words import SLICE, slices
+from .words import SLICE, raw, slices
 
 WINDOW, END_ID, PACK_TOKENS = 2048, 1, 4 << 20
 #: Sources with queues of their own, and partitions of the last shuffle at most.
 QUEUES, PARTITIONS = 1024, 50_000
+#: Parts whose counts are summed by themselves.
+STRIDE = 64
+#: Pieces that leave a pack at once.
+CHUNK = 1 << 18
 #: Without given targets, shares go by this power of a source's tokens: below 1, small sources count more.
 POWER = 0.7
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -128,30 +132,18 @@ def _deal(mix: Mixture, parts: int):
 
 
 class Queue:
-    """A source's documents of a pack: hands out pieces."""
+    """A source's tokens of a pack, one after the other: what is left of them, from which place on, and what the source has earned."""
 
-    def __init__(self, deficit: float = 0.0):
-        self.deficit, self.left, self.docs, self.at, self.pos = deficit, 0, [], 0, 0
+    def __init__(self, at: int = 0, left: int = 0, deficit: float = 0.0):
+        self.at, self.left, self.deficit = at, left, deficit
 
-    def add(self, doc: int | None, start: int, total: int, ids: np.ndarray) -> None:
-        self.docs.append((doc, start, total, ids))
-        self.left += len(ids)
-
-    def take(self, n: int) -> Iterator[tuple[int | None, int, np.ndarray, int]]:
-        self.left -= n
-        while n:
-            doc, start, total, ids = self.docs[self.at]
-            piece = ids[self.pos : self.pos + n]
-            yield doc, start + self.pos, piece, total
-            n -= len(piece)
-            self.pos += len(piece)
-            if self.pos == len(ids):
-                self.docs[self.at] = None
-                self.at, self.pos = self.at + 1, 0
+    def take(self, n: int) -> int:
+        self.at, self.left = self.at + n, self.left - n
+        return self.at - n
 
 
 def schedule(queues: list[Queue], earned: list[float], window: int) -> list[tuple[Queue, int]]:
-    """How much of a window each queue fills: the whole tokens of what it has earned, then one of each in turn by deficit. Deficits move on."""
+    """How much of a window each queue fills: the whole tokens of what it has earned; room that is left, as some are dry or hold parts of tokens, goes to the others in even shares, in order of deficit. Deficits move on."""
     for q, e in zip(queues, earned):
         q.deficit += e
     order = sorted((q for q in queues if q.left), key=lambda q: -q.deficit)
@@ -171,8 +163,8 @@ def schedule(queues: list[Queue], earned: list[float], window: int) -> list[tupl
     return [(q, n) for q, n in out if n]
 
 
-def fill(mix: Mixture, pack: int, queues: dict[int, Queue], window: int) -> Iterator[tuple[int, int, tuple]]:
-    """(sequence, offset, piece) until all queues of a pack are dry."""
+def fill(mix: Mixture, pack: int, queues: dict[int, Queue], window: int) -> Iterator[tuple[int, int, int, int]]:
+    """(place, n, sequence, offset) of the tokens that each queue gives, until all queues of a pack are dry."""
     at = float(pack) * mix.pack
     quota = mix.quota(at)
     names = list(queues)
@@ -185,25 +177,49 @@ def fill(mix: Mixture, pack: int, queues: dict[int, Queue], window: int) -> Iter
         now = mix.quota(at)
         offset = 0
         for q, n in schedule(list(queues.values()), (now - quota)[names].tolist(), size):
-            for piece in q.take(n):
-                yield seq, offset, piece
-                offset += len(piece[2])
+            yield q.take(n), n, seq, offset
+            offset += n
         quota = now
 
 
+def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all rows of a pack, and the places at which rows begin and end."""
+    data, at = raw(part.column(6))
+    width = part.column(5).to_numpy()
+    if (width == width[0]).all():
+        return data.view(f"<u{width[0]}").astype("<u4"), at // int(width[0])
+    pieces = [data[i:j].view(f"<u{w}").astype("<u4") for i, j, w in zip(at[:-1].tolist(), at[1:].tolist(), width.tolist())]
+    return np.concatenate(pieces), np.cumsum([0, *map(len, pieces)])
+
+
 def _pack(mix: Mixture, window: int):
+    """Rows (pack, queue, doc_id, start, n, width, ids) in order to pieces. A pack may hold as many documents as tokens, so documents stay columns of numbers, and pieces leave CHUNK by CHUNK."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, at in whole_groups(batches):
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist()):
-                queues: dict[int, Queue] = {}
+        for b, groups in whole_groups(batches):
+            for i, j in zip(groups[:-1].tolist(), groups[1:].tolist()):
                 part = b.slice(i, j - i)
-                pack = part.column(0)[0].as_py()
-                for q, doc, start, n, w, raw in zip(*(part.column(k).to_pylist() for k in range(1, 7))):
-                    queues.setdefault(q, Queue()).add(doc, start, n, np.frombuffer(raw, f"<u{w}"))
-                rows = [(p[0], p[1], len(p[2]), zlib.crc32(p[2].astype("<u4").tobytes()), p[3], seq, offset) for seq, offset, p in fill(mix, pack, queues, window)]
-                cols = list(zip(*rows))
-                cols[5] = (np.array(cols[5], np.int64) + (pack << 32)).tolist()
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                pack, queue, (ids, at) = part.column(0)[0].as_py(), part.column(1).to_numpy(), _tokens(part)
+                heads = np.flatnonzero(np.concatenate([[True], queue[1:] != queue[:-1]]))
+                ends = np.append(heads[1:], len(queue))
+                queues = {int(queue[x]): Queue(int(at[x]), int(at[y] - at[x])) for x, y in zip(heads.tolist(), ends.tolist())}
+                takes = np.array(list(fill(mix, pack, queues, window)), np.int64)
+                takes = takes[np.argsort(takes[:, 0])]
+                cuts = np.union1d(takes[:, 0], at[:-1][np.diff(at) > 0])
+                size = np.diff(np.append(cuts, at[-1]))
+                # in order of sequences and places
+                take = np.searchsorted(takes[:, 0], cuts, "right") - 1
+                offset = takes[take, 3] + cuts - takes[take, 0]
+                order = np.lexsort((offset, takes[take, 2]))
+                whole = memoryview(ids).cast("B")
+                for low in range(0, len(order), CHUNK):
+                    k = order[low : low + CHUNK]
+                    begin, n, row = cuts[k], size[k], np.searchsorted(at, cuts[k], "right") - 1
+                    crc = [zlib.crc32(whole[4 * x : 4 * y]) for x, y in zip(begin.tolist(), (begin + n).tolist())]
+                    pick = pa.array(row)
+                    start = part.column(3).take(pick).to_numpy() + begin - at[row]
+                    cols = [part.column(2).take(pick), start, n, crc, part.column(4).take(pick), takes[take[k], 2] + (pack << 32), offset[k]]
+                    yield pa.record_batch([c if isinstance(c, pa.Array) else pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     return run
 
@@ -216,6 +232,16 @@ def shares(totals: dict[str | None, int], targets: dict[str, float] | None, powe
     return {s: float(targets[s]) if s in targets else left * rest[s] / sum(rest.values()) for s in totals}
 
 
+def _bases(counts: DataFrame) -> DataFrame:
+    """(part, source, queue, base): tokens of a row's queue before it in order of (part, source). Sums by queue and STRIDE parts come first, so that no task runs over all parts of a queue, which sources of their own may be many of."""
+    counts = counts.withColumn("block", F.floor(F.col("part") / STRIDE))
+    before = counts.groupBy("queue", "block").agg(F.sum("n").alias("sum"))
+    before = before.select(F.col("queue").alias("_queue"), F.col("block").alias("_block"), (F.sum("sum").over(Window.partitionBy("queue").orderBy("block")) - F.col("sum")).alias("before"))
+    inner = F.sum("n").over(Window.partitionBy("queue", "block").orderBy("part", "source")) - F.col("n")
+    rows = counts.withColumn("inner", inner)
+    return rows.join(before, (F.col("queue") == F.col("_queue")) & (F.col("block") == F.col("_block"))).select("part", "source", "queue", (F.col("before") + F.col("inner")).alias("base"))
+
+
 def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = None, power: float = POWER, window: int = WINDOW, pack_tokens: int = PACK_TOKENS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per piece. targets: shares by source of each window; sources without one share the rest by this power of their tokens (1: as they are)."""
     if window & (window - 1) or pack_tokens % window:
@@ -235,7 +261,7 @@ def pack(docs: DataFrame, tokenizer: str, targets: dict[str, float] | None = Non
     queues = spark.createDataFrame([(s, k) for k, s in enumerate(names)], "source string, queue int")
     bases = by.join(queues, "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
     # a row per task and source; as a table, its size is known before the join is planned: small, it is broadcast and ids stay in place
-    bases = stash(bases.select("part", "source", "queue", (F.sum("n").over(Window.partitionBy("queue").orderBy("part", "source")) - F.col("n")).alias("base")))
+    bases = stash(_bases(stash(bases)))
     parts = min(mix.packs, PARTITIONS)
     placed = rows.join(bases, ["part", "source"]).select("queue", (F.col("base") + F.col("place")).alias("place"), "doc_id", "n", "width", "ids")
     dealt = placed.mapInArrow(tidy(_deal(mix, parts)), "to int, pack long, queue int, place long, doc_id long, start long, n long, width int, ids binary")

@@ -167,6 +167,10 @@ def test_importance(spark, sf):
     assert importance.importance_report(table(spark, []), labels).count() == 0
     some = importance.importance_report(docs, labels, share=0.5)
     assert some.where("kept").count() == math.ceil(docs.count() / 2)
+    both = importance.importance_report(docs, labels, sampled=0.25)
+    assert both.where("sampled").count() == math.ceil(docs.count() / 4) and both.where("sampled AND NOT kept").count() == 0
+    other = importance.importance_filter(docs.withColumnRenamed("doc_id", "k").withColumnRenamed("text", "t"), labels, share=0.5, id_col="k", text_col="t")
+    assert {r.k for r in other.collect()} == {r.doc_id for r in some.where("kept").collect()}
     kept = importance.importance_filter(docs, labels, share=0.5)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in some.where("kept").collect()}
@@ -337,13 +341,42 @@ def test_deficits_stay_below_a_window():
         for q in range(4):
             n = np.diff(mix.low(q, np.array([k, k + 1])))[0]
             if n:
-                queues[q] = packing.Queue()
-                queues[q].add(q, 0, n, np.zeros(n, np.uint16))
+                queues[q] = packing.Queue(0, n)
         for _ in packing.fill(mix, k, queues, 2048):
             assert all(abs(q.deficit) < 2048 for q in queues.values())
         assert all(abs(q.deficit) < 8 for q in queues.values())
 
 
+def test_packs_of_documents_without_words(spark):
+    """A pack may hold as many documents as tokens: they stay numbers, and all of them come out."""
+    import tracemalloc
+
+    n = 1 << 20
+    mix = packing.Mixture(np.array([n]), np.array([1.0]), packing.PACK_TOKENS)
+    cols = [pa.array(np.zeros(n, np.int64)), pa.array(np.zeros(n, np.int32)), pa.array(np.arange(n)), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)), pa.array(np.full(n, 2, np.int32)), pa.array([b"\x01\x00"] * n, pa.binary())]
+    batch = pa.record_batch(cols, ["pack", "queue", "doc_id", "start", "n", "width", "ids"])
+    tracemalloc.start()
+    seen = 0
+    for out in packing._pack(mix, 2048)(iter([batch])):
+        assert (out.column(0).to_numpy() == np.arange(seen, seen + out.num_rows)).all() and set(out.column(2).to_pylist()) == {1}
+        assert (out.column(5).to_numpy() * 2048 + out.column(6).to_numpy() == np.arange(seen, seen + out.num_rows)).all()
+        seen += out.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == n and peak < 125e6  # a quarter of a pack's tokens in a quarter of 500 MB
+
+
+def test_bases_are_running_sums(spark):
+    r = np.random.default_rng(6)
+    rows = [(p, f"s{s}", s % 3, int(r.integers(1, 50))) for p in range(300) for s in range(5) if r.random() < 0.7]
+    want, now = {}, {}
+    for p, s, q, n in sorted(rows):
+        want[p, s] = now.get(q, 0)
+        now[q] = want[p, s] + n
+    got = packing._bases(spark.createDataFrame(rows, "part long, source string, queue int, n long")).collect()
+    assert {(x.part, x.source): x.base for x in got} == want
+
+
 def test_encoder_is_the_library(library):
     r = np.random.default_rng(3)
     parts = [*"abcXYZ019 .,'<|>!?-_", "\n", "\t", "é", "É", "ß", "×", "÷", "İ", "\u0301", "日", "\x1c", "\xa0", "ŉ", "<|endoftext|>", "<|EndOfText|>", "n't", "²", "ǅ", "Σ", "\u2003", "\u024f", "\u0250"]

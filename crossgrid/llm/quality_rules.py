@@ -198,15 +198,17 @@ def kept(cutoffs: dict[tuple[str, str], float], lang_col: str = "lang", strata:
     return out
 
 
-def quality_report(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept. Texts are read once; their counts are stashed for fitting and verdicts."""
-    counted = stash(with_counts(docs, keep=["doc_id", "lang"]))
-    cutoffs = fit_cutoffs(counted, labels, **options)
-    return counted.select("doc_id", *(F.col(f"_q_{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept(cutoffs).alias("kept"))
-
-
-def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Texts are read twice, and never shuffled."""
-    cutoffs = fit_cutoffs(with_counts(docs, keep=["doc_id", "lang"]), labels, **options)
+def quality_report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", strata: tuple[str, ...] = STRATA, rules: tuple[Rule, ...] = RULES, **options) -> DataFrame:
+    """Per row: the id, the counts, base_failed, kept. Texts are read once; their counts are stashed for fitting and verdicts. labels have their ids as doc_id."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counted = stash(with_counts(rows, keep=["doc_id", "lang"]))
+    cutoffs = fit_cutoffs(counted, labels, strata=strata, rules=rules, **options)
+    return counted.select(F.col("doc_id").alias(id_col), *(F.col(f"_q_{c}").alias(c) for c in COUNTS), base_failed().alias("base_failed"), kept(cutoffs, "lang", strata, rules).alias("kept"))
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", strata: tuple[str, ...] = STRATA, rules: tuple[Rule, ...] = RULES, **options) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Texts are read twice, and never shuffled. labels have their ids as doc_id."""
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    cutoffs = fit_cutoffs(with_counts(given, keep=["doc_id", "lang"]), labels, strata=strata, rules=rules, **options)
     rows, at = numbered(docs)
-    return with_counts(rows, at["text"]).where(kept(cutoffs, at["lang"])).select(*rows.columns).toDF(*docs.columns)
+    return with_counts(rows, at[text_col]).where(kept(cutoffs, at[lang_col], strata, rules)).select(*rows.columns).toDF(*docs.columns)

@@ -22,8 +22,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-WORD_BPE = tokenizer("word_bpe_49k.json")
-PIECES = tokenizer("piece_bpe_32k.model")
+def __getattr__(name: str) -> str:
+    """WORD_BPE and PIECES: files of two vocabularies, looked for when they are asked for, so that the other queries need none."""
+    files = {"WORD_BPE": "word_bpe_49k.json", "PIECES": "piece_bpe_32k.model"}
+    if name not in files:
+        raise AttributeError(name)
+    return tokenizer(files[name])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +35,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), WORD_BPE)
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +44,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice_lm.lm_scores(table(spark, sf_dir, "documents"), PIECES, scanned=True)
+    return lattice_lm.lm_scores(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), scanned=True)
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +61,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,19 @@ def test_gumbel_noise_samples_in_proportion():
     assert np.abs(wins / 4000 - np.array([1, 2, 5]) / 8).max() < 0.03
 
 
+def test_options_of_the_rules_reach_the_verdict(spark):
+    """Other columns, strata and rules than the shipped ones."""
+    rule = quality_rules.Rule("short_lines", "n_lines", "n_words", (0.5, 0.25))
+    clean, junk = "plain words that say something in one long line of a text", "a b\n" * 6 + "plain words that end here now"
+    rows = [(k, clean if k < 300 else f"{junk} {k}", "xx") for k in range(400)]
+    docs = spark.createDataFrame(rows, "k long, t string, l string")
+    labels = spark.createDataFrame([(k, int(k < 300), 0) for k in range(350)], "doc_id long, quality int, toxic int")
+    options = {"id_col": "k", "lang_col": "l", "text_col": "t", "strata": ("xx",), "rules": (rule,), "risk": 0.05}
+    got = {r.k: r.kept for r in quality_rules.quality_report(docs, labels, **options).collect() if not r.base_failed}
+    assert got and all(kept == (k < 300) for k, kept in got.items()) and any(k >= 350 for k in got)
+    assert {r.k for r in quality_rules.quality_filter(docs, labels, **options).collect()} == {k for k, kept in got.items() if kept}
+
+
 def test_certified_cutoffs_reject_junk(spark):
     """With enough labels a rule is certified, rejects labelled and unlabelled junk, and spares what is clean; a label counts once."""
     need = quality_rules.labels_needed()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crossgrid.llm import importance, near_dup, packing, quality_rules, substring_dedup
 from crossgrid.llm.common import stash, table
-from crossgrid.llm.queries import WORD_BPE
+from crossgrid.llm.queries import tokenizer
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, WORD_BPE)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"))
 
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("near_duplicates", near_duplicates), ("substring_dedup", substrings), ("packing", packs)]

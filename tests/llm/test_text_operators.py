@@ -216,7 +216,7 @@ def test_gumbel_noise_samples_in_proportion():
 def test_options_of_the_rules_reach_the_verdict(spark):
     """Other columns, strata and rules than the shipped ones."""
     rule = quality_rules.Rule("short_lines", "n_lines", "n_words", (0.5, 0.25))
-    clean, junk = "plain words that say something in one long line of a text", "a b\n" * 6 + "plain words that end here now"
+    clean, junk = "plain words that say something in one long line of a text", "".join(f"a{i} b{i}\n" for i in range(9))
     rows = [(k, clean if k < 300 else f"{junk} {k}", "xx") for k in range(400)]
     docs = spark.createDataFrame(rows, "k long, t string, l string")
     labels = spark.createDataFrame([(k, int(k < 300), 0) for k in range(350)], "doc_id long, quality int, toxic int")

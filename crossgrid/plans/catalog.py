@@ -8,16 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.staging import staged
-
 from ..config import MIN_NAMES
 from ..functions import stats
 from ..sources import panel as source
+from ..sources.staging import staged
 from . import backtest, gates, prices
 from .formula import evaluate, structural_key, with_formulas
 
-#: Endings of symbols that are rights, warrants or partly paid, and prefixes of ISINs that are funds or twin lines.
+#: Endings of symbols that are rights, warrants or partly paid, parts of symbols that are funds, and prefixes of ISINs that are funds or twin lines.
 RIGHTS = r"-RE\d?$|-RR$|-RT$|-E\d$|-N\d$|-PP$|-BL$|-W\d?$|PARTLY|WARRANT"
+FUND_NAMES = r"BEES$|ETF$|IETF$|LIQUID|GOLD\d*$|SILV|SDL|NIFTY\d|SENSEX\d|MOM\d|MON\d|MAFANG|LOWVOL|MULTICAP|MIDCAP\d*$|SMALLCAP\d*$|MIDSMALL|TOP\d+|MOMENTUM\d|QUALITY\d|VALUE\d|ALPHA\d*$|EQUAL\d|PSUBANK$|PSUBNK|CPSEETF|BANKBETA|NIFTYBETA|GROWW(?:SLVR|LIQID|DEFNC|EV)|HDFC(?:NIFTY|S|M)|AXISNIFTY|ICICISILVE|TATSILV|CONSUMBEES"
 FUND_ISINS = ("INF", "IN9")
 
 
@@ -30,7 +30,7 @@ def first_known(rows: DataFrame, key: str, sources: Sequence[tuple[str, DataFram
     return rows.withColumns({out: F.coalesce(value, default), "source": F.coalesce(name, F.lit("unknown"))}).drop(*(f"_v{i}" for i in range(len(sources))))
 
 
-def non_equity(symbol: Column, isin: Column, patterns: Sequence[str] = (RIGHTS,)) -> Column:
+def non_equity(symbol: Column, isin: Column, patterns: Sequence[str] = (RIGHTS, FUND_NAMES)) -> Column:
     """Whether a line is provably no common equity: by its ISIN's prefix or its symbol."""
     fund = reduce(lambda a, b: a | b, (F.coalesce(isin.startswith(p), F.lit(False)) for p in FUND_ISINS))
     return fund | reduce(lambda a, b: a | b, (F.coalesce(symbol.rlike(p), F.lit(False)) for p in patterns))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import MIN_NAMES
 from ..functions import stats
 from ..sources import panel as source
-from . import universe
+from . import backtest, catalog, redteam, universe
 from .formula import with_formulas
 
 FORMULA, LEAST = "rank(mul(-1, delta(close, 1)))", 5
@@ -32,9 +33,32 @@ def broken_universe(rows: DataFrame, selected: DataFrame, formula: str = FORMULA
     return ics.join(market, "universe").select("universe", "n_days", "mean_ic", "icir", "t_stat", "market")
 
 
+def leak(rows: DataFrame, formula: str, split: str = "val_a", label: str = "fwd_ret_1_demeaned", least: int = MIN_NAMES) -> DataFrame:
+    """signal, mean_ic, t_stat, lagged_ic, lagged_t, flagged: a formula, a signal of 85 parts of its own label and 15 of noise, and the noise, each as it is and a day late. What knows the future looks best, and collapses when it comes late."""
+    noisy = catalog.noise("leak")
+    scored = with_formulas(rows, {"clean": formula}).withColumns({"leak": 0.85 * F.coalesce(label, F.lit(0.0)) + 0.15 * 0.05 * noisy, "noise": noisy})
+    w = Window.partitionBy("symbol").orderBy("pos")
+    names = ("clean", "leak", "noise")
+    late = scored.withColumns({f"{n}_late": F.lag(n, 1).over(w) for n in names}).where(backtest.in_split(split))
+    tags = [F.struct(F.lit(n).alias("signal"), F.lit(k).alias("late"), F.round(c, 12).alias("s")) for n in names for k, c in ((False, F.col(n)), (True, F.col(f"{n}_late")))]
+    long = late.select("date", F.col(label).alias("y"), F.explode(F.array(*tags)).alias("x")).select("date", "y", "x.signal", "x.late", "x.s")
+    ics = stats.ic_summary(stats.daily_ic(long, "s", "y", least=least, keys=("signal", "late", "date")), "signal", "late")
+    of = lambda late_, c: F.max(F.when(F.col("late") == F.lit(late_), F.col(c)))
+    wide = ics.groupBy("signal").agg(of(False, "mean_ic").alias("mean_ic"), of(False, "t_stat").alias("t_stat"), of(True, "mean_ic").alias("lagged_ic"), of(True, "t_stat").alias("lagged_t"))
+    base, lag = F.col("mean_ic"), F.col("lagged_ic")
+    flag = (lag <= 0) | ((base > 0) & (lag < redteam.COLLAPSE * base)) | (F.abs("lagged_t") < redteam.WEAK_T)
+    return wide.withColumn("flagged", F.coalesce(flag, F.lit(True)))
+
+
+def signs(ics: DataFrame, claims: DataFrame) -> DataFrame:
+    """name, claimed, realized, agrees: of claims (name, claimed: -1, 0 or 1) against mean ICs (name, date, ic). A claim of 0, or without a score, agrees with nothing."""
+    real = ics.groupBy("name").agg(F.when(F.avg("ic") > 0, 1).otherwise(-1).alias("realized"))
+    return claims.join(real, "name", "left").select("name", "claimed", "realized", F.coalesce((F.col("claimed") == F.col("realized")) & (F.col("claimed") != 0), F.lit(False)).alias("agrees"))
+
+
 def register() -> None:
     from ..oracles import sql
-    from .queries import ic_cte, query, r, summary
+    from .queries import LAB, SERIES, SIGNAL, _series_sql, ic_cte, query, r, series_ics, summary
     from .reports import MEMBERS, RANKS, TOP, W, HIST, _bars, _ranks
 
     sets = "u AS (SELECT 'point_in_time' AS universe, date, symbol FROM members UNION ALL SELECT 'as_supplied', d.date, c.symbol FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (SELECT symbol FROM chosen WHERE month_end = (SELECT max(month_end) FROM chosen)) c)"
@@ -56,3 +80,22 @@ def register() -> None:
         """Rows by which a month's ranks change if the history ends there: none, or the ranks look ahead."""
         ranks = lambda rows: universe.liquidity_ranks(rows, W, HIST).select("month_end", "symbol", "liquidity_rank")
         return universe.selection_differences(_bars(spark, sf_dir), ranks, ["1996-06-01", "1998-01-01", "2000-03-01"])
+
+    noisy = "(CAST('0x' || substr(md5('leak|' || CAST(date AS VARCHAR) || '|' || symbol), 1, 8) AS BIGINT) / 4294967296.0 - 0.5)"
+    named = {"clean": "sig", "leak": f"0.85 * coalesce(fwd_ret_1_demeaned, 0) + 0.15 * 0.05 * {noisy}", "noise": noisy}
+    leaks = [
+        *LAB, "v AS (SELECT *, " + ", ".join(f"{x} AS s_{n}" for n, x in named.items()) + " FROM sig)", "v2 AS (SELECT *, " + ", ".join(f"lag(s_{n}) OVER (PARTITION BY symbol ORDER BY pos) AS l_{n}" for n in named) + " FROM v)",
+        "long AS (" + " UNION ALL ".join(f"SELECT date, '{n}' AS signal, {late} AS late, round({k}_{n}, 12) AS s, fwd_ret_1_demeaned AS y FROM v2 WHERE {sql.split('val_a')}" for n in named for k, late in (("s", "false"), ("l", "true"))) + ")",
+        ic_cte("s", "y", "long", keys="signal, late, date", least=MIN_NAMES), "m AS (SELECT signal, late, avg(ic) AS m, avg(ic) * sqrt(count(*)) / stddev_samp(ic) AS t FROM ics GROUP BY 1, 2)",
+        "w AS (SELECT signal, max(m) FILTER (NOT late) AS mean_ic, max(t) FILTER (NOT late) AS t_stat, max(m) FILTER (late) AS lagged_ic, max(t) FILTER (late) AS lagged_t FROM m GROUP BY 1)",
+    ]
+
+    @query("case_leak", sql.query(leaks, f"SELECT signal, round(mean_ic, 6) AS mean_ic, round(t_stat, 6) AS t_stat, round(lagged_ic, 6) AS lagged_ic, round(lagged_t, 6) AS lagged_t, lagged_ic <= 0 OR (mean_ic > 0 AND lagged_ic < {redteam.COLLAPSE} * mean_ic) OR abs(lagged_t) < {redteam.WEAK_T} AS flagged FROM w"))
+    def case_leak(spark, sf_dir):
+        return summary(leak(source.fwd_labels(source.panel(spark, sf_dir)), SIGNAL))
+
+    claimed = {n: (1, -1, 0)[k % 3] for k, n in enumerate(SERIES)}
+
+    @query("sign_check", sql.query(_series_sql(), "SELECT name, claimed, realized, claimed = realized AND claimed <> 0 AS agrees FROM (SELECT name, CASE WHEN avg(ic) > 0 THEN 1 ELSE -1 END AS realized FROM ics GROUP BY 1) JOIN (VALUES " + ", ".join(f"('{n}', {c})" for n, c in claimed.items()) + ") t(name, claimed) USING (name)"))
+    def sign_check(spark, sf_dir):
+        return signs(series_ics(spark, sf_dir), spark.createDataFrame(list(claimed.items()), "name string, claimed int"))

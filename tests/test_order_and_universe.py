@@ -90,3 +90,22 @@ def test_looking_ahead_is_found(spark):
     assert universe.selection_differences(rows, fair, cuts).count() == 0
     found = universe.selection_differences(rows, ahead, cuts).collect()
     assert {x.side for x in found} == {"whole", "past"} and {x.month_end for x in found} <= {date(2000, 4, 28), date(2000, 9, 28)} and found
+
+
+def test_leaks_collapse_when_they_come_late(spark):
+    r, rows = random.Random(3), []
+    for pos in range(60):
+        d = date(1998, 1, 5) + timedelta(7 * pos)
+        for s in range(25):
+            rows.append((d, f"n{s:02}", pos, 100 + r.gauss(0, 5), 0.05 * r.gauss(0, 1)))
+    panel = spark.createDataFrame(rows, "date date, symbol string, pos int, close double, fwd_ret_1_demeaned double")
+    got = {x.signal: x for x in cases.leak(panel, "rank(close)").collect()}
+    assert got["leak"].mean_ic > 0.9 and abs(got["leak"].lagged_ic) < 0.1 and got["leak"].flagged
+    assert abs(got["noise"].mean_ic) < 0.1 and set(got) == {"clean", "leak", "noise"}
+
+
+def test_signs_against_claims(spark):
+    ics = spark.createDataFrame([("a", date(2000, 1, 1), 0.2), ("a", date(2000, 1, 2), -0.1), ("b", date(2000, 1, 1), -0.3), ("c", date(2000, 1, 1), 0.0)], "name string, date date, ic double")
+    claims = spark.createDataFrame([("a", 1), ("b", 1), ("c", -1), ("d", 1), ("z", 0)], "name string, claimed int")
+    got = {x.name: (x.realized, x.agrees) for x in cases.signs(ics, claims).collect()}
+    assert got == {"a": (1, True), "b": (-1, False), "c": (-1, True), "d": (None, False), "z": (None, False)}

@@ -250,4 +250,4 @@ def register() -> None:
         long = wide.select("date", "fwd_ret_5_demeaned", F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.round(F.col(k), 12).alias("sig")) for k in KNOBS))).alias("x")).select("date", "fwd_ret_5_demeaned", "x.name", "x.sig")
         ics = stats.daily_ic(long, "sig", "fwd_ret_5_demeaned", least=MIN_NAMES, keys=("name", "date"))
         keys = spark.createDataFrame([(k, structural_key(f)) for k, f in KNOBS.items()], "name string, cluster string")
-        return summary(gates.effective_trials(keys, gates.pair_corr(ics, "date", "name", "ic")))
+        return summary(gates.effective_trials(keys, gates.pair_corr(ics, "date", "name", "ic", list(KNOBS))))

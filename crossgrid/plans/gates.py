@@ -57,10 +57,19 @@ def pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0) -> DataFrame:
     return cscv_pbo(returns, n_blocks, purge).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"))
 
 
-def pair_corr(rows: DataFrame, key: str, name: str, value: str) -> DataFrame:
-    """(a, b, corr) for all pairs of names over shared keys; one row per pair, combined before the shuffle."""
-    x, y = rows.select(key, F.col(name).alias("a"), F.col(value).alias("x")), rows.select(key, F.col(name).alias("b"), F.col(value).alias("y"))
-    return x.join(y, key).groupBy("a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
+def pair_corr(rows: DataFrame, key: str, name: str, value: str, names: list[str] | None = None, *by: str) -> DataFrame:
+    """(by, a, b, corr) for all pairs of names over shared keys. With the names known, a row per key has a column for each, and all pairs are correlated in one aggregate, without a join; otherwise names meet by key, as many rows as pairs."""
+    if names is None:
+        x, y = rows.select(*by, key, F.col(name).alias("a"), F.col(value).alias("x")), rows.select(*by, key, F.col(name).alias("b"), F.col(value).alias("y"))
+        return x.join(y, [*by, key]).groupBy(*by, "a", "b").agg(safe_corr(F.col("x"), F.col("y")).alias("corr"))
+    wide = rows.groupBy(*by, key).agg(*(F.max(F.when(F.col(name) == n, F.col(value))).alias(f"_{i}") for i, n in enumerate(names)))
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    both = {(i, j): F.col(f"_{i}").isNotNull() & F.col(f"_{j}").isNotNull() for i, j in pairs}
+    cells = {(i, j): F.struct(safe_corr(F.when(both[i, j], F.col(f"_{i}")), F.when(both[i, j], F.col(f"_{j}"))).alias("corr"), F.count_if(both[i, j]).alias("n")).alias(f"{i}_{j}") for i, j in pairs}
+    one = wide.groupBy(*by).agg(*cells.values())
+    every = [(i, j, f"{min(i, j)}_{max(i, j)}") for i in range(len(names)) for j in range(len(names))]
+    long = one.select(*by, F.explode(F.array(*(F.struct(F.lit(names[i]).alias("a"), F.lit(names[j]).alias("b"), F.col(f"`{c}`.corr").alias("corr"), F.col(f"`{c}`.n").alias("n")) for i, j, c in every))).alias("x"))
+    return long.select(*by, "x.a", "x.b", "x.corr", "x.n").where("n > 0").drop("n")
 
 
 def participation(corr: DataFrame) -> DataFrame:

@@ -89,14 +89,13 @@ def inverse_weights(pairs: DataFrame, *keys: str) -> DataFrame:
     return raw.select(*keys, "name", (F.col("_w") / F.sum("_w").over(Window.partitionBy(*keys))).alias("weight"))
 
 
-def regime_gating(ics: DataFrame, series: int, regimes: DataFrame, names: Sequence[str], least: int = REGIME_LEAST) -> DataFrame:
+def regime_gating(ics: DataFrame, series: int, regimes: DataFrame, names: Sequence[str], least: int = REGIME_LEAST, known: list[str] | None = None) -> DataFrame:
     """regime, n_days, gated, fixed, improves: the ICIR of a combination whose weights come from the regime's own days, and of one with the same weights always; regimes of fewer days go."""
     ics = complete(ics, series)
-    fixed = inverse_weights(gates.pair_corr(ics, "date", "name", "ic")).withColumnRenamed("weight", "_fixed")
+    fixed = inverse_weights(gates.pair_corr(ics, "date", "name", "ic", known)).withColumnRenamed("weight", "_fixed")
     tags = F.filter(F.array(*(F.when(F.col(k), F.lit(k)) for k in names)), lambda x: x.isNotNull())
     tagged = ics.join(regimes.select("date", F.explode(tags).alias("regime")), "date")
-    x, y = (tagged.select("regime", "date", F.col("name").alias(n), F.col("ic").alias(v)) for n, v in (("a", "x"), ("b", "y")))
-    own = inverse_weights(x.join(y, ["regime", "date"]).groupBy("regime", "a", "b").agg(stats.safe_corr(F.col("x"), F.col("y")).alias("corr")), "regime")
+    own = inverse_weights(gates.pair_corr(tagged, "date", "name", "ic", known, "regime"), "regime")
     days = tagged.join(own, ["regime", "name"]).join(fixed, "name").groupBy("regime", "date").agg(F.sum(F.col("ic") * F.col("weight")).alias("g"), F.sum(F.col("ic") * F.col("_fixed")).alias("s"))
     icir = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c))
     out = days.groupBy("regime").agg(F.count("*").alias("n_days"), icir("g").alias("gated"), icir("s").alias("fixed")).where(F.col("n_days") >= least)
@@ -210,7 +209,7 @@ def register() -> None:
 
     @query("regime_gating", sql.query(gating, f"SELECT regime, count(*) AS n_days, round(avg(g) / stddev_samp(g), 6) AS gated, round(avg(s) / stddev_samp(s), 6) AS fixed, avg(g) / stddev_samp(g) > avg(s) / stddev_samp(s) AS improves FROM days GROUP BY 1 HAVING count(*) >= {REGIME_LEAST}"))
     def regime_gating_(spark, sf_dir):
-        out = regime_gating(series_ics(spark, sf_dir), len(SERIES), regime_labels(spark, sf_dir), ("bull", "bear", "calm", "volatile", "highvol"))
+        out = regime_gating(series_ics(spark, sf_dir), len(SERIES), regime_labels(spark, sf_dir), ("bull", "bear", "calm", "volatile", "highvol"), known=SERIES)
         return out.withColumns({"gated": r("gated"), "fixed": r("fixed")})
 
     y = "fwd_ret_5_demeaned"

@@ -371,12 +371,12 @@ _CORR = "corr AS (SELECT x.name AS a, y.name AS b, covar_samp(x.ic, y.ic) / null
 
 @query("corr_matrix", sql.query([*_series_sql(), _CORR], "SELECT a, b, round(c, 6) AS corr FROM corr"))
 def corr_matrix(spark, sf_dir):
-    return summary(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic"))
+    return summary(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic", SERIES))
 
 
 @query("effective_n", sql.query([*_series_sql(), _CORR], "SELECT round(count(DISTINCT a) * count(DISTINCT a) / sum(c * c), 6) AS effective_n FROM corr"))
 def effective_n(spark, sf_dir):
-    return summary(gates.participation(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic")))
+    return summary(gates.participation(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic", SERIES)))
 
 
 _WEIGHTS = "weights AS (SELECT a AS name, (1 / (avg(abs(c)) + 1e-6)) / sum(1 / (avg(abs(c)) + 1e-6)) OVER () AS weight FROM corr WHERE a <> b GROUP BY a)"
@@ -390,13 +390,13 @@ def inverse_corr(corr: DataFrame) -> DataFrame:
 
 @query("inv_corr_weights", sql.query([*_series_sql(), _CORR, _WEIGHTS], "SELECT name, round(weight, 6) AS weight FROM weights"))
 def inv_corr_weights(spark, sf_dir):
-    return summary(inverse_corr(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic")))
+    return summary(inverse_corr(gates.pair_corr(series_ics(spark, sf_dir), "date", "name", "ic", SERIES)))
 
 
 @query("portfolio_combine", sql.query([*_series_sql(), _CORR, _WEIGHTS], "SELECT name, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS icir, count(*) AS n FROM (SELECT name, date, ic FROM ics UNION ALL SELECT 'combined', date, sum(ic * weight) FROM ics JOIN weights USING (name) GROUP BY date) GROUP BY name"))
 def portfolio_combine(spark, sf_dir):
     ics = series_ics(spark, sf_dir)
-    weights = inverse_corr(gates.pair_corr(ics, "date", "name", "ic"))
+    weights = inverse_corr(gates.pair_corr(ics, "date", "name", "ic", SERIES))
     both = ics.select("name", "date", "ic").unionByName(ics.join(weights, "name").groupBy("date").agg(F.sum(F.col("ic") * F.col("weight")).alias("ic")).withColumn("name", F.lit("combined")))
     return both.groupBy("name").agg(r(F.avg("ic")).alias("mean_ic"), r(F.try_divide(F.avg("ic"), F.stddev_samp("ic"))).alias("icir"), F.count("*").alias("n"))
 

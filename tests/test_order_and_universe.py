@@ -109,3 +109,13 @@ def test_signs_against_claims(spark):
     claims = spark.createDataFrame([("a", 1), ("b", 1), ("c", -1), ("d", 1), ("z", 0)], "name string, claimed int")
     got = {x.name: (x.realized, x.agrees) for x in cases.signs(ics, claims).collect()}
     assert got == {"a": (1, True), "b": (-1, False), "c": (-1, True), "d": (None, False), "z": (None, False)}
+
+
+def test_pairs_in_one_pass_equal_a_join(spark):
+    from crossgrid.plans import gates
+
+    r = random.Random(12)
+    rows = [(g, d, n, r.gauss(0, 1)) for g in "xy" for d in range(30) for n in "abc" if r.random() < 0.8] + [("x", 1, "lone", 0.5)]
+    df = spark.createDataFrame(rows, "g string, date int, name string, ic double")
+    got, want = ({(x.g, x.a, x.b): x.corr for x in gates.pair_corr(df, "date", "name", "ic", names, "g").collect()} for names in (["a", "b", "c", "lone"], None))
+    assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)

@@ -37,24 +37,31 @@ def walk_forward(ics: DataFrame, folds: DataFrame, drop: int, splits: Splits = S
     return ic_summary(days.where(F.col("_i") > drop), "fold").select("fold", "mean_ic", F.col("icir").alias("ir"), "t_stat", "n_days")
 
 
-def cscv_pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0) -> DataFrame:
-    """Of returns (t, strategy, r): how often the best half-sample strategy falls below the median in the other half. Blocks are of equal length, the remainder at the end is dropped, as are the first ``purge`` rows of each block. Sharpe ratios of halves come from sums per block."""
+def cscv_pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Of returns (keys, t, strategy, r), per key: how often the best half-sample strategy falls below the median in the other half. Blocks are of equal length over all keys, the remainder at the end is dropped, as are the first ``purge`` rows of each block. Sharpe ratios of halves come from sums per block."""
     spark = returns.sparkSession
     length = returns.agg((F.max("t") + 1 - (F.max("t") + 1) % n_blocks).alias("_len"))
-    stats = returns.crossJoin(length).where((F.col("t") < F.col("_len")) & (F.col("t") % (F.col("_len") / n_blocks) >= purge)).withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy("block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
+    stats = returns.crossJoin(length).where((F.col("t") < F.col("_len")) & (F.col("t") % (F.col("_len") / n_blocks) >= purge)).withColumn("block", F.floor(F.col("t") * n_blocks / F.col("_len")).cast("int")).groupBy(*keys, "block", "strategy").agg(F.count("r").alias("n"), F.sum("r").alias("s1"), F.sum(F.col("r") * F.col("r")).alias("s2"))
     splits = spark.createDataFrame([(i, b, b in c) for i, c in enumerate(combinations(range(n_blocks), n_blocks // 2)) for b in range(n_blocks)], "split int, block int, inside boolean")
-    half = stats.join(splits, "block").groupBy("split", "inside", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
+    half = stats.join(splits, "block").groupBy(*keys, "split", "inside", "strategy").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"))
     mean = F.col("s1") / F.col("n")
     sd = F.sqrt(F.greatest((F.col("s2") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0)))
     half = half.withColumn("sr", F.coalesce(F.try_divide(mean, sd), F.lit(0.0)))
-    best = half.where("inside").groupBy("split").agg(F.max_by("strategy", F.struct("sr", "strategy")).alias("strategy"))
-    w = Window.partitionBy("split")
-    outside = half.where("NOT inside").withColumn("rank", (F.rank().over(w.orderBy("sr")) + (F.count("*").over(Window.partitionBy("split", "sr")) - 1) / 2) / (F.count("*").over(w) + 1))
-    return best.join(outside, ["split", "strategy"]).select("split", "strategy", F.col("rank").alias("oos_rank"), F.ln(F.col("rank") / (1 - F.col("rank"))).alias("logit"))
+    best = half.where("inside").groupBy(*keys, "split").agg(F.max_by("strategy", F.struct("sr", "strategy")).alias("strategy"))
+    w = Window.partitionBy(*keys, "split")
+    outside = half.where("NOT inside").withColumn("rank", (F.rank().over(w.orderBy("sr")) + (F.count("*").over(Window.partitionBy(*keys, "split", "sr")) - 1) / 2) / (F.count("*").over(w) + 1))
+    return best.join(outside, [*keys, "split", "strategy"]).select(*keys, "split", "strategy", F.col("rank").alias("oos_rank"), F.ln(F.col("rank") / (1 - F.col("rank"))).alias("logit"))
 
 
-def pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0) -> DataFrame:
-    return cscv_pbo(returns, n_blocks, purge).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"))
+def pbo(returns: DataFrame, n_blocks: int = 8, purge: int = 0, keys: tuple[str, ...] = ()) -> DataFrame:
+    return cscv_pbo(returns, n_blocks, purge, keys).groupBy(*keys).agg(F.avg((F.col("logit") < 0).cast("double")).alias("pbo"), F.count("*").alias("n_splits"))
+
+
+def drawn(names: DataFrame, draws: int, size: int) -> DataFrame:
+    """draw, symbol: for each of the draws ``size`` names, those of smallest digest. A row per name and draw."""
+    d = names.select("symbol").distinct().crossJoin(names.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")))
+    order = F.md5(F.concat_ws("|", F.lit("draw"), F.col("draw").cast("string"), "symbol").cast("binary"))
+    return d.withColumn("_k", F.row_number().over(Window.partitionBy("draw").orderBy(order, "symbol"))).where(F.col("_k") <= size).select("draw", "symbol")
 
 
 def pair_corr(rows: DataFrame, key: str, name: str, value: str, names: list[str] | None = None, *by: str) -> DataFrame:

@@ -346,6 +346,28 @@ def cscv_pbo(spark, sf_dir):
     return summary(gates.pbo(rows))
 
 
+DRAWS, DRAWN = 30, 12
+_DRAWS = [
+    sql.panel(),
+    f"picks AS (SELECT draw, symbol FROM (SELECT CAST(draw AS INTEGER) AS draw, symbol, row_number() OVER (PARTITION BY draw ORDER BY md5('draw|' || draw || '|' || symbol), symbol) AS k FROM (SELECT DISTINCT symbol FROM panel) CROSS JOIN range({DRAWS}) d(draw)) WHERE k <= {DRAWN})",
+    "strat AS (SELECT draw, symbol AS strategy, CAST(pos - 1 AS BIGINT) AS t, coalesce(returns, 0) AS r FROM panel JOIN picks USING (symbol) WHERE pos BETWEEN 1 AND (SELECT max(pos) // 8 * 8 FROM panel))",
+    "st AS (SELECT draw, CAST(floor(t * 8 / (SELECT max(t) + 1 FROM strat)) AS INTEGER) AS block, strategy, count(*) AS n, sum(r) AS s1, sum(r * r) AS s2 FROM strat GROUP BY 1, 2, 3)",
+    _CSCV[3],
+    "half AS (SELECT draw, m, (m >> block) & 1 = 1 AS inside, strategy, sum(n) AS n, sum(s1) AS s1, sum(s2) AS s2 FROM st CROSS JOIN masks GROUP BY 1, 2, 3, 4)",
+    _CSCV[5],
+    "best AS (SELECT draw, m, strategy FROM (SELECT draw, m, strategy, row_number() OVER (PARTITION BY draw, m ORDER BY v DESC, strategy DESC) AS k FROM sr WHERE inside) WHERE k = 1)",
+    "oos AS (SELECT draw, m, strategy, (rank() OVER (PARTITION BY draw, m ORDER BY v) + (count(*) OVER (PARTITION BY draw, m, v) - 1) / 2.0) / (count(*) OVER (PARTITION BY draw, m) + 1) AS p FROM sr WHERE NOT inside)",
+]
+
+
+@query("pbo_draws", sql.query(_DRAWS, "SELECT draw, round(avg(CASE WHEN ln(p / (1 - p)) < 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, count(*) AS n_splits FROM best JOIN oos USING (draw, m, strategy) GROUP BY 1"))
+def pbo_draws(spark, sf_dir):
+    """How much the overfitting probability moves with the choice of names: thirty draws of twelve, all in one plan."""
+    rows = source.panel(spark, sf_dir)
+    returns = rows.where("pos >= 1").join(gates.drawn(rows, DRAWS, DRAWN), "symbol").select("draw", F.col("symbol").alias("strategy"), (F.col("pos") - 1).cast("long").alias("t"), F.coalesce("returns", F.lit(0.0)).alias("r"))
+    return summary(gates.pbo(returns, keys=("draw",)))
+
+
 SERIES = ["alpha101_003", "alpha101_006", "alpha101_012", "classical_short_term_reversal", "classical_low_volatility", "classical_volume_shock"]
 
 

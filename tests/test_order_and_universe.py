@@ -119,3 +119,15 @@ def test_pairs_in_one_pass_equal_a_join(spark):
     df = spark.createDataFrame(rows, "g string, date int, name string, ic double")
     got, want = ({(x.g, x.a, x.b): x.corr for x in gates.pair_corr(df, "date", "name", "ic", names, "g").collect()} for names in (["a", "b", "c", "lone"], None))
     assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-12) for k in want)
+
+
+def test_overfitting_per_key_is_that_of_each(spark):
+    from crossgrid.plans import gates
+
+    r = random.Random(9)
+    rows = [(g, t, s, r.gauss(0.02 if s == "a" and g == 1 else 0, 1)) for g in (1, 2) for t in range(40) for s in "abcd"]
+    df = spark.createDataFrame(rows, "g int, t long, strategy string, r double")
+    got = {x.g: (x.pbo, x.n_splits) for x in gates.pbo(df, keys=("g",)).collect()}
+    assert got == {g: tuple(gates.pbo(df.where(F.col("g") == g).drop("g")).first()) for g in (1, 2)}
+    picks = gates.drawn(spark.createDataFrame([(f"n{k}",) for k in range(9)], "symbol string"), 4, 3).collect()
+    assert len(picks) == 12 and len({(p.draw, p.symbol) for p in picks}) == 12 and len({tuple(sorted(p.symbol for p in picks if p.draw == d)) for d in range(4)}) > 1

@@ -9,7 +9,8 @@ sorted by URL key, time and page. Runs are dealt by ranges of that whole order,
 partitions; in each partition a loser tree merges the runs, and the partitions one after another are the
 global order.
 
-Defined results: null and empty html are empty payloads; a null url has the empty key and a null page_id is -1; repeated rows are
+Defined results: null and empty html are empty payloads; a null url has the empty key; a row without a page_id has none in its record either, comes after all others of its
+payload, key and time, and is a response only where no row with an id has its payload; repeated rows are
 records of their own, and those that share the id of a response are responses too; ties in key and time go by
 page_id; an empty table gives no files and an empty index; other columns are not read.
 """
@@ -28,10 +29,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, shared_dir, stash, tidy
+from .words import slices
 
 #: Aimed size of an archive before compression, by the mean of all payloads and of a record's own lines.
 FILE_BYTES, HEAD_BYTES = 8 << 20, 500
 SEPARATOR = "\r\n\r\n"
+#: What stands for a page without an id: after all ids.
+NO_PAGE = (1 << 63) - 1
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 INDEX = "url_key string, ts string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, archive string, offset long, length long, run long"
 
@@ -65,7 +69,7 @@ def record_head(page: int, url: str, ts: str, size: int, digest: str, first: int
         f"WARC-Date: {ts}",
         f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}",
         f"WARC-Payload-Digest: sha1:{digest}",
-        f"X-Page-ID: {page}",
+        *([f"X-Page-ID: {page}"] if page != NO_PAGE else []),
         f"X-Payload-Length: {size}",
     ]
     if revisit:
@@ -75,12 +79,13 @@ def record_head(page: int, url: str, ts: str, size: int, digest: str, first: int
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = []
-        for page, url, html, ts, first, revisit in zip(*(b.column(k).to_pylist() for k in range(6))):
-            payload = html or ""
-            raw = payload.encode()
-            out.append(record_head(page, url or "", ts, len(raw), digest32(raw), first, revisit) + "\r\n\r\n" + ("" if revisit else payload))
-        yield pa.record_batch([pa.array(out, pa.string())], ["value"])
+        for i, j in slices(b.column(2)):
+            out = []
+            for page, url, html, ts, first, revisit in zip(*(b.column(k).slice(i, j - i).to_pylist() for k in range(6))):
+                payload = html or ""
+                raw = payload.encode()
+                out.append(record_head(page, url or "", ts, len(raw), digest32(raw), first, revisit) + "\r\n\r\n" + ("" if revisit else payload))
+            yield pa.record_batch([pa.array(out, pa.string())], ["value"])
 
 
 def capture_time(page_id: Column) -> Column:
@@ -91,7 +96,7 @@ def capture_time(page_id: Column) -> Column:
 def write_archives(pages: DataFrame, path: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", ts: Column | None = None) -> str | None:
     """Writes a WARC record per row and returns the folder; null for an empty table. Payloads of fewer than ``least_bytes`` are never revisits."""
     spark = prepare(pages.sparkSession)
-    page = F.coalesce(F.col(id_col).cast("long"), F.lit(-1).cast("long"))
+    page = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_PAGE).cast("long"))
     rows = pages.select(page.alias("page"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"), (capture_time(page) if ts is None else ts).alias("ts"))
     names = stash(rows.select("page", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("size")))
     total, n = names.agg(F.sum("size"), F.count("*")).first()
@@ -138,8 +143,8 @@ def _captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 digest, size = head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
                 if not revisit and (digest32(block) != digest or len(block) != size):
                     raise ValueError(f"{path}: the payload at byte {offset} does not have its digest")
-                rows.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], int(head["X-Page-ID"]), head["WARC-Type"], size, digest, int(head["X-Refers-To-Page"]) if revisit else None, path.rsplit("/", 1)[-1], offset, length, run))
-            rows.sort(key=lambda r: r[:3])
+                rows.append((url_key(head["WARC-Target-URI"]), head["WARC-Date"], int(head["X-Page-ID"]) if "X-Page-ID" in head else None, head["WARC-Type"], size, digest, int(head["X-Refers-To-Page"]) if revisit else None, path.rsplit("/", 1)[-1], offset, length, run))
+            rows.sort(key=lambda r: (r[0], r[1], NO_PAGE if r[2] is None else r[2]))
             kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 11, kinds)], [f.split()[0] for f in INDEX.split(", ")])
 
@@ -192,6 +197,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = table.combine_chunks()
     key, ts, page = (table[c].to_pylist() for c in ("url_key", "ts", "page_id"))
+    page = [NO_PAGE if p is None else p for p in page]
     run = table["run"].to_numpy()
     at = [0, *(i for i in range(1, len(run)) if run[i] != run[i - 1]), len(run)]
     order = list(LoserTree([range(i, j) for i, j in zip(at[:-1], at[1:])], lambda i: (key[i], ts[i], page[i])))
@@ -207,5 +213,6 @@ def index_archives(spark: SparkSession, path: str | None) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("path", F.xxhash64("path").alias("run"), "content")
     captures = stash(files.mapInArrow(tidy(_captures), INDEX))
     n = max(spark.sparkContext.defaultParallelism, -(-captures.count() // MERGE_ROWS))  # so that a merge holds so many rows, whatever the input
-    dealt = captures.repartitionByRange(n, "url_key", "ts", "page_id").sortWithinPartitions("run", "url_key", "ts", "page_id")
+    last = F.asc_nulls_last("page_id")
+    dealt = captures.repartitionByRange(n, "url_key", "ts", last).sortWithinPartitions("run", "url_key", "ts", last)
     return dealt.mapInArrow(tidy(_merge), INDEX)

@@ -103,6 +103,10 @@ def test_warc(spark):
     assert keys == sorted(keys)
     assert warc.url_key("http://www.B.example:80/X?q=1#z") == "example,b)/x?q=1"
     assert warc.index_archives(spark, warc.write_archives(df.limit(0))).count() == 0
+    nobody = spark.createDataFrame([(None, "http://a.b/", "same"), (7, "http://a.b/", "same"), (None, "http://a.b/", "own"), (None, "http://a.b/", "own"), (-5, None, None)], "page_id long, url string, html string")
+    index = warc.index_archives(spark, warc.write_archives(nobody)).collect()
+    assert sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in index), key=str) == sorted([(None, 4, "revisit", 7), (7, 4, "response", None), (None, 3, "response", None), (None, 3, "response", None), (-5, 0, "response", None)], key=str)
+    assert [r.page_id for r in index][-3:] == [None] * 3
 
 
 # progressive JPEG

@@ -64,11 +64,11 @@ def order_statistics(rows: DataFrame, ranks: DataFrame, keys: list[str]) -> Data
     return now.select(*keys, "rank", F.col("lead").alias("value"))
 
 
-def quantiles(rows: DataFrame, value: Column, qs: tuple[float, ...], *keys: str) -> DataFrame:
-    """keys, q (its place in qs) and value: exact quantiles with linear interpolation, as of a sorted list; null and NaN are left out, and so are keys without values."""
+def quantiles(rows: DataFrame, value: Column, qs: tuple[float, ...], *keys: str, written: bool = False) -> DataFrame:
+    """keys, q (its place in qs) and value: exact quantiles with linear interpolation, as of a sorted list; null and NaN are left out, and so are keys without values. written: the rows are a table already, and can be read once per pass."""
     names = [*keys] or ["_all"]
     given = rows.select(*([F.col(k) for k in keys] or [F.lit(1).alias("_all")]), to_ordered(value).alias("x")).where("x IS NOT NULL")
-    given = staged(given)
+    given = given if written else staged(given)
     asked = F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.lit(float(q)).alias("p")) for i, q in enumerate(qs))))
     wanted = given.groupBy(*names).agg(F.count("*").alias("n")).select(*names, "n", asked.alias("w")).select(*names, F.col("w.q").alias("q"), (F.col("w.p") * (F.col("n") - 1)).alias("at"))
     wanted = staged(wanted.withColumns({"low": F.floor("at"), "high": F.ceil("at")}))

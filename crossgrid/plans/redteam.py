@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import HORIZONS, MIN_NAMES
 from ..functions import stats
 from ..functions.quantiles import quantiles
+from ..sources.staging import staged
 from . import backtest, universe
 
 #: The menu in its order, and the tests that decide and are always run.
@@ -41,6 +42,7 @@ def fringe(rows: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
     """date, symbol, source: names around the universe's cut in the month that governs each date (``universe.fringe``: ranks 150 to 200, or the last quarter of a smaller month).
 
     ranks: month_end, symbol, liquidity_rank as supplied; they are used if they name any of the panel's symbols, else those of the panel itself (``month_ranks``), in the same plan; source says which (supplied or panel)."""
+    rows = staged(rows.select("date", "symbol", "size_proxy"))  # ranks, calendar and names are read from it
     own = month_ranks(rows).withColumn("source", F.lit("panel"))
     if ranks is None:
         given = own
@@ -56,7 +58,9 @@ def variant_ics(rows: DataFrame, split: str = "val_a", edge: DataFrame | None =
     """variant, date, ic: the signal, lagged, sector-neutral, by size tercile, liquid names only, with delivery data a day late (column sig_late, if there) and without the universe's fringe, in one plan. rows: labelled, with sig, sector, size_proxy, turnover_21."""
     rows = rows.withColumn("_lag", F.lag("sig", 1).over(Window.partitionBy("symbol").orderBy("pos"))).where(backtest.in_split(split))
     rows = rows.withColumns({"_size": stats.tercile(F.when(F.col("sig").isNotNull(), F.col("size_proxy")), "date"), "_money": F.exp("turnover_21")})
-    floor = quantiles(rows, F.col("_money"), (LIQUID,)).agg(F.max("value").alias("_floor"))
+    # made once: the floor's passes and the variants read them
+    rows = staged(rows.select("date", "symbol", "sector", "sig", Y, "_lag", "_size", "_money", *(c for c in ("sig_late",) if c in rows.columns)))
+    floor = quantiles(rows, F.col("_money"), (LIQUID,), written=True).agg(F.max("value").alias("_floor"))
     rows = rows.crossJoin(floor)
     sig = F.col("sig")
     variants = {"base": sig, "extra_lag": F.col("_lag"), "sector_neutral": sig - F.avg("sig").over(Window.partitionBy("date", F.coalesce("sector", F.lit("__NA__")))), "liquidity_filter": F.when(F.col("_money") >= F.col("_floor"), sig)}

@@ -221,7 +221,7 @@ QS = (0.01, 0.25, 0.5, 0.75, 0.99)
 def panel_feature_stats(spark, sf_dir):
     rows = staged(_features(spark, sf_dir).select("feature", F.year("date").alias("year"), "v"))
     g = rows.groupBy("feature", "year").agg(r(F.avg("v")).alias("mean"), r(F.stddev_samp("v")).alias("sd"), F.count("v").alias("n"), (F.count("*") - F.count("v")).alias("n_null"))
-    cuts = quantiles(rows, F.col("v"), QS, "feature", "year").groupBy("feature", "year").agg(*(r(F.max(F.when(F.col("q") == k, F.col("value")))).alias(f"p{int(q * 100):02d}") for k, q in enumerate(QS)))
+    cuts = quantiles(rows, F.col("v"), QS, "feature", "year", written=True).groupBy("feature", "year").agg(*(r(F.max(F.when(F.col("q") == k, F.col("value")))).alias(f"p{int(q * 100):02d}") for k, q in enumerate(QS)))
     return g.join(cuts, ["feature", "year"], "left")
 
 

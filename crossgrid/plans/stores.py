@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .ledger import PEEKS, PeekBudget  # noqa: F401
 
 #: Fixed values of the lesson fold and the allocation.
@@ -63,19 +65,25 @@ def allocation(rewards: DataFrame) -> DataFrame:
 
 
 def lineage(cards: DataFrame, depth: int | None = None) -> DataFrame:
-    """Of (card_id, parent_id): card_id, ancestor, steps. A path ends at a card without parent, and before a card that it has already passed, so a cycle ends; with a depth, at that many steps instead."""
-    more = "NOT array_contains(u.path, c.parent_id)" if depth is None else "u.steps < {depth}"
-    found = cards.sparkSession.sql(
-        f"""
-        WITH RECURSIVE up(card_id, ancestor, steps, path) MAX RECURSION LEVEL 100000 AS (
-          SELECT card_id, card_id, 0, array(card_id) FROM {{cards}}
-          UNION ALL
-          SELECT u.card_id, c.parent_id, u.steps + 1, {"array_append(u.path, c.parent_id)" if depth is None else "u.path"} FROM up u JOIN {{cards}} c ON c.card_id = u.ancestor WHERE c.parent_id IS NOT NULL AND {more}
-        ) SELECT card_id, ancestor, steps FROM up""",
-        cards=cards,
-        **({} if depth is None else {"depth": depth}),
-    )
-    return found
+    """Of (card_id, parent_id): card_id, ancestor, steps. A path ends at a card without parent, and before a card that it has already passed, so a cycle ends; with a depth, at that many steps instead.
+
+    Paths are put together from paths: a round joins those of exactly n steps with all of up to n, each written once, so a path of n steps takes log2(n) rounds and no count of rows is a limit."""
+    times = F.count("*").over(Window.partitionBy("card_id"))  # a card with more parents begins as many times
+    edges = cards.withColumn("_times", times).where("card_id IS NOT NULL AND parent_id IS NOT NULL")
+    if depth is None:
+        edges = edges.where("card_id <> parent_id")
+    part = staged(edges.select("card_id", "_times", F.col("parent_id").alias("ancestor"), F.lit(1).alias("steps"), F.array("parent_id").alias("path")))
+    parts, reach = [part], 1
+    while (depth is None or reach < depth) and not (far := part.where(F.col("steps") == reach)).isEmpty():
+        on = reduce(DataFrame.unionByName, parts).select(F.col("card_id").alias("_at"), F.col("ancestor").alias("_ancestor"), F.col("steps").alias("_steps"), F.col("path").alias("_path"))
+        more = far.join(on, F.col("ancestor") == F.col("_at"))
+        more = more.where("NOT array_contains(_path, card_id) AND NOT arrays_overlap(path, _path)") if depth is None else more.where(F.col("steps") + F.col("_steps") <= depth)
+        part = staged(more.select("card_id", "_times", F.col("_ancestor").alias("ancestor"), (F.col("steps") + F.col("_steps")).alias("steps"), F.concat("path", "_path").alias("path")))
+        parts, reach = [*parts, part], 2 * reach
+    paths = reduce(DataFrame.unionByName, parts).withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_times").cast("int"))))
+    if depth is not None:
+        paths = paths.where(F.col("steps") <= depth)
+    return cards.select("card_id", F.col("card_id").alias("ancestor"), F.lit(0).alias("steps")).unionByName(paths.select("card_id", "ancestor", "steps"))
 
 
 def keyword_score(text: Column, words: list[str]) -> Column:

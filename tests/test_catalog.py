@@ -92,6 +92,37 @@ def test_paths_end_at_cycles_and_may_be_long(spark):
     assert [(r.ancestor, r.steps) for r in up.where("card_id = 903").collect()] == [(903, 0)]
 
 
+def test_paths_are_no_fewer_than_asked(spark):
+    from crossgrid.plans import stores
+
+    n = 100_000
+    cards = spark.range(n).select(F.col("id").alias("card_id"), F.when(F.col("id") >= 3, F.floor(F.col("id") / 3).cast("long")).alias("parent_id"))
+    got = stores.lineage(cards).agg(F.count("*").alias("n"), F.sum("ancestor").alias("s"), F.max("steps").alias("m")).first()
+    want, total, deepest = 0, 0, 0  # more than a million rows
+    for k in range(n):
+        steps, a = 0, k
+        while True:
+            want, total, deepest = want + 1, total + a, max(deepest, steps)
+            if a < 3:
+                break
+            steps, a = steps + 1, a // 3
+    assert (got.n, got.s, got.m) == (want, total, deepest) and want > 1_000_000
+
+
+@pytest.mark.parametrize("depth", [None, 0, 1, 3, 4])
+def test_paths_of_several_parents(spark, depth):
+    from crossgrid.plans import stores
+
+    rows = [(1, None), (2, 1), (3, 2), (3, 1), (4, 3), (4, 3), (5, 4), (6, 7), (7, 8), (8, 6), (9, 7), (10, 77), (None, 1), (11, 11), (12, 5)]
+    got = stores.lineage(spark.createDataFrame(rows, "card_id long, parent_id long"), depth).collect()
+    want, now = [], [(c, c, 0, (c,)) for c, _ in rows]
+    while now:  # step by step
+        want += [x[:3] for x in now]
+        now = [(c, p, k + 1, (*path, p)) for c, a, k, path in now for card, p in rows if card is not None and card == a and p is not None and (p not in path if depth is None else k < depth)]
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(((r.card_id, r.ancestor, r.steps) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_gaps_are_filled_from_before(spark):
     from crossgrid.sources import synthetic
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import MIN_NAMES
 from ..functions import stats
 from ..sources import panel as source
+from ..sources.staging import staged
 from . import backtest, catalog, redteam, universe
 from .formula import with_formulas
 
@@ -72,7 +73,9 @@ def register() -> None:
     @query("universe_mask", sql.query([*MEMBERS], "SELECT date, count(*) AS n_names, count(m.symbol) AS n_members, round(avg(CASE WHEN m.symbol IS NOT NULL THEN p.returns END), 6) AS market FROM panel p LEFT JOIN members m USING (date, symbol) GROUP BY date"))
     def universe_mask(spark, sf_dir):
         """The market's return within the universe, by the runs of membership."""
-        rows = universe.mark_members(source.panel(spark, sf_dir, "month", "supplier"), universe.member_runs(universe.select(_ranks(spark, sf_dir), TOP)))
+        bars = staged(_bars(spark, sf_dir).select("date", "symbol", "sector", "close", "volume"))
+        selected = staged(universe.select(universe.liquidity_ranks(bars, W, HIST), TOP).select("month_end", "symbol"))
+        rows = universe.mark_members(source.panel_of(bars), universe.member_runs(selected))
         return rows.groupBy("date").agg(F.count("*").alias("n_names"), F.count_if("in_universe").alias("n_members"), r(F.avg(F.when(F.col("in_universe"), F.col("returns")))).alias("market"))
 
     @query("selection_check", sql.query(RANKS, "SELECT month_end AS cut, 'whole' AS side, month_end, symbol, liquidity_rank FROM ranks WHERE false"))

@@ -82,7 +82,7 @@ def register() -> None:
     def selection_check(spark, sf_dir):
         """Rows by which a month's ranks change if the history ends there: none, or the ranks look ahead."""
         ranks = lambda rows: universe.liquidity_ranks(rows, W, HIST).select("month_end", "symbol", "liquidity_rank")
-        return universe.selection_differences(_bars(spark, sf_dir), ranks, ["1996-06-01", "1998-01-01", "2000-03-01"])
+        return universe.selection_differences(staged(_bars(spark, sf_dir).select("date", "symbol", "close", "volume")), ranks, ["1996-06-01", "1998-01-01", "2000-03-01"])
 
     noisy = "(CAST('0x' || substr(md5('leak|' || CAST(date AS VARCHAR) || '|' || symbol), 1, 8) AS BIGINT) / 4294967296.0 - 0.5)"
     named = {"clean": "sig", "leak": f"0.85 * coalesce(fwd_ret_1_demeaned, 0) + 0.15 * 0.05 * {noisy}", "noise": noisy}

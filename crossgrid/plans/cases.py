@@ -21,14 +21,17 @@ def broken_universe(rows: DataFrame, selected: DataFrame, formula: str = FORMULA
     """universe, n_days, mean_ic, icir, t_stat, market: one formula on each month's own selection (point_in_time) and on the last one applied to all days (as_supplied), with labels less the members' mean and the mean return of members.
 
     The second knows which names will last: its market, and often its scores, are those of survivors."""
-    scored = with_formulas(rows, {"sig": formula})
+    ret = F.col(f"fwd_ret_{horizon}")
+    # made once, as are the members' rows: labels don't depend on the universe, only their mean does
+    scored = staged(with_formulas(source.fwd_labels(rows, (horizon,)), {"sig": formula}).select("date", "symbol", F.round("sig", 12).alias("sig"), ret.alias("ret")))
+    selected = staged(selected.select("month_end", "symbol"))
     last = selected.agg(F.max("month_end").alias("_last"))
-    kept = selected.crossJoin(last).where("month_end = _last").select("symbol", F.lit(None).cast("date").alias("until")).crossJoin(rows.agg(F.date_sub(F.min("date"), 1).alias("after")))
+    kept = selected.crossJoin(last).where("month_end = _last").select("symbol", F.lit(None).cast("date").alias("until")).crossJoin(scored.agg(F.date_sub(F.min("date"), 1).alias("after")))
     out = []
     for name, runs in (("point_in_time", universe.member_runs(selected)), ("as_supplied", kept)):
-        marked = source.fwd_labels(universe.mark_members(scored, runs), (horizon,), F.col("in_universe")).where("in_universe")
-        out.append(marked.select(F.lit(name).alias("universe"), "date", F.round("sig", 12).alias("sig"), F.col(f"fwd_ret_{horizon}").alias("ret"), F.col(f"fwd_ret_{horizon}_demeaned").alias("y")))
-    both = reduce(DataFrame.unionByName, out)
+        marked = universe.mark_members(scored, runs).where("in_universe")
+        out.append(marked.select(F.lit(name).alias("universe"), "date", "sig", "ret", (F.col("ret") - F.avg("ret").over(Window.partitionBy("date"))).alias("y")))
+    both = staged(reduce(DataFrame.unionByName, out))
     ics = stats.ic_summary(stats.daily_ic(both, "sig", "y", least=least, keys=("universe", "date")), "universe")
     market = both.groupBy("universe", "date").agg(F.avg("ret").alias("m")).groupBy("universe").agg(F.avg("m").alias("market"))
     return ics.join(market, "universe").select("universe", "n_days", "mean_ic", "icir", "t_stat", "market")
@@ -60,7 +63,7 @@ def signs(ics: DataFrame, claims: DataFrame) -> DataFrame:
 def register() -> None:
     from ..oracles import sql
     from .queries import LAB, SERIES, SIGNAL, _series_sql, ic_cte, query, r, series_ics, summary
-    from .reports import MEMBERS, RANKS, TOP, W, HIST, _bars, _ranks
+    from .reports import MEMBERS, RANKS, TOP, W, HIST, _bars
 
     sets = "u AS (SELECT 'point_in_time' AS universe, date, symbol FROM members UNION ALL SELECT 'as_supplied', d.date, c.symbol FROM (SELECT DISTINCT date FROM panel) d CROSS JOIN (SELECT symbol FROM chosen WHERE month_end = (SELECT max(month_end) FROM chosen)) c)"
     labels = "fwd AS (SELECT *, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS ret FROM sig WINDOW w AS (PARTITION BY symbol ORDER BY pos))"
@@ -68,7 +71,8 @@ def register() -> None:
 
     @query("case_broken_universe", sql.query([*MEMBERS, sql.formula(FORMULA), sets, labels, marked, ic_cte("s", "y", "x", keys="universe, date", least=LEAST), "mk AS (SELECT universe, avg(m) AS market FROM (SELECT universe, date, avg(ret) AS m FROM x GROUP BY 1, 2) GROUP BY 1)"], "SELECT universe, count(*) AS n_days, round(avg(ic), 6) AS mean_ic, round(avg(ic) / stddev_samp(ic), 6) AS icir, round(avg(ic) * sqrt(count(*)) / stddev_samp(ic), 6) AS t_stat, round(any_value(market), 6) AS market FROM ics JOIN mk USING (universe) GROUP BY 1"))
     def case_broken_universe(spark, sf_dir):
-        return summary(broken_universe(source.panel(spark, sf_dir, "month", "supplier"), universe.select(_ranks(spark, sf_dir), TOP)))
+        bars = staged(_bars(spark, sf_dir).select("date", "symbol", "sector", "open", "close", "volume"))
+        return summary(broken_universe(source.panel_of(bars), universe.select(universe.liquidity_ranks(bars, W, HIST), TOP)))
 
     @query("universe_mask", sql.query([*MEMBERS], "SELECT date, count(*) AS n_names, count(m.symbol) AS n_members, round(avg(CASE WHEN m.symbol IS NOT NULL THEN p.returns END), 6) AS market FROM panel p LEFT JOIN members m USING (date, symbol) GROUP BY date"))
     def universe_mask(spark, sf_dir):

@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,25 +26,23 @@ def stream_bars(trades: DataFrame, bucket: str = "1 day", late: str = "2 days")
 
 def _own_rows(n: int, key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State of a key: its last n - 1 closed values, and rows that the watermark hasn't passed, of which later ones may still come before."""
-    last, at, row, value = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+    last, *held = (list(x) for x in state.get) if state.exists else ([], [], [], [])
+    at, row, value = ([np.array(x, dtype)] for x, dtype in zip(held, ("int64", "int64", "float64")))
     for b in batches:
-        at += (b["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        row += b["row_id"].tolist()
-        value += b["value"].tolist()
-    passed = state.getCurrentWatermarkMs() * 1000
-    order = sorted(range(len(at)), key=lambda k: (at[k], row[k]))
-    closed, open_ = [k for k in order if at[k] < passed], [k for k in order if at[k] >= passed]
-    out = []
-    for k in closed:
-        last.append(value[k])
-        full = last[-n:]
-        out.append((key[0], row[k], pd.Timestamp(at[k], unit="us"), sum(full) / n if len(full) == n and not any(pd.isna(full)) else None))
-        last = full[-(n - 1) :] if n > 1 else []
-    state.update((last, [at[k] for k in open_], [row[k] for k in open_], [value[k] for k in open_]))
-    if open_:  # comes again once the watermark has passed the first of them, with new rows or without
-        state.setTimeoutTimestamp(max(at[open_[0]] // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-    if out:
-        yield pd.DataFrame(out, columns=["key", "row_id", "ts", "trailing"]).astype({"trailing": "float64"})
+        at.append(b["ts"].to_numpy("datetime64[us]").astype("int64"))
+        row.append(b["row_id"].to_numpy())
+        value.append(b["value"].to_numpy("float64"))
+    at, row, value = map(np.concatenate, (at, row, value))
+    order = np.lexsort((row, at))
+    at, row, value = at[order], row[order], value[order].tolist()
+    m = int(np.searchsorted(at, state.getCurrentWatermarkMs() * 1000))  # so many are closed
+    p, all_ = len(last), last + value[:m]
+    state.update((all_[max(len(all_) - n + 1, 0) :], at[m:].tolist(), row[m:].tolist(), value[m:]))
+    if m < len(at):  # comes again once the watermark has passed the first of them, with new rows or without
+        state.setTimeoutTimestamp(max(int(at[m]) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+    if m:  # a missing value is NaN, and so is its windows' sum
+        means = [sum(all_[k - n + 1 : k + 1]) / n if k >= n - 1 else np.nan for k in range(p, p + m)]
+        yield pd.DataFrame({"key": key[0], "row_id": row[:m], "ts": at[:m].astype("datetime64[us]"), "trailing": means})
 
 
 def trailing_mean(rows: DataFrame, n: int, late: str) -> DataFrame:
